@@ -205,7 +205,7 @@ def parse_universe(payloads: DataFrame) -> DataFrame:
     p = F.trim("payload")
     as_map = F.from_json(p, "map<string,double>")
     listed = F.when(p.startswith("["), F.from_json(p, "array<string>")).otherwise(
-        F.filter(F.transform(F.split(p, r"\n"), F.trim), lambda s: s != "")
+        F.filter(F.transform(F.split(p, r"\n"), lambda s: F.trim(s)), lambda s: s != "")
     )
     unit = F.map_from_arrays(F.array_distinct(listed), F.transform(F.array_distinct(listed), lambda _: F.lit(1.0)))
     return payloads.select("id", F.explode(F.when(p.startswith("{"), as_map).otherwise(unit)).alias("symbol", "signal"))
