@@ -8,9 +8,11 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.joins import latest_by
 from tidemark.operators.pit import latest_non_null, month_ends_between, version_order
+from tidemark.session import settle
 from tidemark.operators.ranking import position, rank_average, with_group_stats
 
 
@@ -44,7 +46,7 @@ def quantile_bucket(signals: DataFrame, q: int, by: Sequence[str] = ("date",)) -
 def ic_by_date(signals: DataFrame, forward: DataFrame) -> DataFrame:
     """Spearman correlation per (date, horizon) of signal and forward return over known pairs."""
     by = ["date", "horizon"]
-    pairs = signals.where(F.col("signal").isNotNull()).join(forward, ["date", "symbol"])
+    pairs = settle(signals.where(F.col("signal").isNotNull()).join(forward, ["date", "symbol"]))
     ranked = rank_average(rank_average(pairs, by, "signal", "_rs"), by, "fwd", "_rf")
     ic = F.corr("_rs", "_rf")
     return ranked.groupBy(*by).agg(F.when((F.count(F.lit(1)) >= 2) & ~F.isnan(ic), ic).alias("ic"))
@@ -54,7 +56,7 @@ def hac_lag(n: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(4 * F.pow(n / 100, F.lit(2 / 9)))).cast("int")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_two_sided(t: pd.Series) -> pd.Series:
     import math
 
@@ -77,15 +79,16 @@ def lagged_products(series: DataFrame, keys: Sequence[str], left: str, right: st
 def numbered(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Observation numbers and HAC lags per key; a key holds one observation per date."""
     w = Window.partitionBy(*keys).orderBy("date")
-    sized = with_group_stats(series, keys, _n=F.count(F.lit(1)))
+    sized = series.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     return sized.withColumn("_t", F.row_number().over(w)).withColumn("_lags", hac_lag(F.col("_n")))
 
 
 def ic_summary(ic: DataFrame) -> DataFrame:
     """Mean IC, HAC t statistic and p value, and IR per horizon."""
+    per = Window.partitionBy("horizon")
     rows = numbered(ic.where(F.col("ic").isNotNull()), ["horizon"])
-    rows = with_group_stats(rows, ["horizon"], _mean=F.avg("ic"), _sd=F.stddev_samp("ic"))
-    rows = rows.withColumn("_e", F.col("ic") - F.col("_mean"))
+    rows = rows.withColumns({"_mean": F.avg("ic").over(per), "_sd": F.stddev_samp("ic").over(per)})
+    rows = settle(rows.withColumn("_e", F.col("ic") - F.col("_mean")))
     base = rows.groupBy("horizon").agg(
         F.first("_n").alias("n"), F.first("_mean").alias("mean_ic"), F.first("_sd").alias("_sd"), F.sum(F.col("_e") * F.col("_e")).alias("_g0"),
     )
@@ -153,9 +156,9 @@ def factor_study(
 ) -> dict[str, DataFrame]:
     """Lazy parts of a study over all dates and horizons: IC table, summary, decay, buckets, curves."""
     used = demean_by_group(signals, sectors).select("date", "symbol", "signal") if sectors is not None else signals
-    ic = ic_by_date(used, forward)
+    ic = settle(ic_by_date(used, forward))
     summary = ic_summary(ic)
-    buckets = quantile_returns(used, forward, q, max(horizons))
+    buckets = settle(quantile_returns(used, forward, q, max(horizons)))
     curve = quantile_curve(buckets)
     return {
         "ic_by_horizon": ic, "ic_summary": summary, "ic_decay": summary.select("horizon", "mean_ic"),
@@ -250,7 +253,7 @@ def pair_state(z: DataFrame, entry: float = 2.0, exit_: float = 0.5, leg: float
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_scale_chain(pdf, leg, max_gross)), columns=["friday", "before", "scale"])
 
-    scales = counts.groupBy(F.lit(1)).applyInPandas(chain, "friday date, before double, scale double")
+    scales = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(chain, "friday date, before double, scale double")
     at_entry = scales.select(F.col("friday").alias("entry"), F.col("before").alias("_b0"))
     weight = F.lit(leg) * F.col("before") / F.col("_b0") * F.col("scale")
     legs = rows.join(scales, "friday").join(at_entry, "entry").withColumn("_w", weight)

@@ -2,7 +2,8 @@
 
 A plain window puts a whole group into one task. Here equal values are counted first (a partial
 aggregate), the distinct values are cut into equal-width value buckets, each bucket is summed on its
-own, and only the bucket totals (at most `buckets` rows per group) are accumulated per group.
+own, and only the bucket totals (at most BUCKETS rows per group) are accumulated per group. The placed
+counts feed both steps, so they are settled in the checkpoint folder instead of computed twice.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 BUCKETS = 256
 PREFIX = 4
 
@@ -19,14 +22,11 @@ PREFIX = 4
 def counts_before(df: DataFrame, by: Sequence[str], value: str, extra: Sequence[str] = ()) -> DataFrame:
     """Per (by, value, extra): its row count `_n` and the rows sorting before it, `_before`."""
     counted = df.groupBy(*by, value, *extra).agg(F.count(F.lit(1)).alias("_n"))
-    spans = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    spans = counted.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     position = (F.col(value) - F.col("_lo")) / width * BUCKETS
     bucket = F.when(width > 0, F.least(F.floor(position), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = (
-        counted.join(spans, list(by))
-        .select(*by, value, *extra, "_n", bucket.cast("int").alias("_bucket"))
-    )
+    placed = settle(counted.join(spans, list(by)).select(*by, value, *extra, "_n", bucket.cast("int").alias("_bucket")))
     inside = (
         Window.partitionBy(*by, "_bucket").orderBy(value, *extra).rowsBetween(Window.unboundedPreceding, -1)
     )

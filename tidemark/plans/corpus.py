@@ -74,7 +74,7 @@ def clean_for_reader(spark, sf):
 
 
 @query("leak_scan", """WITH m AS (SELECT doc_id, regexp_extract(text, '(?i)(^|[^0-9a-f])([0-9a-f]{40,64})($|[^0-9a-f])', 2) AS a, regexp_extract(text, '(/Users/|/home/)[^\\s`|]+') AS b FROM documents)
-    SELECT doc_id, list_filter([a, b], x -> x <> '') AS leaks FROM m WHERE a <> '' OR b <> ''""")
+    SELECT doc_id, [x FOR x IN [a, b] IF x <> ''] AS leaks FROM m WHERE a <> '' OR b <> ''""")
 def leak_scan(spark, sf):
     return dc.leak_scan(v.table(spark, sf, "documents")).select("doc_id", "leaks").where(F.size("leaks") > 0)
 
@@ -153,4 +153,4 @@ def report_period_end(spark, sf):
     tail = F.when(d % 3 == 0, F.concat(F.lit("\nAudited statements\n\nfor the year ended 31 December "), y)).when(
         d % 3 == 1, F.lit("\nAudited statements\nfor the year ended 30 June 2001")).otherwise(F.lit(""))
     text = F.concat(head, F.col("text"), tail)
-    return dc.report_period_end(v.table(spark, sf, "documents").select("doc_id", text.alias("text")), cover_lines=5).select("doc_id", "period_end")
+    return dc.report_period_end(v.table(spark, sf, "documents").select("doc_id", text.alias("text")), cover_lines=2).select("doc_id", "period_end")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, app: str = "tidemark") -> SparkSession:
@@ -35,3 +35,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read to the shared checkpoint folder and cut its lineage."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
