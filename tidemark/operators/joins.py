@@ -85,14 +85,16 @@ def asof_join(
     right_day: str,
     how: str = "left",
     strict: bool = False,
+    horizon: Column | None = None,
 ) -> DataFrame:
     """The last row of `right` at (or, when strict, before) each row of `left`.
 
-    `right` must be unique per (on, right_day); its own columns must not clash with `left`.
+    `right` must be unique per (on, right_day); its own columns must not clash with `left`. `horizon` is
+    the last day `left` can ask about; give it when it is cheaper to know than by reading `left`.
     """
     ranges = validity(right, on, right_day, "_until")
     joined = interval_join(
-        left, ranges, on, left_day, right_day, "_until", how=how, open_start=strict, closed_end=strict
+        left, ranges, on, left_day, right_day, "_until", how=how, open_start=strict, closed_end=strict, horizon=horizon
     )
     return joined.drop("_until")
 

@@ -147,7 +147,7 @@ def ah_premium(pairs: DataFrame, bars: DataFrame, fx: DataFrame) -> DataFrame:
     `cny_per_hkd` always multiplies the Hong Kong price.
     """
     rates = fx.select(F.col("date").alias("fx_date"), "cny_per_hkd")
-    legs = asof_join(pair_closes(pairs, bars), rates, [], "date", "fx_date", how="inner")
+    legs = asof_join(pair_closes(pairs, bars), rates, [], "date", "fx_date", how="inner", horizon=bars.agg(F.max("date")).scalar())
     return legs.withColumn("premium", F.col("close_a") / (F.col("close_h") * F.col("cny_per_hkd")) - 1)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import position, rank_average, top_k, with_group_stats
+from tidemark.session import settle
 
 BY = ["date"]
 
@@ -247,7 +248,8 @@ def sample_cov(returns: DataFrame, min_periods: int = 60, blocks: int = 4) -> Da
 
 
 def complete_rows(returns: DataFrame) -> DataFrame:
-    """Dates on which every symbol has a return."""
+    """Dates on which every symbol has a return; settled, as the estimator reads them four times."""
+    returns = settle(returns)
     p = returns.agg(F.count_distinct("symbol")).scalar()
     full = returns.where(F.col("ret").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == p)
     return returns.join(full.select("date"), "date", "left_semi")

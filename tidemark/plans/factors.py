@@ -162,6 +162,6 @@ def premium_zscore_signal(spark, sf):
 
 @query("pair_state")
 def pair_state(spark, sf):
-    return fa.pair_state(_pair_z(spark, sf), entry=1.0, exit_=0.3, max_gross=0.5)
+    return fa.pair_state(_pair_z(spark, sf), entry=0.6, exit_=0.2, max_gross=0.5)
 
 
