@@ -1,7 +1,6 @@
 """Importing this module registers every query."""
 
 import importlib
-import importlib.util
 
 MODULES = (
     "scans",
@@ -15,8 +14,8 @@ MODULES = (
     "performance",
     "corpus",
     "reconciliation",
+    "incremental",
 )
 
 for _module in MODULES:
-    if importlib.util.find_spec(f"tidemark.plans.{_module}"):
-        importlib.import_module(f"tidemark.plans.{_module}")
+    importlib.import_module(f"tidemark.plans.{_module}")

@@ -140,10 +140,10 @@ def active_listings(spark, sf):
     return ev.active_listings(rows, F.lit(D(2024, 1, 8))).select("segment_id", "listing_state")
 
 
-@query("required_sources", "WITH s AS (SELECT DISTINCT subject_id, category FROM v_event), q AS (SELECT DISTINCT category, source_id FROM v_event), p AS (SELECT DISTINCT subject_id, source_id FROM v_event) SELECT s.subject_id, s.category, q.source_id FROM s JOIN q USING (category) WHERE (s.subject_id, q.source_id) NOT IN (SELECT (subject_id, source_id) FROM p)")
+@query("required_sources", "WITH s AS (SELECT DISTINCT subject_id, category FROM v_event), q AS (SELECT DISTINCT category, source_id FROM v_event), p AS (SELECT DISTINCT subject_id, source_id FROM v_event WHERE category = 'error' AND status = 'open') SELECT s.subject_id, s.category, q.source_id FROM s JOIN q USING (category) WHERE (s.subject_id, q.source_id) NOT IN (SELECT (subject_id, source_id) FROM p)")
 def required_sources(spark, sf):
     e = v.v_event(spark, sf)
-    out = ev.required_sources(e.select("subject_id", "category").distinct(), e.select("category", "source_id").distinct(), e.select("subject_id", "source_id"), ["category"])
+    out = ev.required_sources(e.select("subject_id", "category").distinct(), e.select("category", "source_id").distinct(), e.where("category = 'error' AND status = 'open'").select("subject_id", "source_id"), ["category"])
     return out.select("subject_id", "category", "source_id")
 
 
@@ -257,9 +257,9 @@ def route_rank(spark, sf):
     return out.join(alone, ["task_id", "layer", "slot"], "left_semi").select("task_id", "layer", "route_id", F.col("slot").alias("position"), "place")
 
 
-@query("ledger_consistency", """WITH c AS (SELECT o_orderkey AS claim_id, CASE o_orderstatus WHEN 'P' THEN 'accepted' WHEN 'F' THEN 'exhausted' ELSE 'open' END AS state, CAST(o_orderdate AS DATE) AS at, o_orderkey % 3 AS nf FROM orders),
+@query("ledger_consistency", """WITH c AS (SELECT o_orderkey AS claim_id, CASE o_orderstatus WHEN 'P' THEN 'accepted' WHEN 'F' THEN 'exhausted' ELSE 'open' END AS state, CAST(o_orderdate AS DATE) AS acc, o_orderkey % 3 AS nf FROM orders),
     a AS (SELECT l_orderkey AS claim_id, bool_or(l_returnflag = 'N') AS op, bool_or(l_returnflag = 'R') AS bl, max(CAST(l_shipdate AS DATE)) AS last FROM lineitem GROUP BY 1),
-    x AS (SELECT claim_id, [x FOR x IN [CASE WHEN state = 'accepted' AND nf > 0 THEN 'accepted_with_failures' END, CASE WHEN state = 'accepted' AND op THEN 'accepted_with_open_routes' END, CASE WHEN state = 'accepted' AND last > at THEN 'attempt_after_acceptance' END,
+    x AS (SELECT claim_id, [x FOR x IN [CASE WHEN state = 'accepted' AND nf > 0 THEN 'accepted_with_failures' END, CASE WHEN state = 'accepted' AND op THEN 'accepted_with_open_routes' END, CASE WHEN state = 'accepted' AND last > acc THEN 'attempt_after_acceptance' END,
       CASE WHEN state = 'exhausted' AND op THEN 'exhausted_with_open_routes' END, CASE WHEN state = 'exhausted' AND bl THEN 'exhausted_but_blocked' END] IF x IS NOT NULL] AS violations FROM c LEFT JOIN a USING (claim_id)) SELECT * FROM x WHERE len(violations) > 0""")
 def ledger_consistency(spark, sf):
     st = F.when(F.col("o_orderstatus") == "P", "accepted").when(F.col("o_orderstatus") == "F", "exhausted").otherwise("open")

@@ -331,7 +331,7 @@ def v_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .select(
-            F.concat(F.lit("c"), F.floor(F.col("o_custkey") / 5).cast("bigint").cast("string")).alias("claim_id"),
+            F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("claim_id"),
             F.concat(F.lit("src-"), F.lower(F.col("o_orderstatus"))).alias("source_id"),
             F.year("o_orderdate").alias("period"),
             F.round(F.col("o_totalprice") / 100000, 0).alias("amount"),
@@ -466,7 +466,7 @@ SQL_VIEWS: dict[str, str] = {
                c_custkey AS segment_id
         FROM customer""",
     "v_series": """
-        SELECT 'c' || (o_custkey // 5) AS claim_id, 'src-' || lower(o_orderstatus) AS source_id,
+        SELECT 'c' || o_custkey AS claim_id, 'src-' || lower(o_orderstatus) AS source_id,
                year(o_orderdate) AS period, max(round(o_totalprice / 100000, 0)) AS value
         FROM orders GROUP BY 1, 2, 3""",
 }
