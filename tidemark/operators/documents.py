@@ -143,6 +143,10 @@ MACHINE_TABLE_TERMS = (
     "原口径指纹", "主口径指纹", "路由终态", "下一步所需证据", "schema版本", "schema version", "claim状态", "role状态", "ledger",
 )
 EXCERPT = 96
+# Fixed value: the comment that keeps a section from readers.
+EXCLUDE_MARKER = "<!-- reader-exclude-section -->"
+# A marked section: its heading, the marker, and all lines up to a heading of its level or above.
+EXCLUDED_SECTION = r"(?m)^(#{2,6})[^\S\n]+\S[^\n]*\n(?:[^\S\n]*\n)*[^\S\n]*" + EXCLUDE_MARKER + r"[^\n]*(?:\n(?!#{2,6}\s+\S)[^\n]*|\n(?=\1#+\s+\S)[^\n]*)*"
 
 
 def leak_scan(df: DataFrame, column: str = "text") -> DataFrame:
@@ -174,18 +178,24 @@ def clean_for_reader(df: DataFrame, column: str = "text") -> DataFrame:
     The text becomes blocks: tables are set apart from prose, blocks are parted by blank lines, and the
     surviving blocks are joined with one blank line between them.
     """
-    body = F.regexp_replace(F.col(column), COMMENT, "")
+    body = F.regexp_replace(F.col(column), EXCLUDED_SECTION, "\n")
+    body = F.regexp_replace(body, COMMENT, "")
     body = F.regexp_replace(body, "(?m)" + READER_METADATA, "")
     body = F.regexp_replace(body, r"(?m)^((?:[^\S\n]*\|.*\|[^\S\n]*(?:\n|\z))+)", "\n$1\n")
-    blocks = F.filter(F.split(body, r"\n[^\S\n]*(?:\n[^\S\n]*)+"), lambda b: F.trim(b, F.lit(" \n\t")) != "")
-    machine = lambda b: is_machine_table(b) | is_machine_paragraph(b)
-    kept = F.transform(F.filter(F.col("_blocks"), lambda b: ~machine(b)), lambda b: F.regexp_replace(b, r"(?m)[^\S\n]+$|^\n+|\n+$", ""))
+    parts = F.filter(F.split(body, r"\n[^\S\n]*(?:\n[^\S\n]*)+"), lambda b: F.trim(b, F.lit(" \n\t")) != "")
+    # A block can only be a machine's when the whole text has a machine's mark, which most texts lack.
+    suspect = is_machine_paragraph(F.col(column))
+    for term in MACHINE_TABLE_TERMS:
+        suspect = suspect | F.contains(F.lower(F.col(column)), F.lit(term))
+    judged = F.when(suspect, F.filter("_blocks", lambda b: ~(is_machine_table(b) | is_machine_paragraph(b)))).otherwise(F.col("_blocks"))
+    tidy = F.transform("_kept", lambda b: F.regexp_replace(b, r"(?m)[^\S\n]+$|^\n+|\n+$", ""))
     return (
-        df.withColumn("_blocks", blocks)
+        df.withColumn("_blocks", parts)
+        .withColumn("_kept", judged)
         .withColumn("comments", F.regexp_count(F.col(column), F.lit(COMMENT)))
-        .withColumn("machine_blocks", F.size(F.filter("_blocks", machine)))
-        .withColumn("reader_text", F.array_join(kept, "\n\n"))
-        .drop("_blocks")
+        .withColumn("machine_blocks", F.size("_blocks") - F.size("_kept"))
+        .withColumn("reader_text", F.array_join(tidy, "\n\n"))
+        .drop("_blocks", "_kept")
     )
 
 

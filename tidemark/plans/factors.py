@@ -12,6 +12,7 @@ from tidemark.plans import series, views as v
 from tidemark.plans.point_in_time import RANK, SQL_MONTHS
 from tidemark.plans.registry import query
 from tidemark.plans.series import SQL_PREMIUM
+from tidemark.session import settle
 
 START, END = D(1996, 1, 1), D(2000, 12, 31)
 # The signal of the study: monthly close over mean of the month, on month-end bars.
@@ -29,8 +30,13 @@ SQL_Q = SQL_STUDY + """, rq AS (SELECT *, row_number() OVER (PARTITION BY date O
     qr AS (SELECT date, quantile, avg(fwd) AS ret FROM qb LEFT JOIN (SELECT * FROM fwd WHERE horizon = 10) f USING (date, symbol) GROUP BY 1, 2)"""
 
 
+def monthly_bars(spark, sf):
+    """Month-end bars: a table several steps read, so it is written once."""
+    return settle(ts.resample_ohlcv(v.v_bar(spark, sf), "M"))
+
+
 def study(spark, sf):
-    monthly = ts.resample_ohlcv(v.v_bar(spark, sf), "M")
+    monthly = monthly_bars(spark, sf)
     signals = monthly.select("date", "symbol", (F.col("close") / (F.col("high") + F.col("low"))).alias("signal"))
     return signals, ts.forward_log_return(monthly, [1, 5, 10])
 

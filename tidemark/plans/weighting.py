@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numeric import rounded
 from tidemark.operators import timeseries as ts, weights as wt
 from tidemark.plans import views as v
-from tidemark.plans.factors import SQL_STUDY, study
+from tidemark.plans.factors import SQL_STUDY, monthly_bars, study
 from tidemark.plans.registry import query
 
 TOP = """, tq AS (SELECT date, symbol, signal, row_number() OVER (PARTITION BY date ORDER BY signal DESC, symbol) AS rn, greatest(1, round_even(count(*) OVER (PARTITION BY date) * 0.3, 0)) AS k FROM sig),
@@ -138,7 +138,7 @@ def gross_exposure_check(spark, sf):
 
 
 def monthly_returns(spark, sf):
-    monthly = ts.resample_ohlcv(v.v_bar(spark, sf), "M").select("date", "symbol", "close")
+    monthly = monthly_bars(spark, sf).select("date", "symbol", "close")
     return ts.log_returns(monthly).select("date", "symbol", F.col("log_ret").alias("ret")).where(F.col("ret").isNotNull())
 
 
