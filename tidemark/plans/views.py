@@ -102,7 +102,7 @@ def v_fund(spark: SparkSession, sf_dir: str) -> DataFrame:
         (rev * 0.03).alias("d_and_a"),
         F.when(k % 19 != 0, rev * 0.01 * (k % 3)).alias("working_capital_change"),
         (rev * 2 - rev * (k % 5)).alias("total_equity"),
-        (rev * (k % 4) * 0.5).alias("total_debt"),
+        (rev * (k % 4) * 0.5 + rev * 0.3).alias("total_debt"),
     )
 
 
@@ -370,7 +370,7 @@ SQL_VIEWS: dict[str, str] = {
                o_totalprice * 0.05::DOUBLE AS capex, o_totalprice * 0.03::DOUBLE AS d_and_a,
                CASE WHEN o_orderkey % 19 <> 0 THEN o_totalprice * 0.01::DOUBLE * (o_orderkey % 3) END AS working_capital_change,
                o_totalprice * 2 - o_totalprice * (o_orderkey % 5) AS total_equity,
-               o_totalprice * (o_orderkey % 4) * 0.5::DOUBLE AS total_debt
+               o_totalprice * (o_orderkey % 4) * 0.5::DOUBLE + o_totalprice * 0.3::DOUBLE AS total_debt
         FROM orders""",
     "v_sector": f"""
         SELECT {_sql_symbol('c_custkey')} AS symbol, c_mktsegment AS sector_l1, n_name AS sector_l2
