@@ -170,12 +170,12 @@ def route_select(routes: DataFrame, requests: DataFrame, now: Column, fresh_days
     """Routes of each request in order: matching function, geography (or global) and industry, by authority;
     a route found unreachable lately goes last with a skip reason, an old finding is ignored.
 
-    `requests` is the smaller side and has (request_id, function, geography, industry).
+    `requests` has (request_id, function, geography, industry). A request asks under its own and the global
+    geography and under its own and any industry, so the match is an equi-join on all three.
     """
-    r = requests.withColumnsRenamed({"function": "_f", "geography": "_g", "industry": "_i"})
-    here = (F.col("geography") == "global") | (F.col("geography") == F.col("_g"))
-    fits = F.col("industry").isNull() | (F.col("industry") == F.col("_i"))
-    met = routes.join(r, (F.col("function") == F.col("_f")) & here & fits)
+    asked = requests.withColumn("geography", F.explode(F.array_distinct(F.array("geography", F.lit("global")))))
+    asked = asked.withColumn("industry", F.explode(F.array_distinct(F.array("industry", F.lit("*")))))
+    met = routes.withColumn("industry", F.coalesce("industry", F.lit("*"))).join(asked, ["function", "geography", "industry"])
     skip = (F.col("last_status") == "unreachable") & (F.datediff(now, "checked") <= fresh_days)
     w = Window.partitionBy("request_id").orderBy(F.coalesce(skip, F.lit(False)).cast("int"), F.desc("authority"), "route_id")
     return met.select(

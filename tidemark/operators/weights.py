@@ -14,6 +14,7 @@ from tidemark.operators.ranking import position, rank_average, top_k, with_group
 from tidemark.session import settle
 
 BY = ["date"]
+SYMBOLS_PER_BLOCK = 256
 
 
 def top_quantile_weights(signals: DataFrame, quantile: float) -> DataFrame:
@@ -201,12 +202,14 @@ def user_returns(symbols: DataFrame, mu: DataFrame) -> DataFrame:
     return symbols.join(mu, "symbol", "left").withColumn("mu", checked.cast("double"))
 
 
-def pair_moments(returns: DataFrame, blocks: int, days_per_block: int = 512) -> DataFrame:
+def pair_moments(returns: DataFrame, blocks: int | None = None, days_per_block: int = 512) -> DataFrame:
     """(i, j, n, si, sj, sij) with i <= j over the dates both have.
 
     Symbols are hashed into `blocks` column blocks and dates into row blocks; a task multiplies two column
-    blocks over one row block as matrices. Rows are copied once per opposite block, never once per partner.
+    blocks over one row block as matrices. Without `blocks` a small count sizes them, so a task stays small. Rows are copied once per opposite block, never once per partner.
     """
+    if blocks is None:
+        blocks = max(1, math.ceil(returns.agg(F.approx_count_distinct("symbol")).first()[0] / SYMBOLS_PER_BLOCK))
     day = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / days_per_block)
     rows = returns.where(F.col("ret").isNotNull()).select(
         "date", "symbol", "ret", day.alias("_d"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("_b")
@@ -238,7 +241,7 @@ def pair_moments(returns: DataFrame, blocks: int, days_per_block: int = 512) ->
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "sij")])
 
 
-def sample_cov(returns: DataFrame, min_periods: int = 60, blocks: int = 4) -> DataFrame:
+def sample_cov(returns: DataFrame, min_periods: int = 60, blocks: int | None = None) -> DataFrame:
     """Pairwise-complete covariance, long (i, j, cov) with i <= j; the panel must have `min_periods` dates."""
     n_dates = returns.agg(F.count_distinct("date")).scalar()
     n = F.col("n")
@@ -255,7 +258,7 @@ def complete_rows(returns: DataFrame) -> DataFrame:
     return returns.join(full.select("date"), "date", "left_semi")
 
 
-def ledoit_wolf_shrinkage(returns: DataFrame, blocks: int = 4) -> DataFrame:
+def ledoit_wolf_shrinkage(returns: DataFrame, blocks: int | None = None) -> DataFrame:
     """One row (n, p, mu, shrinkage) of the published estimator, over complete rows.
 
     The fourth moments only need the squared norm of each date; the squared covariances come from the pairs.
@@ -275,7 +278,7 @@ def ledoit_wolf_shrinkage(returns: DataFrame, blocks: int = 4) -> DataFrame:
     return out.select("n", "p", "mu", F.when(F.col("_b") <= 0, F.lit(0.0)).otherwise(F.least("_b", "_d") / F.col("_d")).alias("shrinkage"))
 
 
-def ledoit_wolf_cov(returns: DataFrame, blocks: int = 4) -> DataFrame:
+def ledoit_wolf_cov(returns: DataFrame, blocks: int | None = None) -> DataFrame:
     shrink = F.broadcast(ledoit_wolf_shrinkage(returns, blocks).select("mu", "shrinkage"))  # one row
     n = F.col("n")
     population = (F.col("sij") - F.col("si") * F.col("sj") / n) / n
