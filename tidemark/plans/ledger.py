@@ -96,11 +96,11 @@ def _positions(spark, sf):
     return v.v_bar(spark, sf).select(F.concat(F.lit("r"), (F.col("volume") % 2).cast("string")).alias("run_id"), "date", "symbol", F.col("volume").alias("shares"))
 
 
-@query("mark_to_market", f"WITH {SQL_POS}, d AS (SELECT DISTINCT run_id, date FROM pos) SELECT run_id, date, round(1000 + sum(base) + 1e-4, 2) AS nav FROM d JOIN pos USING (run_id, date) GROUP BY 1, 2")
+@query("mark_to_market", f"WITH {SQL_POS}, d AS (SELECT DISTINCT run_id, date FROM pos) SELECT run_id, date, round(1000 + sum(base) + 0.000271828, 2) AS nav FROM d JOIN pos USING (run_id, date) GROUP BY 1, 2")
 def mark_to_market(spark, sf):
     p = _positions(spark, sf)
     cash = p.select("run_id", "date").distinct().withColumn("cash_base", F.lit(1000.0))
-    return ac.mark_to_market(p, v.v_bar(spark, sf), v.v_fx(spark, sf), cash, ["run_id"]).withColumn("nav", F.round(F.col("nav") + 1e-4, 2))
+    return ac.mark_to_market(p, v.v_bar(spark, sf), v.v_fx(spark, sf), cash, ["run_id"]).withColumn("nav", F.round(F.col("nav") + 0.000271828, 2))
 
 
 @query("final_positions", f"WITH {SQL_POS} SELECT run_id, date, symbol, shares, round(loc, 3) AS mkt_value_local, round(base, 3) AS mkt_value_base FROM pos p WHERE date = (SELECT max(date) FROM pos q WHERE q.run_id = p.run_id)")

@@ -89,13 +89,13 @@ def constraint_min_positions(spark, sf):
     return wt.constraint_min_positions(_signal_weights(spark, sf), 99).withColumn("weight", rounded(F.col("weight")))
 
 
-@query("constraint_max_positions", f"WITH {SQL_SW} SELECT date, symbol, round(CASE WHEN row_number() OVER (PARTITION BY date ORDER BY weight DESC, symbol) <= 20 THEN weight ELSE 0 END, 6) AS weight, 'bound' AS status FROM ws")
+@query("constraint_max_positions", f"WITH {SQL_SW} SELECT date, symbol, round(CASE WHEN row_number() OVER (PARTITION BY date ORDER BY weight DESC, symbol) <= 20 THEN weight ELSE 0 END, 6) AS weight, CASE WHEN count(*) FILTER (weight > 0) OVER (PARTITION BY date) > 20 THEN 'bound' ELSE 'slack' END AS status FROM ws")
 def constraint_max_positions(spark, sf):
     return wt.constraint_max_positions(_signal_weights(spark, sf), 20).withColumn("weight", rounded(F.col("weight")))
 
 
 @query("constraint_sector_match", f"WITH {SQL_SW}, sh AS (SELECT sector_l1, count(*) / sum(count(*)) OVER () AS share FROM v_sector GROUP BY 1), j AS (SELECT ws.*, sector_l1, share FROM ws JOIN v_sector USING (symbol) JOIN sh USING (sector_l1)) "
-       "SELECT date, symbol, round(CASE WHEN weight > 0 THEN weight * share / sum(weight) OVER (PARTITION BY date, sector_l1) ELSE weight END, 6) AS weight, 'bound' AS status FROM j")
+       "SELECT date, symbol, round(CASE WHEN weight > 0 THEN weight * share / sum(weight) OVER (PARTITION BY date, sector_l1) ELSE weight END, 6) AS weight, CASE WHEN (SELECT count(DISTINCT sector_l1) FROM j x WHERE x.date = j.date AND x.weight > 0) < (SELECT count(*) FROM sh) THEN 'infeasible_relaxed' ELSE 'bound' END AS status FROM j")
 def constraint_sector_match(spark, sf):
     s = v.v_sector(spark, sf)
     return wt.constraint_sector_match(_signal_weights(spark, sf), s, wt.sector_shares(s)).withColumn("weight", rounded(F.col("weight")))
