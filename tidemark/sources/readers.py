@@ -76,7 +76,7 @@ def write_upsert(
             raise
         batch.write.partitionBy(partition).mode("append").parquet(path)
         return
-    touched = base.join(F.broadcast(batch.select(partition).distinct()), partition, "left_semi")
+    touched = base.join(batch.select(partition).distinct(), partition, "left_semi")
     staging = f"{path.rstrip('/')}__staging"
     upsert_by_key(touched.select(*batch.columns), batch, keys).write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.partitionBy(partition).mode("overwrite").option(
