@@ -55,6 +55,17 @@ def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def span_hash_without(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Hash of each span without its value at `gone`: what span_hash gives for the rest joined. gone = end takes nothing away."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(values) + 2)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    h = (total[gone] - total[starts]) * down[starts] + (total[ends] - total[np.minimum(gone + 1, ends)]) * down[starts + 1]
+    return mix(h + (ends - starts - (gone < ends)).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 @dataclass
 class Texts:
     """Rows lo..hi of a batch: their bytes, and offsets of each text in them. A null text is empty."""

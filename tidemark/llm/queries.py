@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import ngramjoin
+from tidemark.llm import linededup, mixing, ngramjoin
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -21,5 +22,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_components(_documents(spark, sf_dir), k=4, percent=85)
 
 
-for _query in (op8_ngram_join,):
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    mixed = mixing.mix(_documents(spark, sf_dir))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document's lines."""
+    left = linededup.dedup_lines(_documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "lines", "lines_dropped", "has_text", F.sha2("text", 256).alias("text_sha256"))
+
+
+for _query in (op4_mix_sources, op8_ngram_join, op9_line_dedup):
     LLM_QUERIES[_query.__name__] = _query
