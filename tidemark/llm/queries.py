@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, ngramjoin
+from tidemark.llm import linededup, mixing, ngramjoin, quality
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_components(_documents(spark, sf_dir), k=4, percent=85)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely `labels.quality` would mark each document 1."""
+    return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     mixed = mixing.mix(_documents(spark, sf_dir))
@@ -34,5 +39,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "lines", "lines_dropped", "has_text", F.sha2("text", 256).alias("text_sha256"))
 
 
-for _query in (op4_mix_sources, op8_ngram_join, op9_line_dedup):
+for _query in (op1_quality, op4_mix_sources, op8_ngram_join, op9_line_dedup):
     LLM_QUERIES[_query.__name__] = _query
