@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, ngramjoin, quality
+from tidemark.llm import linededup, mixing, ngramjoin, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -17,6 +17,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document by the word-level vocabulary."""
+    return tokencount.count_tokens(_documents(spark, sf_dir), tokencount.tokenizer_path("word_bpe_49k.json"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that link at a Jaccard likeness of 0.85 of their 4-word shingles."""
     return ngramjoin.ngram_components(_documents(spark, sf_dir), k=4, percent=85)
@@ -39,5 +44,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "lines", "lines_dropped", "has_text", F.sha2("text", 256).alias("text_sha256"))
 
 
-for _query in (op1_quality, op4_mix_sources, op8_ngram_join, op9_line_dedup):
+for _query in (op1_quality, op4_mix_sources, op6_token_counts, op8_ngram_join, op9_line_dedup):
     LLM_QUERIES[_query.__name__] = _query
