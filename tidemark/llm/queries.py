@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import linededup, mixing, ngramjoin, quality, tokencount
+from tidemark.llm import fingerprint, linededup, mixing, ngramjoin, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -22,6 +22,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_documents(spark, sf_dir), tokencount.tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return fingerprint.fingerprint_documents(_documents(spark, sf_dir))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents that link at a Jaccard likeness of 0.85 of their 4-word shingles."""
     return ngramjoin.ngram_components(_documents(spark, sf_dir), k=4, percent=85)
@@ -44,5 +49,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "lines", "lines_dropped", "has_text", F.sha2("text", 256).alias("text_sha256"))
 
 
-for _query in (op1_quality, op4_mix_sources, op6_token_counts, op8_ngram_join, op9_line_dedup):
+for _query in (op1_quality, op4_mix_sources, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup):
     LLM_QUERIES[_query.__name__] = _query
