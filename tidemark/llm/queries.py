@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprint, linededup, mixing, ngramjoin, quality, tokencount
+from tidemark.llm import chat, fingerprint, linededup, mixing, nearest, ngramjoin, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -17,6 +17,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of every vector whose id is divisible by 100."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document by the word-level vocabulary."""
     return tokencount.count_tokens(_documents(spark, sf_dir), tokencount.tokenizer_path("word_bpe_49k.json"))
@@ -90,5 +96,5 @@ FROM sized GROUP BY conv_id
 """
 
 
-for _query in (op1_quality, op4_mix_sources, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows):
+for _query in (op1_quality, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows):
     LLM_QUERIES[_query.__name__] = _query
