@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprint, linededup, mixing, nearest, ngramjoin, quality, tokencount
+from tidemark.llm import chat, fingerprint, langid, linededup, mixing, nearest, ngramjoin, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by code length."""
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     mixed = mixing.mix(_documents(spark, sf_dir))
@@ -96,5 +101,5 @@ FROM sized GROUP BY conv_id
 """
 
 
-for _query in (op1_quality, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows):
+for _query in (op1_quality, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows):
     LLM_QUERIES[_query.__name__] = _query
