@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprint, langid, linededup, mixing, nearest, ngramjoin, quality, tokencount
+from tidemark.llm import chat, fingerprint, langid, linededup, mixing, nearest, ngramjoin, pieces, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -43,6 +43,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they decode to its text (in which U+2581 and the space are one)."""
+    encoded = pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"))
+    decoded = pieces.decode(encoded)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
+    return decoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("same_text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document by code length."""
     return langid.identify(_documents(spark, sf_dir))
@@ -101,5 +109,5 @@ FROM sized GROUP BY conv_id
 """
 
 
-for _query in (op1_quality, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows):
+for _query in (op1_quality, op2_sentence_pieces, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows):
     LLM_QUERIES[_query.__name__] = _query
