@@ -76,7 +76,7 @@ class Trees:
                 back = shorter[np.searchsorted(self.strings[-1], strings & ((1 << (8 * order)) - 1))]
             else:
                 back = shorter[strings]
-            cost = np.where(c > 0, np.log2((total + kinds)[of] / np.where(c > 0, c, 1)), escape[of] + back)
+            cost = np.where(c > 0, np.log2(np.where(c > 0, (total + kinds)[of], 1) / np.where(c > 0, c, 1)), escape[of] + back)
             shorter = cost
             self.strings.append(strings), self.costs.append(cost.astype(np.float32))
             self.contexts.append(contexts), self.escapes.append(escape.astype(np.float32))

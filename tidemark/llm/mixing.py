@@ -62,11 +62,10 @@ def fill(sizes: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
             take[i] += more
             free[i] -= more
             rest -= more * int(sizes[i])
-    # Every sum from 0 to a little over the rest, as bits; `came` keeps the bits after each item, largest items first.
-    open_sizes = sizes[free > 0]
-    if not len(open_sizes) or rest <= 0:
+    if rest <= 0:
         return take
-    limit = int(rest) + int(min(open_sizes[0], rest)) + 1
+    # Every sum up to twice the rest (beyond, nothing at all is nearer), as bits; `came` keeps them after each item, largest first.
+    limit = 2 * int(rest) + 1
     mask, reach, items, came = (1 << (limit + 1)) - 1, 1, [], [1]
     for i in range(len(sizes) - 1, -1, -1):
         size, left, many = int(sizes[i]), int(min(free[i], limit // sizes[i])), 1
