@@ -29,8 +29,8 @@ def bit_table(keys: DataFrame, words: int = 1 << 17) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].view(np.int64))], ["word", "bits"])
 
     table = np.zeros(words, np.int64)
-    for word, bits in keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits")).collect():
-        table[word] = bits
+    used = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table[used["word"].to_numpy()] = used["bits"].to_numpy()
     return table.view(np.uint64)
 
 

@@ -5,7 +5,7 @@ substitution; a line that equals another's deletion differs by an insertion. So
 lines under it: a partial aggregate, and no list of pairs, however many lines meet. What it finds is verified by edit distance.
 
 An edit leaves the first or the second half of a line as it was, so only lines that share a half with another line emit
-deletions: a bit table of shared halves spares the rest.
+deletions, and only deletions that several lines have are kept: bit tables of shared keys spare the rest.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from tidemark.llm.bytetext import BYTE_VALUE, Texts, mix, span_hash, span_hash_w
 from tidemark.session import settle
 
 MIN_WORDS = 2  # shorter lines (marks, braces, one-word headings) are never dropped
+BIT_WORDS = 1 << 20  # 64-bit words of a bit table: 8 MB
 NEAR_WORDS = 10  # from here on one word of difference still counts as the same line
 
 
@@ -50,52 +51,69 @@ def _halves(word: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarra
     return np.stack(keys, 1) if len(first) else np.zeros((0, 4), np.uint64)
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line that may be dropped: id, place, hash."""
+def _whole_key(line: np.ndarray) -> np.ndarray:
+    return mix(line + np.uint64(9))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, mark): every line under a key of its words with a mark of where it stands, and long ones under their halves with a
+    mark of their words. A key with two marks is shared: by repeated lines, or by different lines with one half."""
     for batch in batches:
+        names = batch.column(0).cast(pa.string()).fill_null("")
         for texts in texts_of(batch.column(1)):
+            name = next(texts_of(names.slice(texts.lo, texts.hi - texts.lo), 1 << 62))
+            where = span_hash(BYTE_VALUE[name.data], name.offsets[:-1], name.offsets[1:])
             first, count, word, of, place, _ = _words(texts)
             use = count >= MIN_WORDS
-            ids = batch.column(0).take(pa.array(of[use] + texts.lo))
-            h = _line_hash(word, first[use], (first + count)[use])
-            yield pa.RecordBatch.from_arrays([ids, pa.array(place[use]), pa.array(h.view(np.int64))], ["id", "place", "line"])
-
-
-def _half_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for texts in texts_of(batch.column(0)):
-            first, count, word, *_ = _words(texts)
-            use = count >= NEAR_WORDS
             first, count = first[use], count[use]
-            h = _line_hash(word, first, first + count)
-            _, one = np.unique(h, return_index=True)
-            keys = _halves(word, first[one], count[one])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(h[one], 4).view(np.int64))], ["half", "line"])
+            line = _line_hash(word, first, first + count)
+            near = np.flatnonzero(count >= NEAR_WORDS)
+            _, one = np.unique(line[near], return_index=True)
+            near = near[one]
+            keys = np.concatenate([_whole_key(line), _halves(word, first[near], count[near]).ravel()])
+            marks = np.concatenate([mix(where[of[use]] + place[use].astype(np.uint64)), np.repeat(line[near], 4)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(marks.view(np.int64))], ["key", "mark"])
 
 
-def _deletions(shared: np.ndarray):
-    """For lines with a shared half: (words left, place deleted or -1 for the line itself, id, place, line)."""
+def _neighbourhoods(shared: np.ndarray, met: np.ndarray | None = None):
+    """For lines with a shared half: (words left, line) of all deletions. With `met`, the deletions and lines that matter:
+    kind 0, (words left, place deleted or -1 for the line itself, id, place, line) of what is left in several lines;
+    kind 1, (id, place, line) of lines that are repeated or have such a deletion, with the words of the latter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in texts_of(batch.column(1)):
-                first, count, word, of, place, _ = _words(texts)
-                use = count >= NEAR_WORDS
-                use[use] = may_have(shared, _halves(word, first[use], count[use]).ravel()).reshape(-1, 4).any(1) if use.any() else False
-                first, count, of, place = first[use], count[use], of[use], place[use]
-                if not len(first):
-                    continue
+                start, length, word, of, place, (begin, end) = _words(texts)
+                long = np.flatnonzero(length >= NEAR_WORDS)
+                if len(long):
+                    long = long[may_have(shared, _halves(word, start[long], length[long]).ravel()).reshape(-1, 4).any(1)]
+                first, count = start[long], length[long]
                 line = _line_hash(word, first, first + count)
                 # A line has a row for each word it may lose, and one in which it loses none.
-                rows = np.repeat(np.arange(len(first)), count + 1)
+                rows = np.repeat(np.arange(len(long)), count + 1)
                 lose = np.arange(len(rows)) - np.repeat(np.cumsum(count + 1) - (count + 1), count + 1)
                 left = span_hash_without(mix(word + np.uint64(7)), first[rows], (first + count)[rows], first[rows] + lose)
-                gone = np.where(lose == count[rows], -1, lose)
-                ids = batch.column(0).take(pa.array(of[rows] + texts.lo))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(left.view(np.int64)), pa.array(gone), ids, pa.array(place[rows]), pa.array(line[rows].view(np.int64))],
-                    ["left", "gone", "id", "place", "line"],
-                )
+                if met is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(line[rows].view(np.int64))], ["left", "line"])
+                    continue
+                keep = may_have(met, left)
+                left, gone, rows = left[keep], np.where(lose == count[rows], -1, lose)[keep], rows[keep]
+                whole = _line_hash(word, start, start + length)
+                close = np.zeros(len(start), bool)
+                close[long[rows]] = True
+                seen = np.flatnonzero((length >= MIN_WORDS) & (close | may_have(shared, _whole_key(whole))))
+                data = texts.data.tobytes()
+                words = [data[begin[start[i]] : end[start[i] + length[i] - 1]] if close[i] else None for i in seen]
+                for kind, at, l, g, w in ((0, long[rows], left.view(np.int64), gone, None), (1, seen, None, None, words)):
+                    ids = batch.column(0).take(pa.array(of[at] + texts.lo))
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(at), kind, np.int32)), none if l is None else pa.array(l), none if g is None else pa.array(g), ids, pa.array(place[at]),
+                            pa.array(whole[at].view(np.int64)), pa.nulls(len(at), pa.binary()) if w is None else pa.array(w, pa.binary()),
+                        ],
+                        ["kind", "left", "gone", "id", "place", "line", "words"],
+                    )
 
     return run
 
@@ -111,22 +129,6 @@ def _within_one(a: list, b: list) -> bool:
     return rest_a == rest_b or rest_a[1:] == rest_b[1:] or rest_a[1:] == rest_b or rest_a == rest_b[1:]
 
 
-def _texts_of_lines(wanted: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in texts_of(batch.column(0)):
-                first, count, word, _, _, (begin, end) = _words(texts)
-                line = _line_hash(word, first, first + count)
-                hit = np.flatnonzero((count >= NEAR_WORDS) & may_have(wanted, line))
-                _, one = np.unique(line[hit], return_index=True)
-                hit = hit[one]
-                data = texts.data.tobytes()
-                spans = [data[begin[first[i]] : end[first[i] + count[i] - 1]] for i in hit]
-                yield pa.RecordBatch.from_arrays([pa.array(line[hit].view(np.int64)), pa.array(spans, pa.binary())], ["line", "words"])
-
-    return run
-
-
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
@@ -159,27 +161,29 @@ def _first() -> F.Column:
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """`id, place` of every line that an earlier one stands for; docs has `id, text`."""
+    def shared_of(rows: DataFrame, key: str, mark: str) -> np.ndarray:
+        return bit_table(rows.groupBy(key).agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select(key), BIT_WORDS)
+
     kind = docs.schema["id"].dataType.simpleString()
-    lines = docs.mapInArrow(_line_rows, f"id {kind}, place long, line long")
+    shared = shared_of(docs.mapInArrow(_keys, "key long, mark long"), "key", "mark")
+    met = shared_of(docs.mapInArrow(_neighbourhoods(shared), "left long, line long"), "left", "line")
+    both = settle(docs.mapInArrow(_neighbourhoods(shared, met), f"kind int, left long, gone long, id {kind}, place long, line long, words binary"))
+    lines = both.where("kind = 1").select("id", "place", "line", "words")
     firsts = lines.groupBy("line").agg(F.min(_first()).alias("first"), F.count("*").alias("rows"))
 
-    halves = docs.select("text").mapInArrow(_half_rows, "half long, line long")
-    shared = bit_table(halves.groupBy("half").agg(F.min("line").alias("lo"), F.max("line").alias("hi")).where("lo <> hi").select("half"))
-    rows = docs.mapInArrow(_deletions(shared), f"left long, gone long, id {kind}, place long, line long")
-    rows = settle(rows.groupBy("left", "gone", "line").agg(F.min(_first()).alias("first")))
+    rows = both.where("kind = 0").groupBy("left", "gone", "line").agg(F.min(_first()).alias("first"))
     by_place = rows.where("gone >= 0").groupBy("left", "gone").agg(F.min(F.struct("first", "line")).alias("swapped"))
     by_words = rows.groupBy("left").agg(
         F.min(F.when(F.col("gone") < 0, F.struct("first", "line"))).alias("whole"),
         F.min(F.when(F.col("gone") >= 0, F.struct("first", "line"))).alias("longer"),
         F.min("line").alias("lo"), F.max("line").alias("hi"),
     ).where("lo <> hi").drop("lo", "hi")
-    met = rows.join(by_words, "left").join(by_place, ["left", "gone"], "left")
-    met = met.withColumn("other", F.when(F.col("gone") < 0, F.col("longer")).otherwise(F.least("swapped", "whole")))
-    pairs = met.where("other.first < first and other.line <> line").groupBy("line").agg(F.min("other").alias("other"))
-    pairs = settle(pairs.select("line", F.col("other.line").alias("other")))
+    meet = rows.join(by_words, "left").join(by_place, ["left", "gone"], "left")
+    meet = meet.withColumn("other", F.when(F.col("gone") < 0, F.col("longer")).otherwise(F.least("swapped", "whole")))
+    pairs = meet.where("other.first < first and other.line <> line").groupBy("line").agg(F.min("other").alias("other"))
+    pairs = pairs.select("line", F.col("other.line").alias("other"))
 
-    ends = pairs.select("line").union(pairs.select("other")).distinct()
-    words = docs.select("text").mapInArrow(_texts_of_lines(bit_table(ends)), "line long, words binary").join(ends, "line", "left_semi").dropDuplicates(["line"])
+    words = lines.where("words is not null").groupBy("line").agg(F.max("words").alias("words"))
     near = (
         pairs.join(words.withColumnRenamed("words", "a"), "line")
         .join(words.select(F.col("line").alias("other"), F.col("words").alias("b")), "other")
