@@ -1,9 +1,10 @@
 """Ranks within a group that may hold most of the table.
 
-A plain window puts a whole group into one task. Here equal values are counted first (a partial
-aggregate), the distinct values are cut into equal-width value buckets, each bucket is summed on its
-own, and only the bucket totals (at most BUCKETS rows per group) are accumulated per group. The placed
-counts feed both steps, so they are settled in the checkpoint folder instead of computed twice.
+A plain window puts a whole group into one task. Here rows (or distinct values with their counts) are dealt
+into ordered ranges of equal depth by `repartitionByRange`, which samples the data, so heavy tails and
+crowded values spread as evenly as any others. Each range is ordered on its own, and only the totals of the
+ranges (one row per group and range) are accumulated per group. The dealt rows feed both steps, so they are
+settled in the checkpoint folder; that also fixes which range is which.
 """
 
 from __future__ import annotations
@@ -15,31 +16,26 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-BUCKETS = 256
-PREFIX = 4
 
+def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`df` settled in ranges of equal depth over (by, order); `_part` numbers them in that order."""
+    return settle(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
 
-def counts_before(df: DataFrame, by: Sequence[str], value: str, extra: Sequence[str] = ()) -> DataFrame:
-    """Per (by, value, extra): its row count `_n` and the rows sorting before it, `_before`."""
-    counted = df.groupBy(*by, value, *extra).agg(F.count(F.lit(1)).alias("_n"))
-    spans = counted.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    position = (F.col(value) - F.col("_lo")) / width * BUCKETS
-    bucket = F.when(width > 0, F.least(F.floor(position), F.lit(BUCKETS - 1))).otherwise(0)
-    placed = settle(counted.join(spans, list(by)).select(*by, value, *extra, "_n", bucket.cast("int").alias("_bucket")))
-    inside = (
-        Window.partitionBy(*by, "_bucket").orderBy(value, *extra).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_total"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_bucket", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
-    )
-    return (
-        placed.withColumn("_local", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(offsets, [*by, "_bucket"])
-        .select(*by, value, *extra, "_n", (F.col("_local") + F.col("_offset")).alias("_before"))
-    )
+
+def before_part(dealt: DataFrame, by: Sequence[str], **sums: Column) -> DataFrame:
+    """Per (by, _part): the sums over all earlier ranges of the group; zero in the first."""
+    totals = dealt.groupBy(*by, "_part").agg(*[c.alias(n) for n, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*by, "_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in sums])
+
+
+def counts_before(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """Per (by, value): its row count `_n` and the rows sorting before it, `_before`."""
+    placed = ranged(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), by, [value])
+    inside = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = before_part(placed, by, _offset=F.sum("_n"))
+    local = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    return placed.withColumn("_local", local).join(offsets, [*by, "_part"]).select(*by, value, "_n", (F.col("_local") + F.col("_offset")).alias("_before"))
 
 
 def rank_average(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
@@ -53,21 +49,16 @@ def rank_average(df: DataFrame, by: Sequence[str], value: str, name: str = "rank
 def position(
     df: DataFrame, by: Sequence[str], value: str, tiebreak: str, name: str = "position", descending: bool = False
 ) -> DataFrame:
-    """1-based place of every row ordered by (value, tiebreak); `tiebreak` is a string unique within `by`.
+    """1-based place of every row ordered by (value, tiebreak); `tiebreak` is unique within `by`.
 
-    Ties are told apart inside slices of the tie-break's first characters, so a value shared by most
-    of the rows is not sorted in one task either.
+    The whole tie-break takes part in the ranges, so a value shared by most rows is split like any other.
     """
-    ordered = df.where(F.col(value).isNotNull()).withColumn(
-        "_key", -F.col(value) if descending else F.col(value)
-    ).withColumn("_slice", F.substring(F.col(tiebreak), 1, PREFIX))
-    before = counts_before(ordered, by, "_key", ["_slice"]).drop("_n")
-    w = Window.partitionBy(*by, "_key", "_slice").orderBy(tiebreak)
-    return (
-        ordered.join(before, [*by, "_key", "_slice"])
-        .withColumn(name, F.col("_before") + F.row_number().over(w))
-        .drop("_key", "_slice", "_before")
-    )
+    ordered = df.where(F.col(value).isNotNull()).withColumn("_key", -F.col(value) if descending else F.col(value))
+    dealt = ranged(ordered, by, ["_key", tiebreak])
+    inside = Window.partitionBy(*by, "_part").orderBy("_key", tiebreak)
+    offsets = before_part(dealt, by, _offset=F.count(F.lit(1)))
+    placed = dealt.withColumn("_local", F.row_number().over(inside)).join(offsets, [*by, "_part"])
+    return placed.withColumn(name, F.col("_local") + F.col("_offset")).drop("_key", "_part", "_local", "_offset")
 
 
 def with_group_stats(df: DataFrame, by: Sequence[str], **stats: Column) -> DataFrame:
@@ -77,6 +68,7 @@ def with_group_stats(df: DataFrame, by: Sequence[str], **stats: Column) -> DataF
 
 
 def top_k(df: DataFrame, by: Sequence[str], k: int, order: Sequence[Column]) -> DataFrame:
-    """First k rows per group; Spark cuts each partition to k per group before the shuffle."""
+    """First k rows per group; Spark cuts each partition to k per group before the shuffle while k is within
+    `spark.sql.optimizer.windowGroupLimitThreshold` (1,000 by default)."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")

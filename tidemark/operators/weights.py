@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import position, rank_average, top_k, with_group_stats
+from tidemark.operators.ranking import before_part, position, rank_average, ranged, top_k, with_group_stats
 from tidemark.session import settle
 
 BY = ["date"]
@@ -30,23 +30,28 @@ def top_quantile_weights(signals: DataFrame, quantile: float) -> DataFrame:
 def cap_at(weights: DataFrame, cap: float) -> DataFrame:
     """Cap weights and hand the excess pro rata to the uncapped names until nothing exceeds the cap.
 
-    Non-negative weights summing to S have at most S / cap capped names, so the scale of a date follows
-    from its S / cap + 1 largest weights: the smallest k whose next weight, scaled by
-    (S - k cap) / (S - the k largest), stays under the cap. Only those rows are ordered.
+    With the k largest weights of a date capped, the others are scaled by (sum - k cap) / (sum - the k
+    largest). The scale wanted is that of the smallest k whose next weight then stays under the cap, and
+    once it does it does for every larger k. So ranges of equal depth, largest weights first, are judged by
+    their first row alone, and only the last range whose first row is over the cap is ordered.
     """
     totals = weights.groupBy("date").agg(F.sum("weight").alias("_sum"))
-    head = weights.where(F.col("weight") > 0).join(totals, "date")
-    w = Window.partitionBy("date").orderBy(F.desc("weight"), "symbol")
-    numbered, usual = head.withColumn("_k", F.row_number().over(w)), F.col("_sum") <= 1 + 1e-9
-    # A date summing to at most one needs 1 / cap + 1 rows; Spark cuts to them before the shuffle.
-    top = head.where(usual).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= math.ceil(1 / cap) + 2)
-    rest = numbered.where(~usual)
-    before = F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left, k = F.col("_sum") - F.col("_before"), F.col("_k") - 1
-    ranked = top.unionByName(rest).withColumn("_before", before).withColumn("_scale", F.when(left > 1e-15, (F.col("_sum") - k * cap) / left))
-    fits = ranked.where(F.col("_scale") * F.col("weight") <= cap + 1e-12)
-    scale = fits.groupBy("date").agg(F.min_by("_scale", "_k").alias("_scale"))
-    out = weights.join(totals, "date").join(scale, "date", "left")
+    dealt = ranged(weights.where(F.col("weight") > 0).select("date", "symbol", "weight", (-F.col("weight")).alias("_key")), BY, ["_key", "symbol"])
+    left = F.col("_sum") - F.col("_before")
+    scale = F.when(left > 1e-15, (F.col("_sum") - F.col("_k") * cap) / left)
+    fits = scale * F.col("weight") <= cap + 1e-12
+    heads = dealt.groupBy("date", "_part").agg(F.max("weight").alias("weight"))
+    earlier = before_part(dealt, BY, _k=F.count(F.lit(1)), _before=F.sum("weight"))
+    heads = heads.join(earlier, ["date", "_part"]).join(totals, "date").withColumn("_scale", scale).withColumn("_fits", F.coalesce(fits, F.lit(False)))
+    first = heads.where(F.col("_fits")).groupBy("date").agg(F.min_by(F.struct("_k", "_scale"), "_k").alias("_best"))
+    turning = heads.where(~F.col("_fits")).groupBy("date").agg(F.max("_part").alias("_part"))
+    w = Window.partitionBy("date").orderBy("_key", "symbol")
+    inside = dealt.join(turning, ["date", "_part"]).join(earlier, ["date", "_part"]).join(totals, "date")
+    inside = inside.withColumn("_k", F.col("_k") + F.row_number().over(w) - 1)
+    inside = inside.withColumn("_before", F.col("_before") + F.coalesce(F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    later = inside.withColumn("_scale", scale).where(fits).groupBy("date").agg(F.min_by(F.struct("_k", "_scale"), "_k").alias("_best"))
+    best = first.unionByName(later).groupBy("date").agg(F.min("_best").alias("_best")).select("date", F.col("_best._scale").alias("_scale"))
+    out = weights.join(totals, "date").join(best, "date", "left")
     scaled = F.least(F.lit(cap), F.col("weight") * F.coalesce(F.col("_scale"), F.lit(float("inf"))))
     return out.withColumn("weight", F.when(F.col("weight") > 0, scaled).otherwise(F.col("weight"))).drop("_sum", "_scale")
 
@@ -182,9 +187,12 @@ def gross_exposure_check(weights: DataFrame) -> DataFrame:
 
 
 def hist_mean_returns(returns: DataFrame, asof, lookback: int, shrink: float = 0.0, to_zero: bool = False) -> DataFrame:
-    """Mean of the last `lookback` returns strictly before a date, shrunk to the cross-section or to zero."""
-    past = top_k(returns.where(F.col("date") < F.lit(asof)), ["symbol"], lookback, [F.desc("date")])
-    mu = past.groupBy("symbol").agg(F.avg("ret").alias("mu"))
+    """Mean of what each symbol has on the last `lookback` dates of the panel strictly before a date, 0 if it has
+    nothing there, shrunk to the cross-section or to zero."""
+    past = returns.where(F.col("date") < F.lit(asof))
+    days = past.select("date").distinct().orderBy(F.desc("date")).limit(lookback)  # calendar sized
+    window = days.agg(F.min("date")).scalar()
+    mu = past.groupBy("symbol").agg(F.coalesce(F.avg(F.when(F.col("date") >= window, F.col("ret"))), F.lit(0.0)).alias("mu"))
     centre = F.lit(0.0) if to_zero else mu.agg(F.avg("mu")).scalar()
     return mu.withColumn("mu", (1 - shrink) * F.col("mu") + shrink * centre)
 

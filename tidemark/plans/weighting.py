@@ -145,7 +145,7 @@ def monthly_returns(spark, sf):
 SQL_RET = SQL_STUDY + ", ret AS (SELECT * FROM (SELECT date, symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret FROM mb) WHERE ret IS NOT NULL)"
 
 
-@query("hist_mean_returns", f"WITH {SQL_RET}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM ret WHERE date < DATE '1999-06-30'), m AS (SELECT symbol, avg(ret) AS mu FROM r WHERE k <= 24 GROUP BY 1) SELECT symbol, round(0.7 * mu + 0.3 * (SELECT avg(mu) FROM m), 6) AS mu FROM m")
+@query("hist_mean_returns", f"WITH {SQL_RET}, r AS (SELECT *, dense_rank() OVER (ORDER BY date DESC) AS k FROM ret WHERE date < DATE '1999-06-30'), m AS (SELECT symbol, coalesce(avg(ret) FILTER (k <= 24), 0) AS mu FROM r GROUP BY 1) SELECT symbol, round(0.7 * mu + 0.3 * (SELECT avg(mu) FROM m), 6) AS mu FROM m")
 def hist_mean_returns(spark, sf):
     return wt.hist_mean_returns(monthly_returns(spark, sf), D(1999, 6, 30), 24, 0.3).withColumn("mu", rounded(F.col("mu")))
 
