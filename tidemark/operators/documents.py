@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import latest_by
@@ -21,7 +21,7 @@ LINE_LIMIT = 500
 
 
 def lines_of(text: Column) -> Column:
-    return F.split(text, "\n")
+    return F.split(text, "\r\n|\n|\r")
 
 
 def truncate_text(df: DataFrame, limit: int, column: str = "text") -> DataFrame:
@@ -54,7 +54,7 @@ def search_lines(
         return line.rlike(needle) if regex else F.contains(line, F.lit(needle))
 
     numbered = F.transform(F.col("_lines"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line")))
-    hits = F.filter(numbered, lambda h: hit(h.getField("line")))
+    hits = F.transform(F.filter(numbered, lambda h: hit(h.getField("line"))), lambda h: h.withField("line", F.regexp_replace(h.getField("line"), r"^\s+|\s+$", "")))
     if per_file is not None:
         hits = F.slice(hits, 1, per_file)
     first = F.greatest(F.col("line_no") - CONTEXT, F.lit(1))
@@ -172,6 +172,16 @@ def is_machine_table(block: Column) -> Column:
     return block.rlike(r"^\s*\|") & out
 
 
+def blank_comments(text: Column) -> Column:
+    """Comments as spaces at their length, line feeds kept: words on both sides stay apart and on their lines."""
+    found = F.regexp_extract_all(text, F.lit(COMMENT), F.lit(0))
+    between = F.split(text, COMMENT, -1)
+    blanks = F.transform(found, lambda c: F.regexp_replace(c, r"[^\n]", " "))
+    return F.when(
+        F.contains(text, F.lit("<!--")), F.array_join(F.flatten(F.transform(between, lambda p, i: F.array_compact(F.array(p, F.try_element_at(blanks, i + 1))))), "")
+    ).otherwise(text)
+
+
 def clean_for_reader(df: DataFrame, column: str = "text") -> DataFrame:
     """Text without comments, reader metadata, machine tables and machine paragraphs, and the removal counts.
 
@@ -179,15 +189,11 @@ def clean_for_reader(df: DataFrame, column: str = "text") -> DataFrame:
     surviving blocks are joined with one blank line between them.
     """
     body = F.regexp_replace(F.col(column), EXCLUDED_SECTION, "\n")
-    body = F.regexp_replace(body, COMMENT, "")
+    body = blank_comments(body)
     body = F.regexp_replace(body, "(?m)" + READER_METADATA, "")
     body = F.regexp_replace(body, r"(?m)^((?:[^\S\n]*\|.*\|[^\S\n]*(?:\n|\z))+)", "\n$1\n")
     parts = F.filter(F.split(body, r"\n[^\S\n]*(?:\n[^\S\n]*)+"), lambda b: F.trim(b, F.lit(" \n\t")) != "")
-    # A block can only be a machine's when the whole text has a machine's mark, which most texts lack.
-    suspect = is_machine_paragraph(F.col(column))
-    for term in MACHINE_TABLE_TERMS:
-        suspect = suspect | F.contains(F.lower(F.col(column)), F.lit(term))
-    judged = F.when(suspect, F.filter("_blocks", lambda b: ~(is_machine_table(b) | is_machine_paragraph(b)))).otherwise(F.col("_blocks"))
+    judged = F.filter("_blocks", lambda b: ~(is_machine_table(b) | is_machine_paragraph(b)))
     tidy = F.transform("_kept", lambda b: F.regexp_replace(b, r"(?m)[^\S\n]+$|^\n+|\n+$", ""))
     return (
         df.withColumn("_blocks", parts)
@@ -286,7 +292,7 @@ def grade_cache_lookup(documents: DataFrame, cache: DataFrame, force: bool = Fal
 
 
 # What names a deep or first-coverage report.
-DEPTH_KEYWORDS = r"深度|首次覆盖|首次"
+DEPTH_KEYWORDS = r"深度|首次|覆盖|重大"
 
 
 def depth_reports(reports: DataFrame, asof: date, depth: str = DEPTH_KEYWORDS) -> DataFrame:
@@ -325,13 +331,17 @@ def classify_pages(pages: DataFrame, status: Column, expected: Column) -> DataFr
 def consecutive_batches(turns: DataFrame, chunk: int = 4096) -> DataFrame:
     """Runs of neighbouring turns with one role, as (conv_id, first_turn, role, n_turns, text).
 
-    A turn starts a run when the turn before it has another role (an equi-join on turn - 1); the start of
-    a run reaches its rows by a carry over bounded chunks of turns, so a very long conversation is split.
+    A turn starts a run when the turn before it in order, whatever its number, has another role; the start
+    of a run reaches its rows by a carry over bounded chunks of turns, so a very long conversation is split.
     """
-    before = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("_prev"))
-    marked = turns.join(before, ["conv_id", "turn"], "left").withColumn(
-        "_start", F.when(F.col("_prev").isNull() | (F.col("_prev") != F.col("role")), F.col("turn"))
-    ).withColumn("_chunk", F.floor(F.col("turn") / chunk))
+    # The turn before in order: inside its chunk a window, at a chunk's first turn the last one of the chunk before.
+    chunked = turns.withColumn("_chunk", F.floor(F.col("turn") / chunk))
+    inside = Window.partitionBy("conv_id", "_chunk").orderBy("turn")
+    ends = chunked.groupBy("conv_id", "_chunk").agg(F.max_by("role", "turn").alias("_last"))
+    ends = ends.select("conv_id", "_chunk", F.lag("_last").over(Window.partitionBy("conv_id").orderBy("_chunk")).alias("_last"))
+    seen = chunked.withColumn("_prev", F.lag("role").over(inside)).join(ends, ["conv_id", "_chunk"])
+    previous = F.coalesce("_prev", "_last")
+    marked = seen.withColumn("_start", F.when(previous.isNull() | (previous != F.col("role")), F.col("turn"))).drop("_prev", "_last")
     carried = carry_forward(marked, ["conv_id"], "_chunk", "turn", "_start")
     return carried.groupBy("conv_id", F.col("_start").alias("first_turn"), "role").agg(
         F.count(F.lit(1)).alias("n_turns"),
@@ -341,8 +351,6 @@ def consecutive_batches(turns: DataFrame, chunk: int = 4096) -> DataFrame:
 
 def carry_forward(df: DataFrame, keys: Sequence[str], chunk: str, order: str, value: str) -> DataFrame:
     """Last non-null `value` at or before each row, computed per chunk plus one carried value per chunk."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     ends = df.groupBy(*keys, chunk).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
     earlier = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
@@ -373,8 +381,11 @@ def fiscal_year_extract(title: Column) -> Column:
     return F.when(year.between(*YEAR_BOUNDS), year)
 
 
-def report_period_end(df: DataFrame, cover_lines: int = 40, marker: str = "(?i)audited", column: str = "text") -> DataFrame:
-    """Period end of extracted text: the only date of the cover that also stands at or within three lines
+COVER_PAGES = 10
+
+
+def report_period_end(df: DataFrame, cover_pages: int = COVER_PAGES, marker: str = "(?i)audited", column: str = "text") -> DataFrame:
+    """Period end of extracted text: the only date of the cover, its first pages (parted by form feeds), that also stands at or within three lines
     after an audited-statement marker; none or several give NULL."""
     lines = F.col("_lines")
 
@@ -385,6 +396,6 @@ def report_period_end(df: DataFrame, cover_lines: int = 40, marker: str = "(?i)a
         lines, lambda x, i: F.exists(F.slice(lines, F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4))), lambda y: y.rlike(marker))
         & ~x.rlike("(?i)forecast|comparative"),
     )
-    both = F.array_intersect(dates(F.slice(lines, 1, cover_lines)), dates(near))
+    both = F.array_intersect(dates(F.slice(F.split(F.col(column), "\f"), 1, cover_pages)), dates(near))
     only = F.when(F.size("_both") == 1, F.try_to_date(F.col("_both")[0], "d MMMM yyyy"))
     return df.withColumn("_lines", lines_of(F.col(column))).withColumn("_both", both).withColumn("period_end", only).drop("_lines", "_both")

@@ -38,10 +38,16 @@ def event_merge(events: DataFrame, keys: Sequence[str], provenance: Sequence[str
 
 
 def event_window_filter(events: DataFrame, start: date, asof: date) -> DataFrame:
-    """Events with no date after `asof`; they lie in the window unless the case is still open."""
-    at = F.lit(asof)
-    known = (F.col("occurrence_date") <= at) & (F.col("publication_date") <= at) & (F.col("effective_date") <= at)
-    return events.where(known & ((F.col("occurrence_date") >= F.lit(start)) | (F.col("status") == "open")))
+    """Events with no known date after `asof`, that happened and were published in the window unless the case is
+    still open. An unknown date rules nothing out."""
+    at, begin = F.lit(asof), F.lit(start)
+
+    def holds(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(True))
+
+    known = holds(F.col("occurrence_date") <= at) & holds(F.col("publication_date") <= at) & holds(F.col("effective_date") <= at)
+    inside = holds(F.col("occurrence_date") >= begin) & holds(F.col("publication_date") >= begin)
+    return events.where(known & (inside | F.coalesce(F.col("status") == "open", F.lit(False))))
 
 
 def event_rules(events: DataFrame, rules: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -54,9 +60,10 @@ def tenure_match(events: DataFrame, roster: DataFrame) -> DataFrame:
     segments = roster.select("person_id", "role", "tenure_start", "tenure_end", "segment_id")
     probe = events.withColumnRenamed("subject_id", "person_id")
     hits = interval_join(probe, segments, ["person_id", "role"], "occurrence_date", "tenure_start", "tenure_end", closed_end=True)
-    counted = hits.groupBy("record_id").agg(F.count(F.lit(1)).alias("_n"), F.min("segment_id").alias("_segment"))
+    who = ["record_id", "person_id", "role"]
+    counted = hits.groupBy(*who).agg(F.count(F.lit(1)).alias("_n"), F.min("segment_id").alias("_segment"))
     people = roster.select("person_id").distinct().withColumn("_known", F.lit(True))
-    out = probe.join(counted, "record_id", "left").join(people, "person_id", "left")
+    out = probe.join(counted, who, "left").join(people, "person_id", "left")
     state = F.when(F.col("_known").isNull(), "unknown_person").when(F.col("_n").isNull(), "no_segment").when(F.col("_n") > 1, "ambiguous").otherwise("matched")
     return out.select("record_id", "person_id", state.alias("match"), F.when(state == "matched", F.col("_segment")).alias("segment_id"))
 
@@ -112,10 +119,18 @@ def series_freshness(series: DataFrame, keys: Sequence[str], last_completed: int
 
 
 def series_stitch(series: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Union of the sources of a claim when they agree wherever they overlap; each period keeps its first source."""
+    """Union of the sources of a claim when they agree wherever they overlap; each period keeps its first source.
+
+    Sources join only where they meet: a claim with a source that shares no period with the others is left out.
+    """
     per = series.groupBy(key, "period").agg(F.count_distinct("value").alias("_values"), F.min_by("value", "source_id").alias("value"), F.min("source_id").alias("source_id"))
-    clash = per.where(F.col("_values") > 1).select(key).distinct()
-    return per.join(clash, key, "left_anti").select(key, "period", "value", "source_id")
+    clash = per.where(F.col("_values") > 1).select(key)
+    held = series.select(key, "period", "source_id").distinct()
+    crowd = held.groupBy(key, "period").agg(F.count(F.lit(1)).alias("_sources"))
+    alone = held.join(crowd, [key, "period"]).groupBy(key, "source_id").agg(F.max("_sources").alias("_most")).where(F.col("_most") == 1)
+    several = held.groupBy(key).agg(F.count_distinct("source_id").alias("_all")).where(F.col("_all") > 1)
+    apart = alone.join(several, key).select(key)
+    return per.join(clash.union(apart).distinct(), key, "left_anti").select(key, "period", "value", "source_id")
 
 
 def series_conflict(series: DataFrame, strength: DataFrame, key: str = "claim_id") -> DataFrame:
@@ -146,11 +161,13 @@ def independent_sources(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 # The gates in the order they are reported.
-GATES = ("identity", "scope", "unit", "continuity", "freshness", "lineage", "conflict")
+GATES = ("identity", "scope", "continuity", "status", "freshness", "authority", "support", "lineage", "conflict")
 
 
 def gate_failures(df: DataFrame, failed: dict[str, Column]) -> DataFrame:
-    """Ordered list of the gates a claim fails."""
+    """Ordered list of the gates a claim fails; a gate that is not one of GATES is an error."""
+    if unknown := set(failed) - set(GATES):
+        raise ValueError(f"unknown gates: {sorted(unknown)}")
     named = [F.when(F.coalesce(failed[g], F.lit(False)), F.lit(g)) for g in GATES if g in failed]
     return df.withColumn("failures", F.array_compact(F.array(*named)))
 

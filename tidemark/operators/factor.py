@@ -63,17 +63,18 @@ def normal_two_sided(t: pd.Series) -> pd.Series:
     return t.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
-def lagged_products(series: DataFrame, keys: Sequence[str], left: str, right: str) -> DataFrame:
-    """Bartlett-weighted sum over lags of left[t] * right[t - l], per key.
+def lagged_products(series: DataFrame, keys: Sequence[str], pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Bartlett-weighted sums over lags of left[t] * right[t - l], per key, one column per (left, right) of `pairs`.
 
     `series` has (keys, _t, _lags): the observation number and the number of lags of its key. Each row
     lists the later rows it meets, so lags are an equi-join of at most `_lags` rows per row.
     """
-    later = series.select(
-        *keys, F.col(right).alias("_y"), F.posexplode(F.sequence(F.lit(1), F.col("_lags"))).alias("_p", "_l"), F.col("_t"), "_lags"
-    ).select(*keys, (F.col("_t") + F.col("_l")).alias("_t"), (1 - F.col("_l") / (F.col("_lags") + 1)).alias("_w"), "_y")
-    met = series.select(*keys, "_t", F.col(left).alias("_x")).join(later, [*keys, "_t"])
-    return met.groupBy(*keys).agg(F.sum(F.col("_w") * F.col("_x") * F.col("_y")).alias("_gamma"))
+    lefts, rights = ({p[i] for p in pairs.values()} for i in (0, 1))
+    values = [F.col(c).alias(f"_y{c}") for c in sorted(rights)]
+    later = series.select(*keys, *values, F.explode(F.sequence(F.lit(1), F.col("_lags"))).alias("_l"), F.col("_t"), "_lags")
+    later = later.select(*keys, (F.col("_t") + F.col("_l")).alias("_t"), (1 - F.col("_l") / (F.col("_lags") + 1)).alias("_w"), *[f"_y{c}" for c in sorted(rights)])
+    met = series.select(*keys, "_t", *[F.col(c).alias(f"_x{c}") for c in sorted(lefts)]).join(later, [*keys, "_t"])
+    return met.groupBy(*keys).agg(*[F.sum(F.col("_w") * F.col(f"_x{x}") * F.col(f"_y{y}")).alias(n) for n, (x, y) in pairs.items()])
 
 
 def numbered(series: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,7 +93,7 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     base = rows.groupBy("horizon").agg(
         F.first("_n").alias("n"), F.first("_mean").alias("mean_ic"), F.first("_sd").alias("_sd"), F.sum(F.col("_e") * F.col("_e")).alias("_g0"),
     )
-    out = base.join(lagged_products(rows, ["horizon"], "_e", "_e"), "horizon", "left")
+    out = base.join(lagged_products(rows, ["horizon"], {"_gamma": ("_e", "_e")}), "horizon", "left")
     variance = (F.col("_g0") + 2 * F.coalesce(F.col("_gamma"), F.lit(0.0))) / (F.col("n") * F.col("n"))
     t = F.when(variance > 0, F.col("mean_ic") / F.sqrt(variance))
     ir = F.when(F.col("_sd") > 0, F.col("mean_ic") / F.col("_sd")).otherwise(F.lit(0.0))

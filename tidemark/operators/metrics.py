@@ -99,8 +99,8 @@ def newey_west(aligned: DataFrame, keys: Sequence[str], least: int = 10) -> Data
         F.sum(F.col("_u") * F.col("_u")).alias("_g11"), F.sum(F.col("_u") * F.col("_v")).alias("_g12"), F.sum(F.col("_v") * F.col("_v")).alias("_g22")
     )
     out = fit.join(own, list(keys))
-    for name, left, right in (("_l11", "_u", "_u"), ("_l12", "_u", "_v"), ("_l21", "_v", "_u"), ("_l22", "_v", "_v")):
-        out = out.join(lagged_products(scored, keys, left, right).withColumnRenamed("_gamma", name), list(keys), "left")
+    lagged = {"_l11": ("_u", "_u"), "_l12": ("_u", "_v"), "_l21": ("_v", "_u"), "_l22": ("_v", "_v")}
+    out = out.join(lagged_products(scored, keys, lagged), list(keys), "left")
     s11 = F.col("_g11") + 2 * F.col("_l11")
     s12 = F.col("_g12") + F.col("_l12") + F.col("_l21")
     s22 = F.col("_g22") + 2 * F.col("_l22")

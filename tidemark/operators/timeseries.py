@@ -80,20 +80,14 @@ def panel_index(bars: DataFrame) -> DataFrame:
 def forward_log_return(bars: DataFrame, horizons: Sequence[int], price: str = "close") -> DataFrame:
     """ln(p[t+h]/p[t]) over h dates of the panel calendar, for each horizon, as rows (date, symbol, horizon).
 
-    The bar h panel days ahead is found by shifting later bars back onto the calendar: the panel index
-    is joined by date and bars meet on (symbol, idx), so no per-symbol row counting is involved.
+    Bars carry their panel index, so the bar exactly h panel days ahead is a range frame of one value over
+    (symbol, idx): one shuffle by symbol for all horizons.
     """
-    placed = bars.join(panel_index(bars), "date").select("symbol", "date", "idx", price)
-    ends = placed.select(
-        "symbol", F.col("idx").alias("_end"), F.col(price).alias("_later")
-    ).withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
-    ends = ends.select("symbol", (F.col("_end") - F.col("horizon")).alias("idx"), "horizon", "_later")
-    return (
-        placed.join(ends, ["symbol", "idx"])
-        .withColumn("fwd", log_ratio(F.col("_later"), F.col(price)))
-        .where(F.col("fwd").isNotNull())
-        .select("date", "symbol", "horizon", "fwd")
-    )
+    placed = bars.join(panel_index(bars), "date").select("symbol", "date", F.col("idx").cast("long").alias("idx"), price)
+    along = Window.partitionBy("symbol").orderBy("idx")
+    ahead = {h: log_ratio(F.max(price).over(along.rangeBetween(int(h), int(h))), F.col(price)) for h in horizons}
+    rows = placed.select("date", "symbol", F.array(*[F.struct(F.lit(int(h)).alias("horizon"), c.alias("fwd")) for h, c in ahead.items()]).alias("_ahead"))
+    return rows.select("date", "symbol", F.inline("_ahead")).where(F.col("fwd").isNotNull())
 
 
 def rolling_zscore(df: DataFrame, value: str, keys: Sequence[str], rows: int = 60, out: str = "zscore") -> DataFrame:

@@ -60,12 +60,13 @@ def parse_sections(spark, sf):
     return dc.parse_sections(_markdown(spark, sf)).select("doc_id", "section_no", "section", "body")
 
 
-@query("get_section", f"""WITH {SQL_SECTIONS}, named AS (SELECT doc_id, left(section, 2) AS section, section_no, body FROM sections), k AS (SELECT doc_id, section, last(body ORDER BY section_no) AS body FROM named GROUP BY 1, 2)
-    SELECT doc_id, max(body) FILTER (section = 'An') AS body, list_sort(list(section)) AS available FROM k GROUP BY 1""")
+SECTION_NAME = "Anble anes."  # a heading that many documents share
+
+
+@query("get_section", f"""WITH {SQL_SECTIONS}, k AS (SELECT doc_id, section, last(body ORDER BY section_no) AS body FROM sections GROUP BY 1, 2)
+    SELECT doc_id, max(body) FILTER (section = '{SECTION_NAME}') AS body, list_sort(list(section)) AS available FROM k GROUP BY 1""")
 def get_section(spark, sf):
-    s = dc.parse_sections(_markdown(spark, sf)).select("doc_id", "section_no", F.substring("section", 1, 2).alias("section"), "body")
-    kept = dc.latest_by(s, ["doc_id", "section"], [F.col("section_no")], ["body"])
-    return kept.groupBy("doc_id").agg(F.max(F.when(F.col("section") == "An", F.col("body"))).alias("body"), F.array_sort(F.collect_list("section")).alias("available"))
+    return dc.get_section(_markdown(spark, sf), ["doc_id"], SECTION_NAME).where(F.size("available") > 0)
 
 
 @query("clean_for_reader")
@@ -149,8 +150,8 @@ def fiscal_year_extract(spark, sf):
 def report_period_end(spark, sf):
     d = F.col("doc_id")
     y = (2010 + d % 13).cast("string")
-    head = F.concat(F.lit("Annual report\nFor the year ended 31 December "), y, F.lit("\n"))
+    head = F.concat(F.lit("Annual report\nFor the year ended 31 December "), y, F.lit("\n\f" * 10))
     tail = F.when(d % 3 == 0, F.concat(F.lit("\nAudited statements\n\nfor the year ended 31 December "), y)).when(
         d % 3 == 1, F.lit("\nAudited statements\nfor the year ended 30 June 2001")).otherwise(F.lit(""))
     text = F.concat(head, F.col("text"), tail)
-    return dc.report_period_end(v.table(spark, sf, "documents").select("doc_id", text.alias("text")), cover_lines=2).select("doc_id", "period_end")
+    return dc.report_period_end(v.table(spark, sf, "documents").select("doc_id", text.alias("text"))).select("doc_id", "period_end")

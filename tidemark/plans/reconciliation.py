@@ -116,7 +116,7 @@ def event_merge(spark, sf):
     return out.select("title", "occurrence_date", "category", F.size("provenance").cast("bigint").alias("n_provenance"), F.col("provenance")[0]["source_id"].alias("first_source"))
 
 
-@query("event_window_filter", "SELECT record_id, status FROM v_event WHERE greatest(occurrence_date, publication_date, effective_date) <= DATE '2024-01-25' AND (occurrence_date >= DATE '2024-01-10' OR status = 'open')")
+@query("event_window_filter", "SELECT record_id, status FROM v_event WHERE greatest(occurrence_date, publication_date, effective_date) <= DATE '2024-01-25' AND (least(occurrence_date, publication_date) >= DATE '2024-01-10' OR status = 'open')")
 def event_window_filter(spark, sf):
     return ev.event_window_filter(v.v_event(spark, sf), D(2024, 1, 10), D(2024, 1, 25)).select("record_id", "status")
 
@@ -128,8 +128,8 @@ def event_rules(spark, sf):
     return ev.event_rules(e, rules, ["category", "status"]).select("record_id", "category", "status")
 
 
-@query("tenure_match", """WITH h AS (SELECT e.record_id, count(*) AS n, min(r.segment_id) AS s FROM v_event e JOIN v_roster r ON r.person_id = e.subject_id AND r.role = e.role AND r.tenure_start <= e.occurrence_date AND (r.tenure_end IS NULL OR r.tenure_end >= e.occurrence_date) GROUP BY 1)
-    SELECT e.record_id, e.subject_id AS person_id, CASE WHEN e.subject_id NOT IN (SELECT person_id FROM v_roster) THEN 'unknown_person' WHEN n IS NULL THEN 'no_segment' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS match, CASE WHEN n = 1 THEN s END AS segment_id FROM v_event e LEFT JOIN h USING (record_id)""")
+@query("tenure_match", """WITH h AS (SELECT e.record_id, e.subject_id, e.role, count(*) AS n, min(r.segment_id) AS s FROM v_event e JOIN v_roster r ON r.person_id = e.subject_id AND r.role = e.role AND r.tenure_start <= e.occurrence_date AND (r.tenure_end IS NULL OR r.tenure_end >= e.occurrence_date) GROUP BY 1, 2, 3)
+    SELECT e.record_id, e.subject_id AS person_id, CASE WHEN e.subject_id NOT IN (SELECT person_id FROM v_roster) THEN 'unknown_person' WHEN n IS NULL THEN 'no_segment' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS match, CASE WHEN n = 1 THEN s END AS segment_id FROM v_event e LEFT JOIN h USING (record_id, subject_id, role)""")
 def tenure_match(spark, sf):
     return ev.tenure_match(v.v_event(spark, sf), v.v_roster(spark, sf))
 
@@ -183,7 +183,7 @@ def series_freshness(spark, sf):
     return ev.series_freshness(v.v_series(spark, sf), S, 2001, 1)
 
 
-@query("series_stitch", "WITH p AS (SELECT claim_id, period, count(DISTINCT value) AS n, arg_min(value, source_id) AS value, min(source_id) AS source_id FROM v_series GROUP BY 1, 2) SELECT claim_id, period, value, source_id FROM p WHERE claim_id NOT IN (SELECT claim_id FROM p WHERE n > 1)")
+@query("series_stitch", "WITH p AS (SELECT claim_id, period, count(DISTINCT value) AS n, arg_min(value, source_id) AS value, min(source_id) AS source_id FROM v_series GROUP BY 1, 2) SELECT claim_id, period, value, source_id FROM p WHERE claim_id NOT IN (SELECT claim_id FROM p WHERE n > 1) AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT claim_id, source_id FROM v_series) a JOIN (SELECT claim_id FROM v_series GROUP BY 1 HAVING count(DISTINCT source_id) > 1) m USING (claim_id) WHERE a.claim_id = p.claim_id AND NOT EXISTS (SELECT 1 FROM v_series x JOIN v_series y USING (claim_id, period) WHERE x.claim_id = a.claim_id AND x.source_id = a.source_id AND y.source_id <> a.source_id))")
 def series_stitch(spark, sf):
     lines = v.v_series(spark, sf)
     return ev.series_stitch(lines)

@@ -27,12 +27,15 @@ def local_session(cpus: int | None = None, app: str = "tidemark") -> SparkSessio
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only where none is configured."""
+    """The shared checkpoint folder of the cluster. A scratch folder stands in for it on a local master alone: elsewhere
+    executors would write files that the others cannot read, so there a missing setting is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     scratch = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(scratch)
     return scratch

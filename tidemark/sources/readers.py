@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,21 +69,24 @@ def write_upsert(
 ) -> None:
     """Upsert a batch into parquet partitioned by `partition`, rewriting only the partitions it touches.
 
-    The merged rows go to a staging folder first, since a partition cannot be read while it is replaced.
+    The merged rows go to a staging folder of their own first, since a partition cannot be read while it is
+    replaced. `partition` must be a function of the keys, or a key would stay in the partition it left.
     """
     try:
         base = spark.read.parquet(path)
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER" not in str(exc):
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         batch.write.partitionBy(partition).mode("append").parquet(path)
         return
     touched = base.join(batch.select(partition).distinct(), partition, "left_semi")
-    staging = f"{path.rstrip('/')}__staging"
+    staging = f"{path.rstrip('/')}__staging-{uuid.uuid4()}"
     upsert_by_key(touched.select(*batch.columns), batch, keys).write.mode("overwrite").parquet(staging)
     spark.read.parquet(staging).write.partitionBy(partition).mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 # --- vendor rows ------------------------------------------------------------------------------
