@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.symbols import from_vendor_symbol, to_vendor_symbol
 from tidemark.operators import accounting as ac
 from tidemark import session
+from tidemark.operators import catalog as ca
 from tidemark.operators import documents as dc
 from tidemark.operators import evidence as ev
 from tidemark.operators import factor as fa
@@ -217,6 +218,18 @@ def test_cover_is_the_first_pages_and_runs_need_no_dense_numbers(spark):
     assert sorted((r.first_turn, r.n_turns, r.text) for r in dc.consecutive_batches(turns).collect()) == [(0, 3, "a\nb\nc"), (9001, 1, "d")]
 
 
+def test_unreadable_payloads_leave_a_row(spark):
+    good = '{"totalAnnouncement": 1, "announcements": [{"secCode": "1", "announcementId": "7", "announcementTitle": "t", "announcementTime": 1}]}'
+    a = ca.parse_announcements_a(frame(spark, [("g", good), ("b", "not json"), ("e", '{"announcements": []}')], "k string, payload string"))
+    assert sorted((r.k, r.malformed) for r in a.collect()) == [("b", True), ("g", False)]
+    with pytest.raises(Exception, match="malformed"):
+        ca.require_well_formed(a).collect()
+    hk = ca.parse_announcements_hk(frame(spark, [("b", "{}"), ("n", None)], "k string, payload string"))
+    assert [r.malformed for r in hk.collect()] == [True, True]
+    u = rd.parse_universe(frame(spark, [("m", '{"A": 1.5}'), ("x", "{broken"), ("l", '["B", "B"]'), ("e", "[]")], "id string, payload string"))
+    assert sorted((r.id, r.symbol or "") for r in u.collect()) == [("l", "B"), ("m", "A"), ("x", "")]
+
+
 def test_upserts_leave_no_staging_and_a_checkpoint_folder_must_be_shared(spark, tmp_path):
     rows = lambda *r: frame(spark, r, "k int, year int, v int")
     for batch in (rows((1, 2020, 1), (2, 2021, 2)), rows((1, 2020, 3))):

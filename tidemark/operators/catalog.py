@@ -28,10 +28,21 @@ A_SCHEMA = (
 HK_SCHEMA = "array<struct<NEWS_ID:string,DATE_TIME:string,STOCK_CODE:string,TITLE:string,FILE_LINK:string>>"
 
 
+def or_one_null(records: str) -> Column:
+    """The records, or a single null one where they could not be read, so that no payload vanishes."""
+    return F.coalesce(F.col(records), F.array(F.try_element_at(F.col(records), F.lit(1))))
+
+
+def require_well_formed(records: DataFrame) -> DataFrame:
+    """The strict reading: the first malformed record is an error when the plan runs."""
+    return records.withColumn("malformed", F.when(F.col("malformed"), F.raise_error(F.lit("malformed announcement record")).cast("boolean")).otherwise(F.lit(False)))
+
+
 def parse_announcements_a(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Mainland catalog JSON to rows; a record without an id, title or time has malformed = true."""
+    """Mainland catalog JSON to rows; a record without an id, title or time has malformed = true, and so has the
+    one row of a payload that cannot be read. A payload of no announcements has no row."""
     rest = [c for c in df.columns if c != column]
-    rows = df.select(*rest, F.from_json(column, A_SCHEMA).alias("_p")).select(*rest, F.explode("_p.announcements").alias("a"))
+    rows = df.select(*rest, F.from_json(column, A_SCHEMA).alias("_p")).select(*rest, F.explode(or_one_null("_p.announcements")).alias("a"))
     when = F.timestamp_millis(F.col("a.announcementTime"))
     return rows.select(
         *rest, F.col("a.secCode").alias("code"), F.col("a.announcementId").alias("announcement_id"), F.col("a.announcementTitle").alias("title"),
@@ -41,11 +52,11 @@ def parse_announcements_a(df: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def parse_announcements_hk(df: DataFrame, column: str = "payload") -> DataFrame:
-    """Hong Kong payloads hold a JSON array inside a JSON string."""
+    """Hong Kong payloads hold a JSON array inside a JSON string; an unreadable one gives one malformed row."""
     rest = [c for c in df.columns if c != column]
     inner = F.from_json(F.get_json_object(column, "$.result"), HK_SCHEMA)
     when = F.try_to_timestamp(F.col("a.DATE_TIME"), F.lit("dd/MM/yyyy HH:mm"))
-    return df.select(*rest, F.explode(inner).alias("a")).select(
+    return df.select(*rest, inner.alias("_inner")).select(*rest, F.explode(or_one_null("_inner")).alias("a")).select(
         *rest, F.col("a.STOCK_CODE").alias("code"), F.col("a.NEWS_ID").alias("announcement_id"), F.col("a.TITLE").alias("title"),
         F.to_date(when).alias("announced"), F.col("a.FILE_LINK").alias("url"), (F.col("a.NEWS_ID").isNull() | F.col("a.TITLE").isNull() | when.isNull()).alias("malformed"),
     )

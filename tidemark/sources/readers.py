@@ -94,9 +94,6 @@ def write_upsert(
 
 def normalize_vendor_a(raw: DataFrame) -> DataFrame:
     """All-string vendor bars to typed bars: missing volume is zero, any status but '1' is a suspension."""
-    def number(c: str) -> Column:
-        return F.try_cast(F.col(c), "double") if hasattr(F, "try_cast") else F.expr(f"try_cast({c} AS double)")
-
     return raw.select(
         F.expr("try_cast(date AS date)").alias("date"),
         F.col("symbol"),
@@ -206,14 +203,17 @@ def parse_turns(lines: DataFrame) -> DataFrame:
 
 
 def parse_universe(payloads: DataFrame) -> DataFrame:
-    """(id, payload): a JSON map of signals, a JSON list or lines of symbols, to (id, symbol, signal)."""
+    """(id, payload): a JSON map of signals, a JSON list or lines of symbols, to (id, symbol, signal). A payload that
+    cannot be read gives one row with a null symbol, an empty one none."""
     p = F.trim("payload")
     as_map = F.from_json(p, "map<string,double>")
     listed = F.when(p.startswith("["), F.from_json(p, "array<string>")).otherwise(
         F.filter(F.transform(F.split(p, r"\n"), lambda s: F.trim(s)), lambda s: s != "")
     )
     unit = F.map_from_arrays(F.array_distinct(listed), F.transform(F.array_distinct(listed), lambda _: F.lit(1.0)))
-    return payloads.select("id", F.explode(F.when(p.startswith("{"), as_map).otherwise(unit)).alias("symbol", "signal"))
+    read = payloads.select("id", F.when(p.startswith("{"), as_map).otherwise(unit).alias("_read"))
+    rows = read.select("id", F.col("_read").isNull().alias("_broken"), F.explode_outer("_read").alias("symbol", "signal"))
+    return rows.where(F.col("symbol").isNotNull() | F.col("_broken")).drop("_broken")
 
 
 def export_records(df: DataFrame, keys: Sequence[str], name: str = "record") -> DataFrame:
