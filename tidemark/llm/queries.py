@@ -68,6 +68,38 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "lines", "lines_dropped", "has_text", F.sha2("text", 256).alias("text_sha256"))
 
 
+LLM_ORACLES["op8_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3]) END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY 1, 2
+"""
+
+LLM_ORACLES["op9_line_dedup"] = r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents
+), l AS (SELECT doc_id, i AS place, ls[i] AS line, regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+') AS ws FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM t)
+), o AS (SELECT *, len(ws) AS n, array_to_string(ws, ' ') AS k, row_number() OVER (ORDER BY doc_id, place) AS pos FROM l
+), c AS (SELECT k, n, any_value(ws) AS ws, min(pos) AS first FROM o WHERE n >= 2 GROUP BY 1, 2
+), d AS (SELECT k, first, i AS gone, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM c WHERE n >= 10)
+), near AS (
+    SELECT k FROM (SELECT k, first, min(first) OVER (PARTITION BY rest, gone) AS m FROM d) WHERE m < first
+    UNION SELECT d.k FROM d JOIN c ON c.k = d.rest AND c.n >= 10 WHERE c.first < d.first
+    UNION SELECT c.k FROM d JOIN c ON c.k = d.rest AND c.n >= 10 WHERE d.first < c.first
+), marked AS (
+    SELECT o.*, o.n < 2 OR (o.pos = c.first AND near.k IS NULL) AS kept FROM o LEFT JOIN c ON c.k = o.k AND o.n >= 2 LEFT JOIN near ON near.k = c.k
+)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (NOT kept) AS lines_dropped, coalesce(bool_or(kept AND n > 0), false) AS has_text,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (kept), '')) AS text_sha256
+FROM marked GROUP BY doc_id
+"""
+
 PROBE = "</s>[INST] ok [/INST]"
 
 
