@@ -90,15 +90,26 @@ def asof_join(
     """The last row of `right` at (or, when strict, before) each row of `left`.
 
     `right` must be unique per (on, right_day); its own columns must not clash with `left`. `horizon` is
-    the last day `left` can ask about; give it when it is cheaper to know than by reading `left`.
+    the last day `left` can ask about; give it when it is cheaper to know than by reading `left`. Without keys the
+    ranges of `right` do not overlap, so they are laid out one row per day and the join is an equi-join on the day.
     """
     ranges = validity(right, on, right_day, "_until")
+    if not on:
+        return left.join(_by_day(ranges, left_day, right_day, strict, left.agg(F.max(left_day)).scalar() if horizon is None else horizon), left_day, how)
     joined = interval_join(
         left, ranges, on, left_day, right_day, "_until", how=how, open_start=strict, closed_end=strict, horizon=horizon
     )
     return joined.drop("_until")
 
 
+def _by_day(ranges: DataFrame, day: str, start: str, strict: bool, horizon: Column) -> DataFrame:
+    """Every day of each range up to the horizon, as `day`; calendar sized."""
+    shift = 1 if strict else 0
+    first, last = F.date_add(start, shift), F.least(F.coalesce(F.date_add("_until", shift - 1), horizon), horizon)
+    days = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
+    return ranges.withColumn(day, F.explode(days)).drop("_until")
+
+
 def asof_with_first_fallback(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_day: str, right_day: str, value: str
 ) -> DataFrame:
