@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -206,11 +205,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shares = [i / parts for i in range(1, parts)]
     cuts = np.unique(source.agg(F.percentile_approx("id", shares, 10 * parts)).first()[0] or []) if shares else np.zeros(0)
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
         """0 for ids above the last cut, counting down from there; null ids after all."""
-        part = len(cuts) - np.searchsorted(cuts, ids.to_numpy(np.float64, na_value=np.nan) if ids.hasnans else ids.to_numpy(), "right")
-        return pd.Series(np.where(ids.isna(), len(cuts) + 1, part).astype(np.int32))
+        part = len(cuts) - np.searchsorted(cuts, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), len(cuts) + 1, part).astype(np.int32))
 
     ordered = source.withColumn("part", part_of("id")).withColumn("h", F.xxhash64("text"))
     # One row per part: its first text, and the part before it (before the first: the last).
