@@ -6,8 +6,9 @@ the first d + 2 as a key, C(d + 2, 2) selective keys; large (heavy) sets, and se
 shingles, whose rows per key are the inverted lists. The size that divides them minimises the estimated keys and list entries.
 
 Equal sets are one class from the start. Candidates are then verified in two steps, so that a group of near copies is never
-listed as all its pairs: every class is tried against one leader of its lists and joined to it if linked; after that only
-classes of different components that still share a key are compared, and there all of them are.
+listed as all its pairs: every class is tried against a few leaders of its lists and joined to those it links with; after that
+only classes of different components that still share a key are compared, and there all of them are. Signatures of parity bits
+rule pairs out before: they never show more difference than there is.
 """
 
 from __future__ import annotations
@@ -17,16 +18,20 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bits import bit_table, may_have
 from tidemark.llm.bytetext import mix, shingles, texts_of
 from tidemark.llm.graph import components
 from tidemark.session import settle
 
-SIGNATURE_WORDS = 16  # 1,024 parity bits per set
+ROWS = ["id", "kind", "n", "cls", "sig", "h", "c", "q"]
+LEAST_WORDS = 8  # 64-bit words of a signature
+LEADERS = (0, -1, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)  # a list's leaders: its least classes after these masks
+TRIES = 4  # leaders that a class is verified against, the nearest by signature
+KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
 ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are ordered by hash alone
-BLOOM_WORDS = 1 << 17  # of 64 bits: 1 MB, whatever the input
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -37,50 +42,67 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 def _sets(texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles by (text, hash), their texts, and set sizes."""
     h, of = shingles(texts, k)
-    order = np.lexsort((h, of))
-    h, of = h[order], of[order]
+    n = texts.hi - texts.lo
+    ends = np.cumsum(np.bincount(of, minlength=n)) if len(h) else np.zeros(n, np.int64)
+    for lo, hi in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+        if hi - lo > 1:
+            h[lo:hi].sort()
     if len(h):
         fresh = np.ones(len(h), bool)
         fresh[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
         h, of = h[fresh], of[fresh]
-    return h, of, np.bincount(of, minlength=texts.hi - texts.lo)
+    return h, of, np.bincount(of, minlength=n)
 
 
 def _class(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> np.ndarray:
     """64-bit id of each set, the same for equal sets."""
-    total = np.zeros(len(n), np.uint64)
-    np.add.at(total, of, mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    upto = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=upto[1:])
+    ends = np.cumsum(n)
+    total = upto[ends] - upto[ends - n]
     return mix(total + n.astype(np.uint64)).view(np.int64)
 
 
-def _describe(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for texts in texts_of(batch.column(1)):
-                h, of, n = _sets(texts, k)
-                signature = np.zeros(len(n) * SIGNATURE_WORDS, np.uint64)
-                bit = h % np.uint64(64 * SIGNATURE_WORDS)
-                np.bitwise_xor.at(signature, of * SIGNATURE_WORDS + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-                lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * SIGNATURE_WORDS, pa.array(signature.view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(texts.lo, texts.hi - texts.lo), pa.array(n.astype(np.int64)), pa.array(_class(h, of, n), mask=n == 0), lists],
-                    ["id", "n", "cls", "sig"],
-                )
-
-    return run
+def _signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bits of each set, at least two for a shingle, in a power of two of 64-bit words."""
+    words = np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(n, 1) / 32)).astype(np.int64))
+    words[n == 0] = 0
+    first = np.concatenate([[0], np.cumsum(words)])
+    bits = np.zeros(first[-1], np.uint64)
+    spot = h & (words[of] * 64 - 1).astype(np.uint64)
+    # The low bits name the word, so folding a signature in half gives the signature of half the length.
+    np.bitwise_xor.at(bits, first[of] + (spot & (words[of] - 1).astype(np.uint64)).astype(np.int64), np.uint64(1) << (h >> np.uint64(58)))
+    return pa.ListArray.from_arrays(first.astype(np.int32), pa.array(bits.view(np.int64)))
 
 
-def _frequent(k: int):
-    """Per slice: shingles of several texts with their counts, and under a null shingle how many there are in all."""
+def _describe(k: int):
+    """Two kinds of rows. One per text: id, n, cls, sig. And per slice (kind 1): shingles h of three texts or more with their
+    counts c; under a null h, what the rarer lists hold, and their sum of squares q: with them, how long a list is for an average
+    entry of those that the order puts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in texts_of(batch.column(0)):
-                h, _, n = _sets(texts, k)
+            for texts in texts_of(batch.column(1)):
+                h, of, n = _sets(texts, k)
                 values, counts = np.unique(h, return_counts=True)
                 often = counts >= 3
-                keys = pa.array(np.append(values[often].view(np.int64), 0), mask=np.append(np.zeros(often.sum(), bool), True))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.append(counts[often], n.sum()))], ["h", "c"])
+                rare, many, texts_n = counts[~often], int(often.sum()) + 1, len(n)
+                none = pa.nulls(many, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(texts.lo, texts_n), pa.array(np.zeros(texts_n, np.int32)), pa.array(n.astype(np.int64)), pa.array(_class(h, of, n), mask=n == 0),
+                        _signatures(h, of, n), *(pa.nulls(texts_n, pa.int64()) for _ in range(3)),
+                    ],
+                    ROWS,
+                )
+                hashes = pa.array(np.append(values[often].view(np.int64), 0), mask=np.append(np.zeros(many - 1, bool), True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.nulls(many, batch.schema.field(0).type), pa.array(np.ones(many, np.int32)), none, none, pa.nulls(many, pa.list_(pa.int64())),
+                        hashes, pa.array(np.append(counts[often], rare.sum())), pa.array(np.append(np.zeros(many - 1, np.int64), rare @ rare)),
+                    ],
+                    ROWS,
+                )
 
     return run
 
@@ -89,17 +111,33 @@ def _ranked(texts, k: int, hints: tuple[np.ndarray, np.ndarray]):
     """Sets in the global order: shingle, text, place in its set; and set sizes and classes."""
     h, of, n = _sets(texts, k)
     cls = _class(h, of, n)
-    level = np.zeros(len(h), np.int64)
-    if len(hints[0]):
-        at = np.minimum(np.searchsorted(hints[0], h), len(hints[0]) - 1)
-        level = np.where(hints[0][at] == h, hints[1][at], 0)
-    order = np.lexsort((h, level, of))
-    h, of = h[order], of[order]
-    place = np.arange(len(h)) - (np.cumsum(n) - n)[of]
-    return h, of, place, n, cls
-
+    hashes, counts = hints
+    flags = np.zeros(1 << 20, bool)
+    flags[hashes & np.uint64((1 << 20) - 1)] = True
+    maybe = np.flatnonzero(flags[h & np.uint64((1 << 20) - 1)])
+    if len(maybe):
+        at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
+        known = hashes[at] == h[maybe]
+        maybe, at = maybe[known], at[known]
+    # The others keep their order by hash; behind them come the frequent ones of each set, by count and hash.
+    frequent = np.zeros(len(h), bool)
+    frequent[maybe] = True
+    behind = maybe[np.lexsort((h[maybe], counts[at], of[maybe]))] if len(maybe) else maybe
+    rest = np.flatnonzero(~frequent)
+    first = np.cumsum(n) - n
+    plain = np.bincount(of[rest], minlength=len(n))
+    spot = np.empty(len(h), np.int64)
+    spot[rest] = np.arange(len(rest)) - (np.cumsum(plain) - plain - first)[of[rest]]
+    often = n - plain
+    spot[behind] = np.arange(len(behind)) - (np.cumsum(often) - often)[of[behind]] + (first + plain)[of[behind]]
+    ordered = np.empty_like(h)
+    ordered[spot] = h
+    return ordered, of, np.arange(len(h)) - first[of], n, cls
+
+
+def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarray], shared: np.ndarray | None = None):
+    """Rows (key, cls, n) of every set; with `shared`, only those whose key may be shared."""
 
-def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in texts_of(batch.column(0)):
@@ -121,13 +159,17 @@ def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarr
                     keys.append(mix(block[:, i] * np.uint64(0x9E3779B97F4A7C15) + mix(block[:, j])).ravel())
                     owners.append(np.repeat(rows, len(i)))
                 key, owner = np.concatenate(keys), np.concatenate(owners)
+                if shared is not None:
+                    hit = may_have(shared, key)
+                    key, owner = key[hit], owner[hit]
                 for lo, hi in pairwise([*range(0, len(key), 1 << 16), len(key)]):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi].view(np.int64)), pa.array(cls[owner[lo:hi]])], ["key", "cls"])
+                    some = owner[lo:hi]
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi].view(np.int64)), pa.array(cls[some]), pa.array(n[some])], ["key", "cls", "n"])
 
     return run
 
 
-def _members(k: int, bloom: np.ndarray):
+def _members(k: int, wanted: np.ndarray):
     """Shingle arrays of the classes whose bit is set, each class once per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +178,7 @@ def _members(k: int, bloom: np.ndarray):
             for texts in texts_of(batch.column(0)):
                 h, of, n = _sets(texts, k)
                 cls = _class(h, of, n)
-                slot = mix(cls.view(np.uint64)) % np.uint64(64 * BLOOM_WORDS)
-                hit = (n > 0) & ((bloom[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1)).astype(bool)
+                hit = (n > 0) & may_have(wanted, cls)
                 for i in np.flatnonzero(hit):
                     if int(cls[i]) in sent:
                         hit[i] = False
@@ -150,15 +191,6 @@ def _members(k: int, bloom: np.ndarray):
     return run
 
 
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bloom = np.zeros(BLOOM_WORDS, np.uint64)
-    for batch in batches:
-        slot = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(64 * BLOOM_WORDS)
-        np.bitwise_or.at(bloom, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
-    used = np.flatnonzero(bloom)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(bloom[used].view(np.int64))], ["w", "bits"])
-
-
 def light_boundary(sizes: dict[int, int], percent: int, list_length: float) -> int:
     """Largest size of a light set: the one with the least estimated keys and list entries over the size histogram."""
     if not sizes:
@@ -175,21 +207,29 @@ def light_boundary(sizes: dict[int, int], percent: int, list_length: float) -> i
 
 def _apart(x: str, y: str) -> F.Column:
     """Parity bits in which two sets differ: at most as many as the shingles that only one of them has."""
-    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+    words = F.least(F.size(x), F.size(y))
+
+    def folded(c: str) -> F.Column:  # sizes within reach of each other differ by one doubling at most
+        halves = F.zip_with(F.slice(c, F.lit(1), words), F.slice(c, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(c) > words, halves).otherwise(F.col(c))
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
+
+
+def _near_in_size(percent: int) -> F.Column:
+    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
 
 def _possible(percent: int) -> F.Column:
-    """Overlap needed by (na, nb), turned into the most shingles that only one set may have."""
-    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    """Not ruled out by sizes, nor by a signature that shows more shingles of only one set than the threshold allows."""
+    return _near_in_size(percent) & (_apart("sa", "sb") * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs `a, b` that are linked, by exact intersection."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    bloom = np.zeros(BLOOM_WORDS, np.uint64)
-    for w, bits in ends.mapInArrow(_bits, "w long, bits long").groupBy("w").agg(F.bit_or("bits")).collect():  # at most BLOOM_WORDS rows
-        bloom[w] = np.int64(bits).astype(np.uint64)
-    members = text.mapInArrow(_members(k, bloom), "cls long, members array<long>").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
+    members = text.mapInArrow(_members(k, bit_table(ends)), "cls long, members array<long>").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
+    members = settle(members)
     left = members.select(F.col("cls").alias("a"), F.col("members").alias("ma"))
     right = members.select(F.col("cls").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
@@ -208,38 +248,47 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
         raise ValueError("percent must be over 50 and at most 100")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     text = source.select("text")
-    described = settle(source.mapInArrow(_describe(k), f"id {docs.schema[id_col].dataType.simpleString()}, n long, cls long, sig array<long>"))
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, kind int, n long, cls long, sig array<long>, h long, c long, q long"
+    first_pass = settle(source.mapInArrow(_describe(k), kinds))
+    described = first_pass.where("kind = 0").select("id", "n", "cls", "sig")
     classes = described.where("cls is not null").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
 
-    often = settle(text.mapInArrow(_frequent(k), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    often = first_pass.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c"), F.sum("q").alias("q"))
     hinted = often.where("h is not null").orderBy(F.desc("c"), "h").limit(ORDER_HINTS).collect()
-    total, squares = often.agg(F.sum(F.expr("if(h is null, c, 0)")), F.sum(F.expr("if(h is null, 0, double(c) * c)"))).first()
+    rare = often.where("h is null").first()
     hint = np.array([r.h for r in hinted], np.int64).view(np.uint64), np.array([r.c for r in hinted], np.int64)
     by_hash = np.argsort(hint[0])
+    hints = hint[0][by_hash], hint[1][by_hash]
     # A size class spans 1/64 of its power of two, so the histogram stays small at any length.
     step = F.expr("cast(pow(2, greatest(0, floor(log2(n)) - 6)) as long)")
-    sizes = {int(r.size): int(r["count"]) for r in classes.groupBy((F.floor(F.col("n") / step) * step).alias("size")).count().collect()}
-    boundary = light_boundary(sizes, percent, (squares or 0) / max(total or 0, 1))
-
-    entries = text.mapInArrow(_keys(k, percent, boundary, (hint[0][by_hash], hint[1][by_hash])), "key long, cls long")
-    shared = entries.groupBy("key").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").drop("last")
-    live = settle(entries.join(shared, "key").distinct())
-
-    # One leader for each class: the one it shares most keys with.
-    leaders = live.where("cls <> leader").groupBy("cls", "leader").count().groupBy("cls").agg(F.max_by("leader", F.struct("count", "leader")).alias("leader"))
-    side = {x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"}
-    tried = leaders.select(F.col("cls").alias("a"), F.col("leader").alias("b")).join(side["a"], "a").join(side["b"], "b").where(_possible(percent)).select("a", "b")
-    first = components(_verified(settle(tried), text, k, percent))
-    first = settle(first)
+    sized = described.where("n > 0").groupBy((F.floor(F.col("n") / step) * step).alias("size")).count().collect()
+    boundary = light_boundary({int(r.size): int(r["count"]) for r in sized}, percent, rare.q / max(rare.c, 1) if rare else 0)
+
+    entries = text.mapInArrow(_keys(k, percent, boundary, hints), "key long, cls long, n long")
+    shared = entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
+    met = text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), "key long, cls long, n long")
+    live = settle(met.distinct())
+
+    # Every class is tried against the nearest few leaders of its lists.
+    led = live.groupBy("key").agg(*(F.min(F.col("cls").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(LEADERS)))
+    led = led.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(LEADERS))))).alias("b"))
+    sizes = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
+    leaders = live.join(led, "key").where("cls <> b").select(F.col("cls").alias("a"), F.col("n").alias("na"), "b").distinct()
+    leaders = leaders.join(sizes, "b").where(_near_in_size(percent))
+    side = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
+    tried = leaders.join(side["a"], "a").join(side["b"], "b").where(_possible(percent)).select("a", "b", _apart("sa", "sb").alias("apart"))
+    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("nth") <= TRIES)
+    tried = settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = settle(components(_verified(tried, text, k, percent)))
 
     # What still meets across components: at least one of a pair is outside the component that most of its list belongs to.
-    placed = live.drop("leader").join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = live.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-    placed = placed.join(mixed.where("roots > 1"), "key").join(classes, "cls")
-    placed = settle(placed.select("key", "cls", "n", "sig", "root", "main"))
-    x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"), F.col("root").alias("ra"))
-    y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"), F.col("root").alias("rb"), "main")
-    across = x.join(y, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _possible(percent))
+    placed = settle(placed.join(mixed.where("roots > 1"), "key").select("key", "cls", "n", "root", "main"))
+    x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
+    across = x.join(y, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _near_in_size(percent))
+    across = across.select("a", "na", "b", "nb").distinct().join(side["a"], "a").join(side["b"], "b").where(_possible(percent))
     across = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     second = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(across, text, k, percent)))
 
