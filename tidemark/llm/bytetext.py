@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20  # bytes of text worked on at a time; a longer text is worked on by itself
+SLICE_BYTES = 2 << 20  # bytes of text worked on at a time; a longer text is worked on by itself
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -107,12 +107,12 @@ def texts_of(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> It
         column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_binary())
     n = len(column)
     if not n:
         return
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offsets, data = column.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + n + 1]
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
@@ -134,18 +134,15 @@ def shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(word)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    whole = np.zeros(max(n - k + 1, 0), np.uint64)
-    part = np.zeros(n, np.uint64)
-    for j in range(k):
-        factor = np.uint64(pow(BASE, j + 1, 1 << 64))
-        if len(whole):
-            whole = whole + mix(word[j : n - k + 1 + j] + np.uint64(j)) * factor
-        part[: n - j] += np.where(j < np.repeat(counts, counts)[: n - j], mix(word[j:] + np.uint64(j)) * factor, np.uint64(0))
+    factors = np.array([pow(BASE, 3 * j + 1, 1 << 64) for j in range(k)], np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j, factor in enumerate(factors):
+        h[: n - j] += word[j:] * factor
     of = owner(firsts)
     place = np.arange(n) - firsts[:-1][of]
-    full = place + k <= counts[of]
-    short = (place == 0) & (counts[of] < k)
-    keep = full | short
-    h = np.where(short, part, np.uint64(0))
-    h[: len(whole)] = np.where(full[: len(whole)], whole, h[: len(whole)])
-    return mix(h[keep] + np.minimum(counts[of][keep], k).astype(np.uint64)), of[keep]
+    keep = place + k <= counts[of]
+    for i in np.flatnonzero((counts > 0) & (counts < k)):
+        at = firsts[i]
+        keep[at] = True
+        h[at : at + 1] = (word[at : at + counts[i]] * factors[: counts[i]]).sum() + np.full(1, k - counts[i], np.uint64)
+    return mix(h[keep]), of[keep]

@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytetext import BYTE_VALUE, Texts, span_hash, texts_of
 
-KNOWN_UNITS = 1_000_000  # units a worker keeps; then it starts anew
-KNOWN_PAIRS = 2_000_000
+KNOWN_UNITS = 300_000  # units a worker keeps; then it starts anew
+KNOWN_PAIRS = 400_000
+LIST_IDS = 1 << 18  # ids decoded at a time
+TEXT_BYTES = 1 << 20  # of text worked on at a time
+UNIT_BYTES = 1 << 16  # of units that are indexed at a time, unless one alone is longer
 SPACE = 0x20
 _models: dict[str, Vocabulary] = {}
 
@@ -243,11 +246,14 @@ class Vocabulary:
         new = [i for i, x in enumerate(hashes) if x not in self.known]
         if new:
             raw = data.tobytes()
-            ids, many = self._encode_units([raw[starts[one[i]] : ends[one[i]]] for i in new])
-            base = len(self.known)
-            self.known.update((hashes[i], base + j) for j, i in enumerate(new))
-            self.flat.append(ids)
-            self.counts.append(many)
+            size = (ends - starts)[one[new]]
+            full = np.cumsum(size) // UNIT_BYTES
+            for part in np.split(np.array(new), np.flatnonzero(np.diff(full)) + 1):
+                ids, many = self._encode_units([raw[starts[one[i]] : ends[one[i]]] for i in part])
+                base = len(self.known)
+                self.known.update((hashes[i], base + j) for j, i in enumerate(part))
+                self.flat.append(ids)
+                self.counts.append(many)
             if len(self.flat) > 64:
                 self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
         flat, many = np.concatenate(self.flat), np.concatenate(self.counts)
@@ -279,21 +285,21 @@ def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", out
     All columns are kept; one of the name `out_col` is replaced. Rows are independent of each other.
     """
     path = path or model_path()
-    kept = [c for c in docs.columns if c != out_col]
+    kept = [c for c in docs.columns if c != out_col or c == text_col]
+    at = kept.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         for batch in batches:
-            text = _prepared(batch.column("_text"))
-            rest = batch.select(range(batch.num_columns - 1))
-            for texts in texts_of(text):
-                part = rest.slice(texts.lo, texts.hi - texts.lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, model.encode(texts)], [*part.schema.names, "_tokens"])
+            for rows in texts_of(batch.column(at), TEXT_BYTES):
+                part = batch.slice(rows.lo, rows.hi - rows.lo)
+                for texts in texts_of(_prepared(part.column(at)), 1 << 62):
+                    yield pa.RecordBatch.from_arrays([*part.columns, model.encode(texts)], [*part.schema.names, "_tokens"])
 
-    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(text_col).alias("_text"))
+    named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
     schema = "".join(f"c{i} {docs.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))
     done = named.mapInArrow(run, f"{schema}_tokens array<int>")
-    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), F.col("_tokens").alias(out_col))
+    return done.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept) if c != out_col), F.col("_tokens").alias(out_col))
 
 
 def decode(tokens: DataFrame, path: str | None = None, tokens_col: str = "tokens", out_col: str = "decoded") -> DataFrame:
@@ -304,12 +310,15 @@ def decode(tokens: DataFrame, path: str | None = None, tokens_col: str = "tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = vocabulary(path)
         for batch in batches:
-            ids = batch.column("_tokens")
-            lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
-            texts = model.decode(ids.flatten().fill_null(-1).to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
-            rest = batch.select(range(batch.num_columns - 1))
-            text = pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([*rest.columns, text], [*rest.schema.names, "_text"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("_tokens")), 0).to_numpy())
+            for rows in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(ends // LIST_IDS)) + 1):
+                part = batch.slice(rows[0], len(rows)) if len(rows) else batch
+                ids = part.column("_tokens")
+                lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+                texts = model.decode(ids.flatten().fill_null(-1).to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lengths)]))
+                rest = part.select(range(part.num_columns - 1))
+                text = pa.array(texts, pa.string(), mask=ids.is_null().to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([*rest.columns, text], [*rest.schema.names, "_text"])
 
     named = tokens.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(tokens_col).alias("_tokens"))
     schema = "".join(f"c{i} {tokens.schema[c].dataType.simpleString()}, " for i, c in enumerate(kept))

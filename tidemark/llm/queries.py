@@ -45,10 +45,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, and whether they decode to its text (in which U+2581 and the space are one)."""
-    encoded = pieces.encode(_documents(spark, sf_dir).select("doc_id", "text"))
-    decoded = pieces.decode(encoded)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" "))
-    return decoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("same_text"))
+    sha = F.sha2(F.replace(F.coalesce("text", F.lit("")), F.lit("\u2581"), F.lit(" ")), 256)
+    encoded = pieces.encode(_documents(spark, sf_dir).select("doc_id", "text", sha.alias("sha"))).drop("text")
+    decoded = pieces.decode(encoded).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return decoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", "decoded_sha256", (F.col("decoded_sha256") == F.col("sha")).alias("same_text"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
