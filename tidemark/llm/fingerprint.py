@@ -23,6 +23,7 @@ from tidemark.llm.bytetext import BYTE_VALUE, mix, span_hash, texts_of
 PIECE_WORDS = 4
 CELLS = 24  # of the stored fingerprint; a multiple of 3
 PART_BYTES = 8 << 20  # of text that an ordered part is meant to hold
+ROWS = 1000  # texts of a batch held as Python strings at a time
 MOST_PARTS = 100_000  # beyond, parts hold more; they are read as a stream
 
 
@@ -155,7 +156,7 @@ def edited(text: str, following: str) -> str:
 def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a part in order: part, guest, id, text. A guest only ends its part: the text after the part's last row."""
     held: tuple | None = None
-    for batch in batches:
+    for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
         pairs: list[tuple] = []
         for part, guest, id_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held is not None and held[0] == part:
@@ -164,7 +165,7 @@ def _print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _printed(pairs, batch.schema.field("id").type)
 
 
-def _printed(pairs: list[tuple], kind: pa.DataType, rows: int = 2048, characters: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _printed(pairs: list[tuple], kind: pa.DataType, rows: int = 512, characters: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     cuts, many = [0], 0
     for i, (_, text, following) in enumerate(pairs):
         if many and (many + len(text) + len(following) > characters or i - cuts[-1] >= rows):
