@@ -37,8 +37,19 @@ class Block:
         self.vectors, self.ids = vectors, ids
         self.directions = np.random.default_rng(SEED).normal(size=(vectors.shape[1], PROJECTIONS))
         projected = vectors @ self.directions
-        self.order = np.argsort(projected, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, 0)
+        self.order = np.argsort(projected, axis=0, kind="stable").T.ravel()
+        # The sorted arrays stand one after the other, each moved up beyond the one before, so one search serves all.
+        self.low, reach = projected.min(0), float(np.ptp(projected, 0).max()) + 1
+        self.shift = np.arange(PROJECTIONS) * 2 * reach - self.low
+        self.sorted = np.sort(projected + self.shift, axis=0).T.ravel()
+        self.first = np.arange(PROJECTIONS) * len(ids)
+        self.reach = reach
+
+    def _window(self, centre: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        at, room = centre + self.shift, self.first + len(self.ids)
+        lo = np.searchsorted(self.sorted, at - half, "left")
+        hi = np.searchsorted(self.sorted, at + half, "right")
+        return np.clip(lo, self.first, room), np.clip(hi, self.first, room)
 
     def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, nearest first, ties to the smaller id; never the query's own id."""
@@ -46,32 +57,26 @@ class Block:
         n, needed = len(self.ids), threshold()
         hits = np.zeros(n, np.int64)
         checked = self.ids == own
-        left = np.array([np.searchsorted(self.sorted[:, j], centre[j]) for j in range(PROJECTIONS)])
+        left, right = self._window(centre, 0.0)
         right = left.copy()
         found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        # The first radius is where the nearest few vectors on each line are.
-        near = np.minimum(np.abs(self.sorted[np.minimum(left, n - 1), np.arange(PROJECTIONS)] - centre), np.abs(self.sorted[np.maximum(left - 1, 0), np.arange(PROJECTIONS)] - centre))
-        radius = max(float(np.median(near)), 1e-9)
+        # The first radius is an eighth of the usual distance on a line; closer vectors are simply found in the first windows.
+        middle = self.sorted[self.first + n // 2] - self.shift
+        radius = max(float(np.median(np.abs(middle - centre))) / 8, self.reach / 1024)
         while True:
-            new = []
-            for j in range(PROJECTIONS):
-                column = self.sorted[:, j]
-                lo = np.searchsorted(column, centre[j] - radius * WIDTH / 2, "left")
-                hi = np.searchsorted(column, centre[j] + radius * WIDTH / 2, "right")
-                if lo < left[j]:
-                    new.append(self.order[lo : left[j], j])
-                    left[j] = lo
-                if hi > right[j]:
-                    new.append(self.order[right[j] : hi, j])
-                    right[j] = hi
-            if new:
-                hits += np.bincount(np.concatenate(new), minlength=n)
+            lo, hi = self._window(centre, radius * WIDTH / 2)
+            lo, hi = np.minimum(lo, left), np.maximum(hi, right)
+            begins, sizes = np.concatenate([lo, right]), np.concatenate([left - lo, hi - right])
+            left, right = lo, hi
+            at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
+            if len(at):
+                hits += np.bincount(self.order[at], minlength=n)
                 fresh = np.flatnonzero((hits >= needed) & ~checked)
                 if len(fresh):
                     checked[fresh] = True
                     apart = self.vectors[fresh] - query
                     found_at, found = np.concatenate([found_at, fresh]), np.concatenate([found, np.sqrt(np.einsum("ij,ij->i", apart, apart))])
-            everything = (left == 0).all() and (right == n).all()
+            everything = (left == self.first).all() and (right == self.first + n).all()
             if everything or (len(found) >= k and np.partition(found, k - 1)[k - 1] <= radius):
                 break
             radius *= WIDEN
