@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytetext import BYTE_VALUE, Texts, span_hash, texts_of
 
-KNOWN_UNITS = 300_000  # units a worker keeps; then it starts anew
-KNOWN_PAIRS = 400_000
+KNOWN_UNITS = 2_000_000  # units a worker keeps; then it starts anew
+KNOWN_PAIRS = 4_000_000
 LIST_IDS = 1 << 18  # ids decoded at a time
 TEXT_BYTES = 1 << 20  # of text worked on at a time
-UNIT_BYTES = 1 << 16  # of units that are indexed at a time, unless one alone is longer
+UNIT_BYTES = 1 << 17  # of units that are indexed at a time, unless one alone is longer
 SPACE = 0x20
 _models: dict[str, Vocabulary] = {}
 
@@ -45,6 +45,36 @@ def vocabulary(path: str) -> Vocabulary:
     return _models[path]
 
 
+class Memo:
+    """Numbers by 64-bit key: sorted arrays, and a small dictionary of what is new."""
+
+    def __init__(self):
+        self.keys, self.values, self.fresh = np.zeros(0, np.uint64), np.zeros(0, np.int32), {}
+
+    def __len__(self) -> int:
+        return len(self.keys) + len(self.fresh)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 if it has none."""
+        out = np.full(len(keys), -1, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            out = np.where(self.keys[at] == keys, self.values[at], -1).astype(np.int64)
+        if self.fresh:
+            rest = np.flatnonzero(out < 0)
+            get = self.fresh.get
+            out[rest] = [get(k, -1) for k in keys[rest].tolist()]
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.fresh.update(zip(keys.tolist(), values.tolist(), strict=True))
+        if len(self.fresh) > 1 << 16:
+            keys = np.concatenate([self.keys, np.fromiter(self.fresh.keys(), np.uint64, len(self.fresh))])
+            values = np.concatenate([self.values, np.fromiter(self.fresh.values(), np.int32, len(self.fresh))])
+            order = np.argsort(keys)
+            self.keys, self.values, self.fresh = keys[order], values[order], {}
+
+
 class Vocabulary:
     """Pieces and scores of a byte-pair model with byte fallback, and what its worker has already worked out."""
 
@@ -87,11 +117,11 @@ class Vocabulary:
         self.bytes_flat = np.frombuffer(b"".join(self.surface), np.uint8)
         self.bytes_len = np.array([len(p) for p in self.surface])
         self.bytes_at = np.cumsum(self.bytes_len) - self.bytes_len
-        self.pairs: dict[int, bool] = {}
+        self.pairs = Memo()
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Memo()
         self.flat: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
 
@@ -118,20 +148,20 @@ class Vocabulary:
         key = before * (1 << 20) + after
         unique, inverse = np.unique(key, return_inverse=True)
         if len(self.pairs) > KNOWN_PAIRS:
-            self.pairs.clear()
-        pairs, out = self.pairs, np.empty(len(unique), bool)
-        for j, k in enumerate(unique.tolist()):
-            known = pairs.get(k)
-            if known is None:
+            self.pairs = Memo()
+        keys = unique.astype(np.uint64)
+        found = self.pairs.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            for j, k in zip(new.tolist(), unique[new].tolist(), strict=True):
                 a, b = k >> 20, k & ((1 << 20) - 1)
                 if a >= self.size or b >= self.size:
-                    known = True
+                    found[j] = 1
                 else:
                     left, right = self.text_of[a], self.text_of[b]
-                    known = self.merged(left + right) == [left, right]
-                pairs[k] = known
-            out[j] = known
-        return out[inverse]
+                    found[j] = self.merged(left + right) == [left, right]
+            self.pairs.add(keys[new], found[new])
+        return (found > 0)[inverse]
 
     def _edges(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, length and piece of every occurrence of a piece in text whose units are parted by zero bytes."""
@@ -240,24 +270,22 @@ class Vocabulary:
         edge = np.flatnonzero(cut)
         starts, ends = edge[:-1], edge[1:]
         h, one, inverse = np.unique(span_hash(BYTE_VALUE[data], starts, ends), return_index=True, return_inverse=True)
-        hashes = h.tolist()
-        if len(self.known) + len(hashes) > KNOWN_UNITS:
+        if len(self.known) + len(h) > KNOWN_UNITS:
             self.forget()
-        new = [i for i, x in enumerate(hashes) if x not in self.known]
-        if new:
+        at = self.known.find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
             raw = data.tobytes()
             size = (ends - starts)[one[new]]
-            full = np.cumsum(size) // UNIT_BYTES
-            for part in np.split(np.array(new), np.flatnonzero(np.diff(full)) + 1):
-                ids, many = self._encode_units([raw[starts[one[i]] : ends[one[i]]] for i in part])
-                base = len(self.known)
-                self.known.update((hashes[i], base + j) for j, i in enumerate(part))
+            for part in np.split(new, np.flatnonzero(np.diff(np.cumsum(size) // UNIT_BYTES)) + 1):
+                ids, many = self._encode_units([raw[starts[i] : ends[i]] for i in one[part].tolist()])
+                at[part] = len(self.known) + np.arange(len(part))
+                self.known.add(h[part], at[part])
                 self.flat.append(ids)
                 self.counts.append(many)
-            if len(self.flat) > 64:
-                self.flat, self.counts = [np.concatenate(self.flat)], [np.concatenate(self.counts)]
         flat, many = np.concatenate(self.flat), np.concatenate(self.counts)
-        at = np.fromiter((self.known[x] for x in hashes), np.int64, len(hashes))[inverse]
+        self.flat, self.counts = [flat], [many]
+        at = at[inverse]
         first, size = (np.cumsum(many) - many)[at], many[at]
         out = flat[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)]
         tokens = np.concatenate([[0], np.cumsum(size)])
