@@ -422,6 +422,20 @@ def test_line_dedup_edges(spark):
     assert sorted(r.text for r in linededup.dedup_lines(nameless).collect()) == ["a b c\nd e", "x"]
 
 
+def test_line_dedup_tells_rows_of_one_or_no_id_apart(spark):
+    rows = [
+        (1, "the first line\nonly in one"), (None, "the first line\nnull a"), (None, "a line of b\nnull b"), (None, "a line of c\nthe first line"),
+        (None, "one text twice\nword"), (None, "one text twice\nword"), ("", "a line of d\nempty id"), (None, "a line of d\nempty id"),
+        (7, "the first line\nseven a"), (7, "a line of seven\nseven b"), (7, "a line of seven\nseven c"),
+    ]
+    d = spark.createDataFrame([(None if i is None else str(i), t, n) for n, (i, t) in enumerate(rows)], "doc_id string, text string, n long")
+    got = {r.n: (r.text, r.has_text) for r in linededup.dedup_lines(d).collect()}
+    assert [got[i][0] for i in range(4)] == ["the first line\nonly in one", "null a", "a line of b\nnull b", "a line of c"]
+    assert sorted([got[4], got[5]]) == [("one text twice\nword", True), ("word", True)]
+    assert got[6] == ("a line of d\nempty id", True) and got[7] == ("", False)
+    assert got[8] == ("seven a", True) and sorted([got[9][0], got[10][0]]) in (["a line of seven\nseven b", "seven c"], ["a line of seven\nseven c", "seven b"])
+
+
 # --- 10 chat -----------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"

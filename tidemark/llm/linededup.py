@@ -10,11 +10,12 @@ deletions, and only deletions that several lines have are kept: bit tables of sh
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.bits import bit_table, may_have
@@ -24,6 +25,7 @@ from tidemark.session import settle
 MIN_WORDS = 2  # shorter lines (marks, braces, one-word headings) are never dropped
 BIT_WORDS = 1 << 20  # 64-bit words of a bit table: 8 MB
 NEAR_WORDS = 10  # from here on one word of difference still counts as the same line
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def _words(texts: Texts):
@@ -60,9 +62,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mark of their words. A key with two marks is shared: by repeated lines, or by different lines with one half."""
     for batch in batches:
         names = batch.column(0).cast(pa.string()).fill_null("")
+        row = batch.column(2).to_numpy().view(np.uint64) ^ batch.column(0).is_null().to_numpy(False).astype(np.uint64)
         for texts in texts_of(batch.column(1)):
             name = next(texts_of(names.slice(texts.lo, texts.hi - texts.lo), 1 << 62))
-            where = span_hash(BYTE_VALUE[name.data], name.offsets[:-1], name.offsets[1:])
+            where = mix(span_hash(BYTE_VALUE[name.data], name.offsets[:-1], name.offsets[1:]) + row[texts.lo : texts.hi])
             first, count, word, of, place, _ = _words(texts)
             use = count >= MIN_WORDS
             first, count = first[use], count[use]
@@ -77,8 +80,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _neighbourhoods(shared: np.ndarray, met: np.ndarray | None = None):
     """For lines with a shared half: (words left, line) of all deletions. With `met`, the deletions and lines that matter:
-    kind 0, (words left, place deleted or -1 for the line itself, id, place, line) of what is left in several lines;
-    kind 1, (id, place, line) of lines that are repeated or have such a deletion, with the words of the latter."""
+    kind 0, (words left, place deleted or -1 for the line itself, id, row, place, line) of what is left in several lines;
+    kind 1, (id, row, place, line) of lines that are repeated or have such a deletion, with the words of the latter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,14 +108,14 @@ def _neighbourhoods(shared: np.ndarray, met: np.ndarray | None = None):
                 data = texts.data.tobytes()
                 words = [data[begin[start[i]] : end[start[i] + length[i] - 1]] if close[i] else None for i in seen]
                 for kind, at, l, g, w in ((0, long[rows], left.view(np.int64), gone, None), (1, seen, None, None, words)):
-                    ids = batch.column(0).take(pa.array(of[at] + texts.lo))
+                    docs = pa.array(of[at] + texts.lo)
                     none = pa.nulls(len(at), pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(at), kind, np.int32)), none if l is None else pa.array(l), none if g is None else pa.array(g), ids, pa.array(place[at]),
-                            pa.array(whole[at].view(np.int64)), pa.nulls(len(at), pa.binary()) if w is None else pa.array(w, pa.binary()),
+                            pa.array(np.full(len(at), kind, np.int32)), none if l is None else pa.array(l), none if g is None else pa.array(g),
+                            batch.column(0).take(docs), batch.column(2).take(docs), pa.array(place[at]), pa.array(whole[at].view(np.int64)), pa.nulls(len(at), pa.binary()) if w is None else pa.array(w, pa.binary()),
                         ],
-                        ["kind", "left", "gone", "id", "place", "line", "words"],
+                        ["kind", "left", "gone", "id", "row", "place", "line", "words"],
                     )
 
     return run
@@ -136,39 +139,46 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts less the places of dropped lines; the last two columns are the text and those places."""
+    """Texts less the places of dropped lines; the last columns are the text, those places, and whether all its lines stand in
+    an earlier row of the same text."""
     for batch in batches:
         texts, kept, lines, dropped = [], [], [], []
-        for text, out in zip(batch.column("_text").to_pylist(), batch.column("_out").to_pylist(), strict=True):
+        for text, out, copy in zip(*(batch.column(c).to_pylist() for c in ("_text", "_out", "_copy")), strict=True):
             parts = [] if text is None else text.split("\n")
-            out = set(out or ())
+            out = {i for i, x in enumerate(parts) if len(WORD.findall(x)) >= MIN_WORDS} if copy else set(out or ())
             left = [x for i, x in enumerate(parts) if i not in out]
             texts.append("\n".join(left) if out else text)
             lines.append(len(parts))
             dropped.append(len(parts) - len(left))
             kept.append(any(x.strip(" \t\r\x0b\x0c") for x in left))
-        rest = batch.select(range(batch.num_columns - 2))
+        rest = batch.select(range(batch.num_columns - 3))
         yield pa.RecordBatch.from_arrays(
             [*rest.columns, pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.bool_())],
             [*rest.schema.names, "_text", "_lines", "_dropped", "_left"],
         )
 
 
-def _first() -> F.Column:
-    """Where a line stands: ids in order, null last, then the place in the text."""
-    return F.struct(F.col("id").isNull().alias("nameless"), "id", "place")
+def _first() -> Column:
+    """Where a line stands: ids in order, null last, texts of one id by their hash, then the place in the text."""
+    return F.struct(F.col("id").isNull().alias("nameless"), "id", "row", "place")
+
+
+def _document(name: str, row: str | Column) -> Column:
+    """What tells documents apart, as one value that equals itself when the id is null."""
+    return F.struct(F.col(name).isNull().alias("nameless"), F.col(name).alias("id"), (F.col(row) if isinstance(row, str) else row).alias("row"))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """`id, place` of every line that an earlier one stands for; docs has `id, text`."""
+    """`id, row, place` of every line that an earlier one stands for; docs has `id, text, row`. Lines of one id and row are told
+    apart by their places alone."""
     def shared_of(rows: DataFrame, key: str, mark: str) -> np.ndarray:
         return bit_table(rows.groupBy(key).agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select(key), BIT_WORDS)
 
     kind = docs.schema["id"].dataType.simpleString()
     shared = shared_of(docs.mapInArrow(_keys, "key long, mark long"), "key", "mark")
     met = shared_of(docs.mapInArrow(_neighbourhoods(shared), "left long, line long"), "left", "line")
-    both = settle(docs.mapInArrow(_neighbourhoods(shared, met), f"kind int, left long, gone long, id {kind}, place long, line long, words binary"))
-    lines = both.where("kind = 1").select("id", "place", "line", "words")
+    both = settle(docs.mapInArrow(_neighbourhoods(shared, met), f"kind int, left long, gone long, id {kind}, row long, place long, line long, words binary"))
+    lines = both.where("kind = 1").select("id", "row", "place", "line", "words")
     firsts = lines.groupBy("line").agg(F.min(_first()).alias("first"), F.count("*").alias("rows"))
 
     rows = both.where("kind = 0").groupBy("left", "gone", "line").agg(F.min(_first()).alias("first"))
@@ -190,23 +200,27 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         .select("line", "a", "b").mapInArrow(_near, "line long").withColumn("near", F.lit(True))
     )
     stood_for = firsts.join(near, "line", "left").where("rows > 1 or near")
-    return lines.join(stood_for, "line").where((F.col("near").isNotNull()) | (F.col("first") != _first())).select("id", "place")
+    return lines.join(stood_for, "line").where((F.col("near").isNotNull()) | (F.col("first") != _first())).select("id", "row", "place")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row with its repeated lines taken out of the text, and `lines, lines_dropped, has_text` added.
 
-    A line goes if an earlier one (smaller id, null ids last, then smaller place) has the same words, or differs by one word
-    put in, left out or changed while both have NEAR_WORDS words at least. Lines under MIN_WORDS words and blank lines stay.
-    has_text says whether a line with words is left. A null text stays null, with 0 lines. Rows of one id are one document:
-    equal lines at equal places of theirs all stay. Other columns are kept as they are, whatever their names.
+    A line goes if an earlier one (smaller id, null ids last, texts of one id by their hash, then smaller place) has the same
+    words, or differs by one word put in, left out or changed while both have NEAR_WORDS words at least. Lines under MIN_WORDS
+    words and blank lines stay. has_text says whether a line with words is left. A null text stays null, with 0 lines. Rows of
+    one id and one text are one document, and all keep what it keeps; rows without an id are documents of their own, so of
+    those with one text the first alone keeps it. Other columns are kept as they are, whatever their names.
     """
     kept = [c for c in docs.columns if c != text_col]
     named = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = repeated_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    out = out.distinct().groupBy("id").agg(F.collect_list("place").alias("_out"))
-    joined = named.join(out, F.col("_id").eqNullSafe(F.col("id")), "left").drop("_id", "id")
-    joined = joined.select(*(f"c{i}" for i in range(len(kept))), "_text", "_out")
+    out = repeated_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("row")))
+    out = out.distinct().groupBy(_document("id", "row").alias("_key")).agg(F.collect_list("place").alias("_out"))
+    # Of equal texts without an id the smallest in the other columns is the first; a map has no order and no hash.
+    order = [f"c{i}" for i, c in enumerate(kept) if "map<" not in docs.schema[c].dataType.simpleString()]
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*order) if order else F.lit(0)))
+    named = named.withColumn("_key", _document("_id", F.xxhash64("_text"))).withColumn("_copy", F.col("_id").isNull() & (nth > 1))
+    joined = named.join(out, "_key", "left").select(*(f"c{i}" for i in range(len(kept))), "_text", "_out", "_copy")
     schema = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(kept))
     done = joined.mapInArrow(_without, f"{schema}, _text string, _lines long, _dropped long, _left boolean")
     back = {c: F.col(f"c{i}") for i, c in enumerate(kept)} | {text_col: F.col("_text")}
