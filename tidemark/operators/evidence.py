@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import interval_join
+from tidemark.session import settle
 
 
 def page_completeness(pages: DataFrame) -> DataFrame:
@@ -173,33 +174,66 @@ def gate_failures(df: DataFrame, failed: dict[str, Column]) -> DataFrame:
 
 
 def role_rollup(roles: DataFrame, key: str) -> DataFrame:
-    """State of a bundle from the states of its required roles."""
+    """State of a bundle from the states of its required roles.
+
+    `roles` may have required_periods and accepted_periods, for `missing_periods` of (role, period), and claim_id, for
+    `unresolved_claim_ids`: those of roles that are neither complete nor not applicable.
+    """
     state, required = F.col("state"), F.col("required")
+    more = []
+    if {"required_periods", "accepted_periods"} <= set(roles.columns):
+        none = F.array().cast(roles.schema["required_periods"].dataType)
+        gaps = F.array_except(F.coalesce("required_periods", none), F.coalesce("accepted_periods", none))
+        gaps = F.transform(gaps, lambda p: F.struct(F.col("role").alias("role"), p.alias("period")))
+        more.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(gaps)))).alias("missing_periods"))
+    if "claim_id" in roles.columns:
+        settled = F.coalesce(state.isin("complete", "not-applicable"), F.lit(False))
+        more.append(F.array_sort(F.collect_set(F.when(~settled, F.col("claim_id")))).alias("unresolved_claim_ids"))
     per = roles.groupBy(key).agg(
         F.bool_or(required & (state == "blocked")).alias("_blocked"), F.bool_and(state == "complete").alias("_all"),
-        F.array_sort(F.collect_set(F.when(state != "complete", F.col("role")))).alias("open_roles"),
+        F.array_sort(F.collect_set(F.when(state != "complete", F.col("role")))).alias("open_roles"), *more,
     )
     out = F.when(F.col("_blocked"), "blocked").when(F.col("_all"), "complete").otherwise("publishable-with-gaps")
-    return per.select(key, out.alias("bundle_state"), "open_roles")
+    return per.select(key, out.alias("bundle_state"), *per.columns[3:])
 
 
-def route_select(routes: DataFrame, requests: DataFrame, now: Column, fresh_days: int = 7) -> DataFrame:
+def route_select(routes: DataFrame, requests: DataFrame, now: Column, fresh_days: int = 7, fallbacks: DataFrame | None = None) -> DataFrame:
     """Routes of each request in order: matching function, geography (or global) and industry, by authority;
     a route found unreachable lately goes last with a skip reason, an old finding is ignored.
 
     `requests` has (request_id, function, geography, industry). A request asks under its own and the global
-    geography and under its own and any industry, so the match is an equi-join on all three.
+    geography and under its own and any industry, so the match is an equi-join on all three. `fallbacks` has
+    (route_id, fallback_id): they are followed from the routes of a request, whatever their function but in its
+    geography and industry, each once for a request, and come after the routes that match by themselves.
     """
     asked = requests.withColumn("geography", F.explode(F.array_distinct(F.array("geography", F.lit("global")))))
     asked = asked.withColumn("industry", F.explode(F.array_distinct(F.array("industry", F.lit("*")))))
-    met = routes.withColumn("industry", F.coalesce("industry", F.lit("*"))).join(asked, ["function", "geography", "industry"])
+    routes = routes.withColumn("industry", F.coalesce("industry", F.lit("*")))
+    met = routes.join(asked, ["function", "geography", "industry"]).withColumn("_layer", F.lit(0))
+    if fallbacks is not None:
+        followed = _follow(met.select("request_id", "route_id"), fallbacks, asked.select("request_id", "geography", "industry"), routes)
+        later = routes.join(followed, "route_id").withColumn("_layer", F.lit(1))
+        met = met.select(*later.columns).unionByName(later)
     skip = (F.col("last_status") == "unreachable") & (F.datediff(now, "checked") <= fresh_days)
-    w = Window.partitionBy("request_id").orderBy(F.coalesce(skip, F.lit(False)).cast("int"), F.desc("authority"), "route_id")
+    w = Window.partitionBy("request_id").orderBy(F.coalesce(skip, F.lit(False)).cast("int"), "_layer", F.desc("authority"), "route_id")
     return met.select(
         "request_id", "route_id", F.row_number().over(w).alias("place"), F.when(skip, F.lit("recently_unreachable")).alias("skip_reason")
     )
 
 
+def _follow(matched: DataFrame, fallbacks: DataFrame, asked: DataFrame, routes: DataFrame) -> DataFrame:
+    """(request_id, route_id) that fallbacks lead to from `matched` and that are not among them, a round for each step of the
+    longest chain; a route met before is not followed again."""
+    keys = ["request_id", "route_id"]
+    step = fallbacks.join(routes.select(F.col("route_id").alias("fallback_id"), "geography", "industry"), "fallback_id")
+    first = seen = front = settle(matched.distinct())
+    while not front.isEmpty():
+        reached = front.join(step, "route_id").join(asked, ["request_id", "geography", "industry"], "left_semi")
+        front = settle(reached.select("request_id", F.col("fallback_id").alias("route_id")).distinct().join(seen, keys, "left_anti"))
+        seen = seen.unionByName(front)
+    return seen.join(first, keys, "left_anti")
+
+
 def route_rank(routes: DataFrame, recipes: DataFrame, now: Column, ttl_days: int) -> DataFrame:
     """Routes with a live recipe move to the front of their own layer; the order is stable otherwise."""
     live = recipes.where((F.col("recorded") <= now) & (F.datediff(now, "recorded") <= ttl_days)).select("route_id").distinct().withColumn("_hit", F.lit(1))
@@ -207,20 +241,30 @@ def route_rank(routes: DataFrame, recipes: DataFrame, now: Column, ttl_days: int
     return routes.join(live, "route_id", "left").withColumn("place", F.row_number().over(w)).drop("_hit")
 
 
-def ledger_consistency(claims: DataFrame, attempts: DataFrame) -> DataFrame:
+def ledger_consistency(claims: DataFrame, attempts: DataFrame, applicable: DataFrame | None = None) -> DataFrame:
     """Claims whose ledger contradicts their state.
 
     `claims` has (claim_id, state, accepted_at, n_failures); `attempts` (claim_id, outcome, completed_at).
+    `applicable` (claim_id, route_id) are the routes a claim has; with it attempts have a route_id too, and a route
+    without an attempt that has ended is untried. Without it a claim of no attempts cannot be told from one of no routes,
+    and passes.
     """
     per = attempts.groupBy("claim_id").agg(
-        F.bool_or(F.col("outcome") == "pending").alias("_open"), F.bool_or(F.col("outcome") == "blocked").alias("_blocked"), F.max("completed_at").alias("_last")
+        F.bool_or(F.col("outcome") == "pending").alias("_open"), F.bool_or(F.col("outcome") == "blocked").alias("_blocked"), F.max("completed_at").alias("_last"), F.count(F.lit(1)).alias("_attempts"),
     )
     out = claims.join(per, "claim_id", "left")
+    if applicable is None:
+        out = out.withColumns({"_untried": F.lit(False), "_idle": F.lit(False)})
+    else:
+        untried = applicable.join(attempts.where("outcome <> 'pending'"), ["claim_id", "route_id"], "left_anti").select("claim_id").distinct()
+        out = out.join(untried.withColumn("_untried", F.lit(True)), "claim_id", "left").withColumn("_idle", F.col("_attempts").isNull())
     accepted, exhausted = F.col("state") == "accepted", F.col("state") == "exhausted"
     rules = (
         ("accepted_with_failures", accepted & (F.col("n_failures") > 0)), ("accepted_with_open_routes", accepted & F.col("_open")),
         ("attempt_after_acceptance", accepted & (F.col("_last") > F.col("accepted_at"))), ("exhausted_with_open_routes", exhausted & F.col("_open")),
         ("exhausted_but_blocked", exhausted & F.col("_blocked")),
+        ("exhausted_without_attempts", exhausted & F.col("_idle")), ("accepted_with_untried_routes", accepted & F.col("_untried")),
+        ("exhausted_with_untried_routes", exhausted & F.col("_untried")),
     )
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules]))
     return out.select("claim_id", found.alias("violations")).where(F.size("violations") > 0)
