@@ -436,6 +436,15 @@ def test_line_dedup_tells_rows_of_one_or_no_id_apart(spark):
     assert got[8] == ("seven a", True) and sorted([got[9][0], got[10][0]]) in (["a line of seven\nseven b", "seven c"], ["a line of seven\nseven c", "seven b"])
 
 
+def test_line_dedup_drops_long_lines_of_one_word(spark):
+    address, sentence, short = "https://example.org/" + "a" * 30, "这是一个没有空格的完整句子用来测试", "x" * 31
+    texts = [f"{address}\n{sentence}\n{short}\n", f"  {address}\nown\n{sentence}\n{short}", f"{sentence}b", "y" * 32]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == [texts[0], f"own\n{short}", texts[2], texts[3]]
+    copies = docs(spark, [texts[0]] * 2).withColumn("doc_id", F.lit(None).cast("long"))
+    assert sorted(r.text for r in linededup.dedup_lines(copies).collect()) == sorted([texts[0], f"{short}\n"])
+
+
 # --- 10 chat -----------------------------------------------------------------------------------
 
 TURNS = "conv_id long, turn long, role string, text string"

@@ -22,7 +22,8 @@ from tidemark.llm.bits import bit_table, may_have
 from tidemark.llm.bytetext import BYTE_VALUE, Texts, mix, span_hash, span_hash_without, texts_of
 from tidemark.session import settle
 
-MIN_WORDS = 2  # shorter lines (marks, braces, one-word headings) are never dropped
+MIN_WORDS = 2  # shorter lines (marks, braces, one-word headings) are never dropped, but for
+LONG_BYTES = 32  # lines of one word from here on: addresses, encoded data, sentences of scripts without spaces
 BIT_WORDS = 1 << 20  # 64-bit words of a bit table: 8 MB
 NEAR_WORDS = 10  # from here on one word of difference still counts as the same line
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +40,15 @@ def _words(texts: Texts):
     return np.cumsum(count) - count, count, span_hash(BYTE_VALUE[texts.data], first, last), of, place, (first, last)
 
 
+def _compared(first: np.ndarray, count: np.ndarray, span: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether a line is held against others at all."""
+    begin, end = span
+    use = count >= MIN_WORDS
+    one = np.flatnonzero(count == 1)
+    use[one] |= end[first[one]] - begin[first[one]] >= LONG_BYTES
+    return use
+
+
 def _line_hash(word: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return span_hash(mix(word + np.uint64(7)), lo, hi)
 
@@ -66,8 +76,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in texts_of(batch.column(1)):
             name = next(texts_of(names.slice(texts.lo, texts.hi - texts.lo), 1 << 62))
             where = mix(span_hash(BYTE_VALUE[name.data], name.offsets[:-1], name.offsets[1:]) + row[texts.lo : texts.hi])
-            first, count, word, of, place, _ = _words(texts)
-            use = count >= MIN_WORDS
+            first, count, word, of, place, span = _words(texts)
+            use = _compared(first, count, span)
             first, count = first[use], count[use]
             line = _line_hash(word, first, first + count)
             near = np.flatnonzero(count >= NEAR_WORDS)
@@ -104,7 +114,7 @@ def _neighbourhoods(shared: np.ndarray, met: np.ndarray | None = None):
                 whole = _line_hash(word, start, start + length)
                 close = np.zeros(len(start), bool)
                 close[long[rows]] = True
-                seen = np.flatnonzero((length >= MIN_WORDS) & (close | may_have(shared, _whole_key(whole))))
+                seen = np.flatnonzero(_compared(start, length, (begin, end)) & (close | may_have(shared, _whole_key(whole))))
                 data = texts.data.tobytes()
                 words = [data[begin[start[i]] : end[start[i] + length[i] - 1]] if close[i] else None for i in seen]
                 for kind, at, l, g, w in ((0, long[rows], left.view(np.int64), gone, None), (1, seen, None, None, words)):
@@ -138,6 +148,11 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array([_within_one(x.split(), y.split()) for x, y in zip(a, b, strict=True)], pa.bool_()))], ["line"])
 
 
+def _repeats(words: list) -> bool:
+    """As _compared, from the words of one line."""
+    return len(words) >= MIN_WORDS or (len(words) == 1 and len(words[0].encode()) >= LONG_BYTES)
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts less the places of dropped lines; the last columns are the text, those places, and whether all its lines stand in
     an earlier row of the same text."""
@@ -145,7 +160,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, kept, lines, dropped = [], [], [], []
         for text, out, copy in zip(*(batch.column(c).to_pylist() for c in ("_text", "_out", "_copy")), strict=True):
             parts = [] if text is None else text.split("\n")
-            out = {i for i, x in enumerate(parts) if len(WORD.findall(x)) >= MIN_WORDS} if copy else set(out or ())
+            out = {i for i, x in enumerate(parts) if _repeats(WORD.findall(x))} if copy else set(out or ())
             left = [x for i, x in enumerate(parts) if i not in out]
             texts.append("\n".join(left) if out else text)
             lines.append(len(parts))
@@ -207,8 +222,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Every row with its repeated lines taken out of the text, and `lines, lines_dropped, has_text` added.
 
     A line goes if an earlier one (smaller id, null ids last, texts of one id by their hash, then smaller place) has the same
-    words, or differs by one word put in, left out or changed while both have NEAR_WORDS words at least. Lines under MIN_WORDS
-    words and blank lines stay. has_text says whether a line with words is left. A null text stays null, with 0 lines. Rows of
+    words, or differs by one word put in, left out or changed while both have NEAR_WORDS words at least. Lines of one
+    word of less than LONG_BYTES bytes and blank lines stay. has_text says whether a line with words is left. A null text stays null, with 0 lines. Rows of
     one id and one text are one document, and all keep what it keeps; rows without an id are documents of their own, so of
     those with one text the first alone keeps it. Other columns are kept as they are, whatever their names.
     """
