@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprint, langid, lexical, linededup, mixing, nearest, ngramjoin, pieces, quality, tokencount
+from tidemark.llm import chat, collocations, fingerprint, langid, lexical, linededup, mixing, nearest, ngramjoin, pieces, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -141,6 +141,34 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return collocations.collocations(_documents(spark, sf_dir), k=2000, least=30)
+
+
+LLM_ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces
+), grams AS (SELECT lang, m, unnest(list_transform(range(1, len(ws) - m + 2), lambda i: array_to_string(ws[i:i + m - 1], ' '))) AS phrase FROM words, range(1, 5) t(m)
+), f AS (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1
+), often AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 30
+), held AS (
+    SELECT lang, part AS phrase, max(f) AS held FROM (
+        SELECT lang, f, unnest(list_transform(range(1, m - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS part FROM often, range(2, 4) t(size) WHERE size < m
+    ) GROUP BY 1, 2
+), cuts AS (
+    SELECT o.lang, o.phrase, o.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * o.f) // (x.f + y.f) AS score
+    FROM often o JOIN range(1, 4) t(k) ON k < o.m
+    JOIN f x ON x.lang = o.lang AND x.phrase = array_to_string(o.ws[1:k], ' ') JOIN f y ON y.lang = o.lang AND y.phrase = array_to_string(o.ws[k + 1:], ' ')
+    LEFT JOIN held h ON h.lang = o.lang AND h.phrase = o.phrase WHERE h.held IS NULL OR 100::HUGEINT * h.held < 80::HUGEINT * o.f
+), lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical.rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
@@ -166,5 +194,5 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 2
 """
 
 
-for _query in (op1_quality, op2_sentence_pieces, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows, op13_ranked_search):
+for _query in (op1_quality, op2_sentence_pieces, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows, op11_collocations, op13_ranked_search):
     LLM_QUERIES[_query.__name__] = _query
