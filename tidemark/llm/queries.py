@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, collocations, fingerprint, langid, lexical, linededup, mixing, nearest, ngramjoin, pieces, quality, tokencount
+from tidemark.llm import chat, collocations, fingerprint, langid, lexical, linededup, mixing, nearest, ngramjoin, personal, pieces, quality, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
@@ -169,6 +169,11 @@ SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN t
 """
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, by pattern and by the field learned from the documents."""
+    return personal.find_personal_data(_documents(spark, sf_dir))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best documents of every benchmark item."""
     return lexical.rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=20)
@@ -194,5 +199,5 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 2
 """
 
 
-for _query in (op1_quality, op2_sentence_pieces, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows, op11_collocations, op13_ranked_search):
+for _query in (op1_quality, op2_sentence_pieces, op3_language_id, op4_mix_sources, op5_nearest, op6_token_counts, op7_fingerprints, op8_ngram_join, op9_line_dedup, op10_chat_windows, op11_collocations, op12_personal_data, op13_ranked_search):
     LLM_QUERIES[_query.__name__] = _query
