@@ -245,6 +245,50 @@ def test_upserts_leave_no_staging_and_a_checkpoint_folder_must_be_shared(spark,
         session.checkpoint_dir(Remote)
 
 
+@pytest.mark.parametrize("p,n", [(4, 30), (25, 9)])
+def test_risk_over_a_carried_panel(spark, p, n):
+    """Bars with gaps against dense matrices, with more dates than symbols and with fewer."""
+    rng = np.random.default_rng(p)
+    close = np.exp(rng.normal(0, 0.2, (n + 1, p)).cumsum(0))
+    traded = rng.random((n + 1, p)) < 0.6
+    traded[0] = True
+    rows = [(f"2020-01-{t + 1:02d}", f"s{i:02d}", float(close[t, i])) for t in range(n + 1) for i in range(p) if traded[t, i]]
+    rows = [r for r in rows if r[0] <= "2020-01-31"]
+    days = sorted({r[0] for r in rows})
+    bars = spark.createDataFrame(rows, "date string, symbol string, close double").withColumn("date", F.to_date("date"))
+    held, last = np.zeros((len(days), p)), np.zeros(p)
+    for t, day in enumerate(days):
+        for d, s, c in rows:
+            if d == day:
+                last[int(s[1:])] = c
+        held[t] = last
+    x = np.diff(np.log(held), axis=0)
+    t = len(x)
+    moves, size = wt.carried_panel(bars)
+    assert tuple(size.first()) == (t, p)
+    centred = x - x.mean(0)
+    s = centred.T @ centred / t
+    mu, squares = np.trace(s) / p, (centred**2).sum(1)
+    beta, delta = ((squares**2).sum() / t - (s**2).sum()) / (p * t), ((s - mu * np.eye(p)) ** 2).sum() / p
+    shrink = min(beta, delta) / delta
+    got = wt.ledoit_wolf_shrinkage(moves, size=size).first()
+    assert (got.n, got.p) == (t, p) and got.mu == pytest.approx(mu) and got.shrinkage == pytest.approx(shrink)
+    cov = {(r.i, r.j): r.cov for r in wt.ledoit_wolf_cov(moves, size=size).collect()}
+    want = (1 - shrink) * s + shrink * mu * np.eye(p)
+    assert len(cov) == p * (p + 1) // 2 and all(v == pytest.approx(want[int(i[1:]), int(j[1:])]) for (i, j), v in cov.items())
+    w = rng.random(p)
+    weights = spark.createDataFrame([(f"s{i:02d}", float(w[i])) for i in range(p)], "symbol string, weight double")
+    marginal = np.cov(x.T) @ w
+    shares = {r.symbol: (r.contribution, r.variance) for r in wt.risk_contribution_of(weights, moves, size).collect()}
+    assert all(shares[f"s{i:02d}"] == pytest.approx((w[i] * marginal[i] / (w @ marginal), w @ marginal)) for i in range(p))
+
+
+def test_fewer_dates_than_symbols_pair_dates(spark):
+    rows = spark.createDataFrame([(f"2020-01-0{d}", f"s{i}", float(i * d)) for d in (1, 2) for i in range(9)], "date string, symbol string, ret double").withColumn("date", F.to_date("date"))
+    x = np.array([[i * d for i in range(9)] for d in (1, 2)], float)
+    assert wt._squared_gram(rows, None).first().g == pytest.approx(((x @ x.T) ** 2).sum())
+
+
 def test_sample_cov_is_pairwise_complete(spark):
     rng = np.random.default_rng(5)
     wide = pd.DataFrame(rng.normal(size=(70, 5)), index=pd.date_range("2020-01-01", periods=70), columns=list("abcde"))

@@ -219,8 +219,13 @@ def pair_moments(returns: DataFrame, blocks: int | None = None, days_per_block:
     if blocks is None:
         blocks = max(1, math.ceil(returns.agg(F.approx_count_distinct("symbol")).first()[0] / SYMBOLS_PER_BLOCK))
     day = F.floor(F.datediff("date", F.lit("1970-01-01").cast("date")) / days_per_block)
-    rows = returns.where(F.col("ret").isNotNull()).select(
-        "date", "symbol", "ret", day.alias("_d"), F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("_b")
+    return _moments(returns.where(F.col("ret").isNotNull()).select("date", "symbol", "ret", day.alias("_d")), blocks)
+
+
+def _moments(cells: DataFrame, blocks: int) -> DataFrame:
+    """pair_moments of `date, symbol, ret` whose row block `_d` is chosen already."""
+    rows = cells.select(
+        "date", "symbol", "ret", "_d", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("_b")
     )
     copies = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns(
         {"_lo": F.least("_b", "_o"), "_hi": F.greatest("_b", "_o")}
@@ -259,50 +264,116 @@ def sample_cov(returns: DataFrame, min_periods: int = 60, blocks: int | None = N
 
 
 def complete_rows(returns: DataFrame) -> DataFrame:
-    """Dates on which every symbol has a return; settled, as the estimator reads them four times."""
+    """Dates on which every symbol has a return; settled, as the estimator reads them several times."""
     returns = settle(returns)
     p = returns.agg(F.count_distinct("symbol")).scalar()
     full = returns.where(F.col("ret").isNotNull()).groupBy("date").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") == p)
     return returns.join(full.select("date"), "date", "left_semi")
 
 
-def ledoit_wolf_shrinkage(returns: DataFrame, blocks: int | None = None) -> DataFrame:
-    """One row (n, p, mu, shrinkage) of the published estimator, over complete rows.
+def carried_panel(bars: DataFrame, price: str = "close") -> tuple[DataFrame, DataFrame]:
+    """Daily returns of a complete panel, and its size as one row (n, p).
 
-    The fourth moments only need the squared norm of each date; the squared covariances come from the pairs.
+    A symbol without a bar keeps its last close, so its return of that day is zero and has no row: the panel is complete and as
+    small as the bars. It begins when the last symbol has its first bar; n counts the panel's dates after that day, p its symbols.
     """
-    rows = complete_rows(returns)
-    centred = with_group_stats(rows, ["symbol"], _m=F.avg("ret")).withColumn("ret", F.col("ret") - F.col("_m")).drop("_m")
-    norms = centred.groupBy("date").agg(F.sum(F.col("ret") * F.col("ret")).alias("q"), F.count(F.lit(1)).alias("p"))
-    base = norms.agg(F.count(F.lit(1)).alias("n"), F.max("p").alias("p"), F.sum("q").alias("trace_n"), F.sum(F.col("q") * F.col("q")).alias("b0"))
-    twice = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
-    squares = pair_moments(centred, blocks).agg(F.sum(twice * F.col("sij") * F.col("sij")).alias("d0"))
-    n, p = F.col("n"), F.col("p")
+    first = bars.groupBy("symbol").agg(F.min("date").alias("_first"))
+    begin = first.agg(F.max("_first")).scalar()
+    w = Window.partitionBy("symbol").orderBy("date")
+    moves = bars.select("date", "symbol", F.log(F.col(price) / F.lag(price).over(w)).alias("ret")).where((F.col("date") > begin) & F.col("ret").isNotNull())
+    size = bars.where(F.col("date") > begin).agg(F.count_distinct("date").alias("n")).withColumn("p", first.agg(F.count(F.lit(1))).scalar())
+    return moves, size
+
+
+def _squared_gram(rows: DataFrame, blocks: int | None) -> DataFrame:
+    """Sum of the squared products of all columns of a returns table, symbols or dates: both give the same, so the fewer are paired."""
+    sides = rows.agg(F.approx_count_distinct("symbol").alias("p"), F.approx_count_distinct("date").alias("n")).first()
+    if sides.p <= sides.n:
+        pairs = pair_moments(rows, blocks)
+    else:
+        turned = rows.select(F.col("symbol").alias("date"), F.col("date").cast("string").alias("symbol"), "ret", F.pmod(F.xxhash64("symbol"), F.lit(max(1, sides.p // 512))).alias("_d"))
+        pairs = _moments(turned, blocks or max(1, math.ceil(sides.n / SYMBOLS_PER_BLOCK)))
+    return pairs.agg(F.sum(F.when(F.col("i") == F.col("j"), 1).otherwise(2) * F.col("sij") * F.col("sij")).alias("g"))
+
+
+def _with_mean(returns: DataFrame, n: Column) -> DataFrame:
+    """Rows with their symbol's mean `_m` over n dates, a missing row being a zero."""
+    means = returns.groupBy("symbol").agg((F.sum("ret") / n).alias("_m"))
+    return returns.join(means, "symbol")
+
+
+def ledoit_wolf_shrinkage(returns: DataFrame, blocks: int | None = None, size: DataFrame | None = None) -> DataFrame:
+    """One row (n, p, mu, shrinkage) of the published estimator.
+
+    Over a complete panel whose `size` is given (`carried_panel`), a missing row being a zero return; without, over the dates on
+    which every symbol has a return. With X the returns, m their means and C = X'X - n m m' the centred products, the fourth moments
+    need each date's norm alone, and |C|^2 = |X'X|^2 - 2 n |X m|^2 + n^2 |m|^4. |X'X| equals |XX'|, so where dates are fewer
+    than symbols, dates are paired and no symbols are.
+    """
+    if size is None:
+        returns = complete_rows(returns)
+        size = returns.agg(F.count_distinct("date").alias("n"), F.count_distinct("symbol").alias("p"))
+    rows = settle(_with_mean(returns.where(F.col("ret").isNotNull()), size.select("n").scalar()))
+    x, m = F.col("ret"), F.col("_m")
+    means = rows.groupBy("symbol").agg(F.first("_m").alias("_m")).agg(F.coalesce(F.sum(m * m), F.lit(0.0)).alias("mm"))
+    dates = rows.groupBy("date").agg(F.sum(x * x - 2 * x * m).alias("a"), F.sum(x * m).alias("xm"))
+    sums = dates.agg(F.sum("a").alias("a"), F.sum(F.col("a") * F.col("a")).alias("aa"), F.sum(F.col("xm") * F.col("xm")).alias("xm"))
+    base = size.join(F.broadcast(means)).join(F.broadcast(sums)).join(F.broadcast(_squared_gram(rows, blocks)))  # one row each
+    n, p, mm = F.col("n"), F.col("p"), F.col("mm")
+    base = base.select(
+        "n", "p", (F.col("a") + n * mm).alias("trace_n"), (F.col("aa") + 2 * mm * F.col("a") + n * mm * mm).alias("b0"),
+        (F.col("g") - 2 * n * F.col("xm") + n * n * mm * mm).alias("d0"),
+    )
     mu = F.col("trace_n") / n / p
     d2 = F.col("d0") / (n * n)
     beta = (F.col("b0") / n - d2) / (p * n)
     delta = (d2 - 2 * mu * F.col("trace_n") / n + p * mu * mu) / p
-    out = base.withColumn("d0", squares.scalar()).select("n", "p", mu.alias("mu"), beta.alias("_b"), delta.alias("_d"))
+    out = base.select("n", "p", mu.alias("mu"), beta.alias("_b"), delta.alias("_d"))
     return out.select("n", "p", "mu", F.when(F.col("_b") <= 0, F.lit(0.0)).otherwise(F.least("_b", "_d") / F.col("_d")).alias("shrinkage"))
 
 
-def ledoit_wolf_cov(returns: DataFrame, blocks: int | None = None) -> DataFrame:
-    shrink = F.broadcast(ledoit_wolf_shrinkage(returns, blocks).select("mu", "shrinkage"))  # one row
-    n = F.col("n")
-    population = (F.col("sij") - F.col("si") * F.col("sj") / n) / n
-    base = pair_moments(complete_rows(returns), blocks).select("i", "j", population.alias("cov")).join(shrink)
+def ledoit_wolf_cov(returns: DataFrame, blocks: int | None = None, size: DataFrame | None = None) -> DataFrame:
+    """Shrunk covariances, long (i, j, cov) with i <= j; over a complete panel of that size, pairs that never move together included."""
+    if size is None:
+        returns = complete_rows(returns)
+        size = returns.agg(F.count_distinct("date").alias("n"), F.count_distinct("symbol").alias("p"))
+    one = F.broadcast(ledoit_wolf_shrinkage(returns, blocks, size).select(F.col("n").alias("_n"), "mu", "shrinkage"))  # one row
+    sums = returns.groupBy("symbol").agg(F.sum("ret").alias("s"))
+    # One more date on which every symbol returns zero: all pairs meet there, also those that never move together.
+    meet = sums.select(F.lit("1700-01-01").cast("date").alias("date"), "symbol", F.lit(0.0).alias("ret"))
+    pairs = pair_moments(returns.select("date", "symbol", "ret").unionByName(meet), blocks).select("i", "j", "sij")
+    base = pairs.join(sums.select(F.col("symbol").alias("i"), F.col("s").alias("_si")), "i").join(sums.select(F.col("symbol").alias("j"), F.col("s").alias("_sj")), "j").join(one)
+    population = (F.col("sij") - F.col("_si") * F.col("_sj") / F.col("_n")) / F.col("_n")
     ridge = F.when(F.col("i") == F.col("j"), F.col("shrinkage") * F.col("mu")).otherwise(0.0)
-    return base.select("i", "j", ((1 - F.col("shrinkage")) * F.col("cov") + ridge).alias("cov"))
+    return base.select("i", "j", ((1 - F.col("shrinkage")) * population + ridge).alias("cov"))
+
+
+def _shares(weights: DataFrame, marginal: DataFrame) -> DataFrame:
+    parts = weights.join(marginal, "symbol").withColumn("_rc", F.col("weight") * F.col("_m"))
+    total = parts.agg(F.sum("_rc")).scalar()
+    return parts.select("symbol", "weight", (F.col("_rc") / total).alias("contribution"), total.alias("variance"))
 
 
 def risk_contribution(weights: DataFrame, cov: DataFrame) -> DataFrame:
     """Share of portfolio variance per symbol from long covariances (i <= j); `weights` has (symbol, weight)."""
     mirrored = cov.select("i", "j", "cov").unionByName(cov.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "cov"))
     w = weights.select(F.col("symbol").alias("j"), F.col("weight").alias("_wj"))
-    marginal = mirrored.join(w, "j").groupBy(F.col("i").alias("symbol")).agg(F.sum(F.col("cov") * F.col("_wj")).alias("_m"))
-    parts = weights.join(marginal, "symbol").withColumn("_rc", F.col("weight") * F.col("_m"))
-    total = parts.agg(F.sum("_rc")).scalar()
-    return parts.select("symbol", "weight", (F.col("_rc") / total).alias("contribution"), total.alias("variance"))
+    return _shares(weights, mirrored.join(w, "j").groupBy(F.col("i").alias("symbol")).agg(F.sum(F.col("cov") * F.col("_wj")).alias("_m")))
+
+
+def risk_contribution_of(weights: DataFrame, returns: DataFrame, size: DataFrame) -> DataFrame:
+    """Share of portfolio variance per symbol over a complete panel, without its covariances.
+
+    The covariances times the weights are each symbol's covariance with the portfolio: one return per date, one covariance per
+    symbol. Work and rows grow with the panel's moves; there is no pair of symbols. A symbol that never moves contributes nothing.
+    """
+    n = size.select("n").scalar()
+    held = returns.join(weights.select("symbol", "weight"), "symbol")
+    whole = held.groupBy("date").agg(F.sum(F.col("weight") * F.col("ret")).alias("_p"))
+    total = whole.agg(F.sum("_p")).scalar()
+    joint = returns.join(whole, "date").groupBy("symbol").agg(((F.sum(F.col("ret") * F.col("_p")) - F.sum("ret") * total / n) / (n - 1)).alias("_m"))
+    every = weights.select("symbol").join(joint, "symbol", "left").withColumn("_m", F.coalesce("_m", F.lit(0.0)))
+    return _shares(weights, every)
 
 
 def inverse_vol_weights(returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

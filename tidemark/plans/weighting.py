@@ -137,17 +137,19 @@ def gross_exposure_check(spark, sf):
     return wt.gross_exposure_check(study(spark, sf)[0].withColumnRenamed("signal", "weight")).withColumn("gross", rounded(F.col("gross")))
 
 
-def monthly_returns(spark, sf):
-    monthly = monthly_bars(spark, sf).select("date", "symbol", "close")
-    return ts.log_returns(monthly).select("date", "symbol", F.col("log_ret").alias("ret")).where(F.col("ret").isNotNull())
+def daily_returns(spark, sf):
+    return ts.log_returns(v.v_bar(spark, sf)).select("date", "symbol", F.col("log_ret").alias("ret")).where(F.col("ret").isNotNull())
 
 
-SQL_RET = SQL_STUDY + ", ret AS (SELECT * FROM (SELECT date, symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret FROM mb) WHERE ret IS NOT NULL)"
+SQL_RET = "ret AS (SELECT * FROM (SELECT date, symbol, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS ret FROM v_bar) WHERE ret IS NOT NULL)"
+# The complete panel: every symbol on every date after the last first bar, 0 where it has none.
+SQL_PANEL = SQL_RET + """, st AS (SELECT max(f) AS s FROM (SELECT symbol, min(date) AS f FROM v_bar GROUP BY 1)), pd AS (SELECT DISTINCT date FROM v_bar, st WHERE date > s),
+    pn AS (SELECT date, symbol, coalesce(ret, 0) AS ret FROM pd CROSS JOIN (SELECT DISTINCT symbol FROM v_bar) LEFT JOIN ret USING (date, symbol))"""
 
 
-@query("hist_mean_returns", f"WITH {SQL_RET}, r AS (SELECT *, dense_rank() OVER (ORDER BY date DESC) AS k FROM ret WHERE date < DATE '1999-06-30'), m AS (SELECT symbol, coalesce(avg(ret) FILTER (k <= 24), 0) AS mu FROM r GROUP BY 1) SELECT symbol, round(0.7 * mu + 0.3 * (SELECT avg(mu) FROM m), 6) AS mu FROM m")
+@query("hist_mean_returns", f"WITH {SQL_RET}, r AS (SELECT *, dense_rank() OVER (ORDER BY date DESC) AS k FROM ret WHERE date < DATE '1998-06-30'), m AS (SELECT symbol, coalesce(avg(ret) FILTER (k <= 252), 0) AS mu FROM r GROUP BY 1) SELECT symbol, round(0.7 * mu + 0.3 * (SELECT avg(mu) FROM m), 6) AS mu FROM m")
 def hist_mean_returns(spark, sf):
-    return wt.hist_mean_returns(monthly_returns(spark, sf), D(1999, 6, 30), 24, 0.3).withColumn("mu", rounded(F.col("mu")))
+    return wt.hist_mean_returns(daily_returns(spark, sf), D(1998, 6, 30), 252, 0.3).withColumn("mu", rounded(F.col("mu")))
 
 
 @query("signal_returns", f"WITH {SQL_STUDY}, r AS (SELECT date, symbol, rank() OVER (PARTITION BY date ORDER BY signal) + (count(*) OVER (PARTITION BY date, signal) - 1) / 2 AS r, count(*) OVER (PARTITION BY date) AS n FROM sig) SELECT date, symbol, round(CASE WHEN n <= 1 THEN 0 ELSE (2 * (r - 1) / (n - 1) - 1) * 0.05 END, 6) AS mu FROM r")
@@ -163,11 +165,10 @@ def user_returns(spark, sf):
 
 @query("sample_cov", f"WITH {SQL_RET} SELECT a.symbol AS i, b.symbol AS j, round(covar_samp(a.ret, b.ret), 6) AS cov, count(*) AS n FROM ret a JOIN ret b ON a.date = b.date AND a.symbol <= b.symbol GROUP BY 1, 2")
 def sample_cov(spark, sf):
-    return wt.sample_cov(monthly_returns(spark, sf)).withColumn("cov", rounded(F.col("cov")))
+    return wt.sample_cov(daily_returns(spark, sf)).withColumn("cov", rounded(F.col("cov")))
 
 
-SQL_LW = SQL_RET + """, pcount AS (SELECT count(DISTINCT symbol) AS p FROM ret), fd AS (SELECT date FROM ret GROUP BY 1 HAVING count(*) = (SELECT p FROM pcount)),
-    x AS (SELECT date, symbol, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM ret WHERE date IN (SELECT date FROM fd)),
+SQL_LW = SQL_PANEL + """, x AS (SELECT date, symbol, ret - avg(ret) OVER (PARTITION BY symbol) AS x FROM pn),
     nn AS (SELECT count(DISTINCT date) AS n, count(DISTINCT symbol) AS p FROM x),
     q AS (SELECT date, sum(x * x) AS q FROM x GROUP BY 1), bq AS (SELECT sum(q * q) AS b0, sum(q) AS tr FROM q),
     sc AS (SELECT a.symbol AS i, b.symbol AS j, sum(a.x * b.x) AS s FROM x a JOIN x b USING (date) GROUP BY 1, 2), dq AS (SELECT sum(s * s) AS d0 FROM sc),
@@ -176,24 +177,27 @@ SQL_LW = SQL_RET + """, pcount AS (SELECT count(DISTINCT symbol) AS p FROM ret),
 
 @query("ledoit_wolf_shrinkage", f"WITH {SQL_LW} SELECT n, p, round(mu, 6) AS mu, round(CASE WHEN b <= 0 THEN 0 ELSE least(b, d) / d END, 6) AS shrinkage FROM lw")
 def ledoit_wolf_shrinkage(spark, sf):
-    out = wt.ledoit_wolf_shrinkage(monthly_returns(spark, sf))
+    moves, size = wt.carried_panel(v.v_bar(spark, sf))
+    out = wt.ledoit_wolf_shrinkage(moves, size=size)
     return out.select("n", "p", rounded(F.col("mu")).alias("mu"), rounded(F.col("shrinkage")).alias("shrinkage"))
 
 
 @query("ledoit_wolf_cov", f"WITH {SQL_LW} SELECT i, j, round((1 - least(b, d) / d) * s / n + CASE WHEN i = j THEN least(b, d) / d * mu ELSE 0 END, 5) AS cov FROM sc, lw WHERE i <= j")
 def ledoit_wolf_cov(spark, sf):
-    return wt.ledoit_wolf_cov(monthly_returns(spark, sf)).withColumn("cov", rounded(F.col("cov"), 5))
+    moves, size = wt.carried_panel(v.v_bar(spark, sf))
+    return wt.ledoit_wolf_cov(moves, size=size).withColumn("cov", rounded(F.col("cov"), 5))
 
 
-@query("risk_contribution", f"WITH {SQL_RET}, c AS (SELECT a.symbol AS i, b.symbol AS j, covar_samp(a.ret, b.ret) AS cov FROM ret a JOIN ret b USING (date) GROUP BY 1, 2), w AS (SELECT symbol, 1.0 / count(*) OVER () AS w FROM (SELECT DISTINCT symbol FROM ret)), "
+@query("risk_contribution", f"WITH {SQL_PANEL}, c AS (SELECT a.symbol AS i, b.symbol AS j, covar_samp(a.ret, b.ret) AS cov FROM pn a JOIN pn b USING (date) GROUP BY 1, 2), w AS (SELECT symbol, 1.0 / count(*) OVER () AS w FROM (SELECT DISTINCT symbol FROM pn)), "
        "m AS (SELECT i AS symbol, sum(cov * w) AS m FROM c JOIN w ON w.symbol = c.j GROUP BY 1) SELECT symbol, round(w, 6) AS weight, round(w * m / sum(w * m) OVER (), 6) AS contribution, round(sum(w * m) OVER (), 6) AS variance FROM w JOIN m USING (symbol)")
 def risk_contribution(spark, sf):
-    ret = monthly_returns(spark, sf)
-    one = wt.weight_equal(ret.select("symbol").distinct().withColumn("date", F.lit(0))).select("symbol", "weight")
-    out = wt.risk_contribution(one, wt.settle(wt.sample_cov(ret)))
+    bars = v.v_bar(spark, sf)
+    moves, size = wt.carried_panel(bars)
+    one = wt.weight_equal(bars.select("symbol").distinct().withColumn("date", F.lit(0))).select("symbol", "weight")
+    out = wt.risk_contribution_of(one, moves, size)
     return out.select("symbol", *[rounded(F.col(c)).alias(c) for c in ("weight", "contribution", "variance")])
 
 
 @query("inverse_vol_weights", f"WITH {SQL_RET}, s AS (SELECT symbol, stddev_samp(ret) AS sd FROM ret GROUP BY 1) SELECT symbol, round(1 / sd / sum(1 / sd) OVER (), 6) AS weight FROM s WHERE sd > 0")
 def inverse_vol_weights(spark, sf):
-    return wt.inverse_vol_weights(monthly_returns(spark, sf)).withColumn("weight", rounded(F.col("weight")))
+    return wt.inverse_vol_weights(daily_returns(spark, sf)).withColumn("weight", rounded(F.col("weight")))
