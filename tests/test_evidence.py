@@ -38,3 +38,33 @@ def test_bundles_name_missing_periods_and_unresolved_claims(spark):
     roles = spark.createDataFrame(rows, "bundle string, role string, state string, required boolean, required_periods array<int>, accepted_periods array<int>, claim_id string")
     got = {r.bundle: ([tuple(m) for m in r.missing_periods], r.unresolved_claim_ids, r.bundle_state) for r in ev.role_rollup(roles, "bundle").collect()}
     assert got == {"b": ([("rivals", 2023), ("share", 2022)], ["c1", "c2"], "publishable-with-gaps"), "k": ([], [], "complete")}
+
+
+def test_stitch_needs_one_group_of_meeting_sources(spark):
+    rows = [(c, s, p, v, u) for c, stated in {
+        "pairs": [("A", 2000, 1.0, "one"), ("B", 2000, 1.0, "one"), ("C", 2010, 2.0, "one"), ("D", 2010, 2.0, "one")],
+        "chain": [("A", 2000, 1.0, "one"), ("A", 2001, 2.0, "one"), ("B", 2001, 0.002, "thousand"), ("B", 2002, 0.003, "thousand"), ("C", 2002, 3.0, "one"), ("C", 2003, 4.0, "one")],
+        "clash": [("A", 2000, 1.0, "one"), ("B", 2000, 1.0, "thousand")],
+        "apart": [("A", 2000, 1.0, "one"), ("B", 2001, 1.0, "one")],
+        "alone": [("A", 2000, 1.0, "one"), ("A", 2001, 1.5, "one")],
+        "odd": [("A", 2000, 1.0, "dozen")],
+    }.items() for s, p, v, u in stated]
+    series = spark.createDataFrame(rows, "claim_id string, source_id string, period int, value double, unit string")
+    units = spark.createDataFrame([("one", "one", 1.0), ("thousand", "one", 1000.0)], "unit string, canonical_unit string, factor double")
+    got = sorted(tuple(r) for r in ev.series_stitch(series, units=units).collect())
+    assert got == [("alone", 2000, 1.0, "A", "single"), ("alone", 2001, 1.5, "A", "single")] + [
+        ("chain", 2000, 1.0, "A", "stitched"), ("chain", 2001, 2.0, "A", "stitched"), ("chain", 2002, 3.0, "B", "stitched"), ("chain", 2003, 4.0, "C", "stitched")
+    ]
+    long = spark.range(40).selectExpr("0 AS k", "explode(array(id, id + 1)) AS via", "id AS node")
+    assert {r.root for r in ev.meeting_groups(long, "k", "node", "via").collect()} == {0}
+    assert ev.series_stitch(series.limit(0)).count() == 0
+
+
+def test_periods_of_every_frequency(spark):
+    labels = ["1999", "1999Q4", "1999-Q4", "1999-12", "1999-13", "FY1999", None]
+    rows = spark.createDataFrame([(x,) for x in labels], "period string").select("period", ev.period_frequency(F.col("period")).alias("f"), ev.period_number(F.col("period")).alias("n"))
+    rows = rows.withColumn("back", ev.period_label(F.col("f"), F.col("n")))
+    assert [tuple(r)[1:] for r in rows.collect()] == [("A", 1999, "1999"), ("Q", 7999, "1999Q4"), ("Q", 7999, "1999Q4"), ("M", 23999, "1999-12"), (None,) * 3, (None,) * 3, (None,) * 3]
+    series = spark.createDataFrame([("a", "1999Q3"), ("a", "2000Q2"), ("b", "1999-11"), ("b", "2000-02"), ("c", "1999"), ("c", "1999Q1")], "k string, period string")
+    assert sorted(tuple(r) for r in ev.series_continuity(series, ["k"]).collect()) == [("a", "1999Q4"), ("a", "2000Q1"), ("b", "1999-12"), ("b", "2000-01")]
+    assert sorted(tuple(r) for r in ev.series_frequency(series, ["k"], "Q").collect()) == [("a", "Q", None), ("b", "M", "frequency"), ("c", None, "mixed")]

@@ -23,3 +23,8 @@ def rounded(value: Column, digits: int = 6) -> Column:
     """Rounded for reports, with negative zero folded into zero."""
     out = F.round(value, digits)
     return F.when(out == 0, F.lit(0.0)).otherwise(out)
+
+
+def settled_round(value: Column, digits: int = 6) -> Column:
+    """Rounded half up after noise of float sums, far below the last digit kept, is cut away: exact halves round alike in any order."""
+    return F.round(value.cast(f"decimal(28,{digits + 2})"), digits).cast("double")

@@ -106,11 +106,49 @@ def scope_fingerprint(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.withColumn("scope_fingerprint", F.sha2(F.to_json(F.struct(*parts)), 256))
 
 
+def period_frequency(period: Column) -> Column:
+    """A, Q or M of `1995`, `1995Q2` (or `1995-Q2`) and `1995-06`; null for anything else."""
+    p = period.cast("string")
+    return F.when(p.rlike("^[0-9]{4}$"), "A").when(p.rlike("^[0-9]{4}-?Q[1-4]$"), "Q").when(p.rlike("^[0-9]{4}-(0[1-9]|1[0-2])$"), "M")
+
+
+def period_number(period: Column) -> Column:
+    """Years, quarters or months since year 0, by the period's own frequency; null for anything else."""
+    p = period.cast("string")
+    year, last = F.substring(p, 1, 4).cast("int"), F.regexp_extract(p, "([0-9]{1,2})$", 1).cast("int")
+    freq = period_frequency(period)
+    return F.when(freq == "A", year).when(freq == "Q", year * 4 + F.right(p, F.lit(1)).cast("int") - 1).when(freq == "M", year * 12 + last - 1)
+
+
+def period_label(frequency: Column, number: Column) -> Column:
+    year = lambda per: F.lpad(F.floor(number / per).cast("string"), 4, "0")
+    part = lambda per: (number % per + 1).cast("string")
+    return F.when(frequency == "A", year(1)).when(frequency == "Q", F.concat(year(4), F.lit("Q"), part(4))).when(frequency == "M", F.concat(year(12), F.lit("-"), F.lpad(part(12), 2, "0")))
+
+
 def series_continuity(series: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Periods missing between the first and last period of each series: spine minus data."""
-    spans = series.groupBy(*keys).agg(F.min("period").alias("_a"), F.max("period").alias("_b"))
-    spine = spans.select(*keys, F.explode(F.sequence("_a", "_b")).alias("period"))
-    return spine.join(series.select(*keys, "period"), [*keys, "period"], "left_anti")
+    """Periods missing between the first and last period of each series: spine minus data.
+
+    Periods are years as numbers, or labels of years, quarters or months; a series of labels is spanned in its own frequency.
+    Series that mix frequencies, or state periods of no known form, are for `series_frequency`; here each frequency has its own span.
+    """
+    if series.schema["period"].dataType.simpleString() != "string":
+        spans = series.groupBy(*keys).agg(F.min("period").alias("_a"), F.max("period").alias("_b"))
+        spine = spans.select(*keys, F.explode(F.sequence("_a", "_b")).alias("period"))
+        return spine.join(series.select(*keys, "period"), [*keys, "period"], "left_anti")
+    numbered = series.select(*keys, period_frequency(F.col("period")).alias("_f"), period_number(F.col("period")).alias("_n")).where(F.col("_n").isNotNull())
+    spans = numbered.groupBy(*keys, "_f").agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"))
+    spine = spans.select(*keys, "_f", F.explode(F.sequence("_a", "_b")).alias("_n")).join(numbered, [*keys, "_f", "_n"], "left_anti")
+    return spine.select(*keys, period_label(F.col("_f"), F.col("_n")).alias("period"))
+
+
+def series_frequency(series: DataFrame, keys: Sequence[str], wanted: str | None = None) -> DataFrame:
+    """Each series' frequency, and why it fails: `mixed`, `unknown` periods, or another one than is `wanted`."""
+    freq = period_frequency(F.col("period"))
+    per = series.groupBy(*keys).agg(F.min(freq).alias("frequency"), F.count_distinct(freq).alias("_kinds"), F.max(freq.isNull()).alias("_odd"))
+    other = F.col("frequency") != wanted if wanted else F.lit(False)
+    failure = F.when(F.col("_odd"), "unknown").when(F.col("_kinds") > 1, "mixed").when(other, "frequency")
+    return per.select(*keys, F.when(failure.isNull() | (failure == "frequency"), F.col("frequency")).alias("frequency"), failure.alias("failure"))
 
 
 def series_freshness(series: DataFrame, keys: Sequence[str], last_completed: int, lag: int) -> DataFrame:
@@ -119,19 +157,60 @@ def series_freshness(series: DataFrame, keys: Sequence[str], last_completed: int
     return newest.withColumn("fresh", F.col("latest_period") >= last_completed - lag)
 
 
-def series_stitch(series: DataFrame, key: str = "claim_id") -> DataFrame:
-    """Union of the sources of a claim when they agree wherever they overlap; each period keeps its first source.
+def vintage_freshness(series: DataFrame, keys: Sequence[str], asof: Column, max_age: int) -> DataFrame:
+    """Freshness by when the data was made, not by what it is about or when it was printed again.
 
-    Sources join only where they meet: a claim with a source that shares no period with the others is left out.
+    `vintage` is the date of the data, `published_at` that of its print. A series is fresh if its newest vintage is at most
+    `max_age` days before `asof`; one dated after its own publication, or after `asof`, is not evidence at all.
     """
-    per = series.groupBy(key, "period").agg(F.count_distinct("value").alias("_values"), F.min_by("value", "source_id").alias("value"), F.min("source_id").alias("source_id"))
-    clash = per.where(F.col("_values") > 1).select(key)
-    held = series.select(key, "period", "source_id").distinct()
-    crowd = held.groupBy(key, "period").agg(F.count(F.lit(1)).alias("_sources"))
-    alone = held.join(crowd, [key, "period"]).groupBy(key, "source_id").agg(F.max("_sources").alias("_most")).where(F.col("_most") == 1)
-    several = held.groupBy(key).agg(F.count_distinct("source_id").alias("_all")).where(F.col("_all") > 1)
-    apart = alone.join(several, key).select(key)
-    return per.join(clash.union(apart).distinct(), key, "left_anti").select(key, "period", "value", "source_id")
+    per = series.groupBy(*keys).agg(F.max("vintage").alias("vintage"), F.max(F.col("vintage") > F.col("published_at")).alias("_early"))
+    rule = F.when(F.col("vintage").isNull(), "undated").when(F.col("_early") | (F.col("vintage") > asof), "future").when(F.datediff(asof, F.col("vintage")) > max_age, "stale")
+    return per.select(*keys, "vintage", rule.alias("failure"))
+
+
+def in_canonical_units(series: DataFrame, units: DataFrame) -> DataFrame:
+    """`value` in the unit's canonical one: `units` has (unit, canonical_unit, factor). An unknown unit leaves both null."""
+    known = series.drop("canonical_unit").join(units.select("unit", "canonical_unit", F.col("factor").alias("_factor")), "unit", "left")
+    return known.withColumn("value", F.col("value") * F.col("_factor")).drop("_factor")
+
+
+def meeting_groups(members: DataFrame, key: str, node: str, via: str) -> DataFrame:
+    """`key, node, root`: nodes of a key that meet at a common `via` are one group, named by its smallest node.
+
+    Rounds of the smallest root over what a node meets, each followed by a jump to the root's own root, until none changes. A
+    round is two partial aggregates over the memberships, so a `via` that very many nodes share meets no single task.
+    """
+    held = settle(members.select(key, node, via).distinct())
+    roots = settle(held.select(key, node, F.col(node).alias("root")).distinct())
+    while True:
+        met = held.join(roots, [key, node]).groupBy(key, via).agg(F.min("root").alias("root"))
+        near = held.join(met, [key, via]).groupBy(key, node).agg(F.min("root").alias("_near"))
+        jump = near.select(key, F.col(node).alias("_near"), F.col("_near").alias("_far"))
+        moved = near.join(jump, [key, "_near"]).join(roots, [key, node])
+        moved = settle(moved.select(key, node, F.least("_far", "root").alias("root"), (F.least("_far", "root") < F.col("root")).alias("_moved")))
+        roots = moved.drop("_moved")
+        if moved.where("_moved").isEmpty():
+            return roots
+
+
+def series_stitch(series: DataFrame, key: str = "claim_id", units: DataFrame | None = None) -> DataFrame:
+    """One series of a claim from its sources: `key, period, value, source_id, series_form`.
+
+    Sources join only where they meet: sources that share a period are linked, and all of a claim must hang together in one group
+    of links, so two pairs that meet only among themselves are no series. Where they meet their values must agree, in canonical units if
+    `units` is given; a value in an unknown unit rejects its claim. Each period keeps its first source; the form is `single` or `stitched`.
+    Values are compared as rounded to nine digits after the point, so that a unit's factor does not set equal ones apart.
+    """
+    if units is not None:
+        series = in_canonical_units(series, units)
+    stated = series.withColumn("_v", F.round("value", 9))
+    per = stated.groupBy(key, "period").agg(
+        F.count_distinct("_v").alias("_values"), F.min_by("value", "source_id").alias("value"), F.min("source_id").alias("source_id"), F.max(F.col("_v").isNull()).alias("_unknown")
+    )
+    clash = per.where((F.col("_values") > 1) | F.col("_unknown")).select(key)
+    groups = meeting_groups(series, key, "source_id", "period").groupBy(key).agg(F.count_distinct("root").alias("_groups"), F.count(F.lit(1)).alias("_sources"))
+    whole = groups.where(F.col("_groups") == 1).select(key, F.when(F.col("_sources") > 1, "stitched").otherwise("single").alias("series_form"))
+    return per.join(clash.distinct(), key, "left_anti").join(whole, key).select(key, "period", "value", "source_id", "series_form")
 
 
 def series_conflict(series: DataFrame, strength: DataFrame, key: str = "claim_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import rounded
+from tidemark.functions.numeric import rounded, settled_round
 from tidemark.operators import accounting as ac
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
@@ -70,15 +70,15 @@ def _holdings(spark, sf):
     return ac.holdings_from_trades(v.v_trade(spark, sf), ["run_id", "symbol"])
 
 
-@query("holdings_from_trades", f"WITH {SQL_HOLD} SELECT run_id, symbol, date, shares, round(avg_cost + 1e-7, 4) AS avg_cost FROM hold")
+@query("holdings_from_trades", f"WITH {SQL_HOLD} SELECT run_id, symbol, date, shares, round(avg_cost::DECIMAL(28, 8), 6)::DOUBLE AS avg_cost FROM hold")
 def holdings_from_trades(spark, sf):
-    return _holdings(spark, sf).withColumn("avg_cost", rounded(F.col("avg_cost") + 1e-7, 4))
+    return _holdings(spark, sf).withColumn("avg_cost", settled_round(F.col("avg_cost")))
 
 
-@query("apply_split_to_holdings", f"WITH {SQL_HOLD}, sp AS (SELECT symbol, ex_date AS date, product(1 + floor(amount))::DOUBLE AS r FROM v_payout GROUP BY 1, 2) SELECT run_id, symbol, date, CAST(floor(shares * coalesce(r, 1)) AS BIGINT) AS shares, round(avg_cost / coalesce(r, 1) + 1e-7, 4) AS avg_cost FROM hold LEFT JOIN sp USING (symbol, date)")
+@query("apply_split_to_holdings", f"WITH {SQL_HOLD}, sp AS (SELECT symbol, ex_date AS date, product(1 + floor(amount))::DOUBLE AS r FROM v_payout GROUP BY 1, 2) SELECT run_id, symbol, date, CAST(floor(shares * coalesce(r, 1)) AS BIGINT) AS shares, round((avg_cost / coalesce(r, 1))::DECIMAL(28, 8), 6)::DOUBLE AS avg_cost FROM hold LEFT JOIN sp USING (symbol, date)")
 def apply_split_to_holdings(spark, sf):
     splits = v.v_payout(spark, sf).select("symbol", "ex_date", F.lit("split").alias("kind"), (1 + F.floor("amount")).cast("double").alias("ratio"))
-    return ac.apply_split_to_holdings(_holdings(spark, sf), splits).withColumn("avg_cost", rounded(F.col("avg_cost") + 1e-7, 4))
+    return ac.apply_split_to_holdings(_holdings(spark, sf), splits).withColumn("avg_cost", settled_round(F.col("avg_cost")))
 
 
 @query("dividend_cash", f"WITH {SQL_HOLD}, dv AS (SELECT symbol, ex_date, sum(amount) AS amount FROM v_payout GROUP BY 1, 2), ow AS (SELECT DISTINCT run_id, symbol FROM hold), c AS (SELECT * FROM dv JOIN ow USING (symbol)) "
@@ -96,11 +96,11 @@ def _positions(spark, sf):
     return v.v_bar(spark, sf).select(F.concat(F.lit("r"), (F.col("volume") % 2).cast("string")).alias("run_id"), "date", "symbol", F.col("volume").alias("shares"))
 
 
-@query("mark_to_market", f"WITH {SQL_POS}, d AS (SELECT DISTINCT run_id, date FROM pos) SELECT run_id, date, round(1000 + sum(base) + 0.000271828, 2) AS nav FROM d JOIN pos USING (run_id, date) GROUP BY 1, 2")
+@query("mark_to_market", f"WITH {SQL_POS}, d AS (SELECT DISTINCT run_id, date FROM pos) SELECT run_id, date, round((1000 + sum(base))::DECIMAL(28, 8), 6)::DOUBLE AS nav FROM d JOIN pos USING (run_id, date) GROUP BY 1, 2")
 def mark_to_market(spark, sf):
     p = _positions(spark, sf)
     cash = p.select("run_id", "date").distinct().withColumn("cash_base", F.lit(1000.0))
-    return ac.mark_to_market(p, v.v_bar(spark, sf), v.v_fx(spark, sf), cash, ["run_id"]).withColumn("nav", F.round(F.col("nav") + 0.000271828, 2))
+    return ac.mark_to_market(p, v.v_bar(spark, sf), v.v_fx(spark, sf), cash, ["run_id"]).withColumn("nav", settled_round(F.col("nav")))
 
 
 @query("final_positions", f"WITH {SQL_POS} SELECT run_id, date, symbol, shares, round(loc, 3) AS mkt_value_local, round(base, 3) AS mkt_value_base FROM pos p WHERE date = (SELECT max(date) FROM pos q WHERE q.run_id = p.run_id)")

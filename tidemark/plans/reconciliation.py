@@ -183,10 +183,59 @@ def series_freshness(spark, sf):
     return ev.series_freshness(v.v_series(spark, sf), S, 2001, 1)
 
 
-@query("series_stitch", "WITH p AS (SELECT claim_id, period, count(DISTINCT value) AS n, arg_min(value, source_id) AS value, min(source_id) AS source_id FROM v_series GROUP BY 1, 2) SELECT claim_id, period, value, source_id FROM p WHERE claim_id NOT IN (SELECT claim_id FROM p WHERE n > 1) AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT claim_id, source_id FROM v_series) a JOIN (SELECT claim_id FROM v_series GROUP BY 1 HAVING count(DISTINCT source_id) > 1) m USING (claim_id) WHERE a.claim_id = p.claim_id AND NOT EXISTS (SELECT 1 FROM v_series x JOIN v_series y USING (claim_id, period) WHERE x.claim_id = a.claim_id AND x.source_id = a.source_id AND y.source_id <> a.source_id))")
+# Quotes of a claim in the units of their sources: mostly one value a year, some of them wrong, some sources far apart.
+SQL_QUOTES = """q AS (SELECT claim_id, source_id, period, max(v) AS v FROM (SELECT o_custkey AS claim_id, o_orderpriority AS source_id, year(o_orderdate) AS period, o_custkey % 7 + year(o_orderdate) - 1990 + CASE WHEN o_orderkey % 40 = 0 THEN 1 ELSE 0 END AS v
+    FROM orders WHERE (o_custkey + year(o_orderdate)) % 5 < 2) GROUP BY 1, 2, 3)"""
+
+
+def _quotes(spark, sf):
+    o = v.table(spark, sf, "orders")
+    year = F.year("o_orderdate")
+    rows = o.where((F.col("o_custkey") + year) % 5 < 2).select(
+        F.col("o_custkey").alias("claim_id"), F.col("o_orderpriority").alias("source_id"), year.alias("period"),
+        (F.col("o_custkey") % 7 + year - 1990 + F.when(F.col("o_orderkey") % 40 == 0, 1).otherwise(0)).cast("double").alias("v"))
+    unit = F.when(F.col("source_id").startswith("1"), "thousand").when(F.col("source_id").startswith("2"), "percent").otherwise("one")
+    factor = F.when(F.col("unit") == "thousand", 1000.0).when(F.col("unit") == "percent", 0.01).otherwise(1.0)
+    return rows.groupBy("claim_id", "source_id", "period").agg(F.max("v").alias("v")).withColumn("unit", unit).withColumn("value", F.col("v") / factor).drop("v")
+
+
+@query("series_stitch", f"WITH RECURSIVE {SQL_QUOTES}, link AS (SELECT DISTINCT x.claim_id, x.source_id AS a, y.source_id AS b FROM q x JOIN q y USING (claim_id, period)), reach AS (SELECT * FROM link UNION SELECT r.claim_id, r.a, l.b FROM reach r JOIN link l ON l.claim_id = r.claim_id AND l.a = r.b), "
+       "n AS (SELECT claim_id, count(DISTINCT source_id) AS n FROM q GROUP BY 1), whole AS (SELECT claim_id, n FROM reach JOIN n USING (claim_id) GROUP BY 1, 2 HAVING count(DISTINCT (a, b)) = n * n), p AS (SELECT claim_id, period, count(DISTINCT v) AS k, arg_min(v, source_id) AS value, min(source_id) AS source_id FROM q GROUP BY 1, 2) "
+       "SELECT claim_id, period, value::DOUBLE AS value, source_id, CASE WHEN n > 1 THEN 'stitched' ELSE 'single' END AS series_form FROM p JOIN whole USING (claim_id) WHERE claim_id NOT IN (SELECT claim_id FROM p WHERE k > 1)")
 def series_stitch(spark, sf):
-    lines = v.v_series(spark, sf)
-    return ev.series_stitch(lines)
+    units = spark.createDataFrame([("one", "one", 1.0), ("thousand", "one", 1000.0), ("percent", "one", 0.01)], "unit string, canonical_unit string, factor double")
+    return ev.series_stitch(_quotes(spark, sf), "claim_id", units)
+
+
+# The same orders as series at quarters and months, and some whose labels mix both.
+SQL_PERIODS = "pp AS (SELECT DISTINCT o_custkey AS claim_id, o_orderstatus AS source_id, CASE WHEN o_custkey % 3 = 0 OR (o_custkey % 3 = 2 AND o_orderkey % 2 = 0) THEN year(o_orderdate) || 'Q' || quarter(o_orderdate) WHEN o_custkey % 11 = 1 AND o_orderkey % 7 = 0 THEN 'FY' || year(o_orderdate) ELSE strftime(o_orderdate, '%Y-%m') END AS period FROM orders)"
+
+
+def _periods(spark, sf):
+    o, day, c = v.table(spark, sf, "orders"), F.col("o_orderdate"), F.col("o_custkey")
+    quarter = F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
+    label = F.when((c % 3 == 0) | ((c % 3 == 2) & (F.col("o_orderkey") % 2 == 0)), quarter).when((c % 11 == 1) & (F.col("o_orderkey") % 7 == 0), F.concat(F.lit("FY"), F.year(day).cast("string"))).otherwise(F.date_format(day, "yyyy-MM"))
+    return o.select(c.alias("claim_id"), F.col("o_orderstatus").alias("source_id"), label.alias("period")).distinct()
+
+
+@query("series_gaps_by_frequency", f"WITH {SQL_PERIODS}, n AS (SELECT claim_id, source_id, CASE WHEN period LIKE '%Q%' THEN 'Q' ELSE 'M' END AS f, CASE WHEN period LIKE '%Q%' THEN left(period, 4)::INT * 4 + right(period, 1)::INT - 1 ELSE left(period, 4)::INT * 12 + right(period, 2)::INT - 1 END AS n FROM pp WHERE period NOT LIKE 'FY%'), "
+       "s AS (SELECT claim_id, source_id, f, unnest(range(min(n), max(n) + 1)) AS n FROM n GROUP BY 1, 2, 3) SELECT claim_id, source_id, CASE f WHEN 'Q' THEN (n // 4) || 'Q' || (n % 4 + 1) ELSE (n // 12) || '-' || lpad((n % 12 + 1)::VARCHAR, 2, '0') END AS period FROM s ANTI JOIN n USING (claim_id, source_id, f, n)")
+def series_gaps_by_frequency(spark, sf):
+    return ev.series_continuity(_periods(spark, sf), S)
+
+
+@query("series_frequency", f"WITH {SQL_PERIODS}, k AS (SELECT claim_id, source_id, CASE WHEN period LIKE 'FY%' THEN NULL WHEN period LIKE '%Q%' THEN 'Q' ELSE 'M' END AS f FROM pp), g AS (SELECT claim_id, source_id, min(f) AS f, count(DISTINCT f) AS n, bool_or(f IS NULL) AS odd FROM k GROUP BY 1, 2) "
+       "SELECT claim_id, source_id, CASE WHEN odd OR n > 1 THEN NULL ELSE f END AS frequency, CASE WHEN odd THEN 'unknown' WHEN n > 1 THEN 'mixed' WHEN f <> 'M' THEN 'frequency' END AS failure FROM g")
+def series_frequency(spark, sf):
+    return ev.series_frequency(_periods(spark, sf), S, "M")
+
+
+@query("vintage_freshness", "SELECT l_partkey AS claim_id, max(l_shipdate)::DATE AS vintage, CASE WHEN bool_or(l_quantity::INT % 25 = 0) OR max(l_shipdate) > DATE '2001-09-01' THEN 'future' WHEN date_diff('day', max(l_shipdate), DATE '2001-09-01') > 90 THEN 'stale' END AS failure FROM lineitem GROUP BY 1")
+def vintage_freshness(spark, sf):
+    day = F.to_date("l_shipdate")
+    printed = F.date_add(day, F.col("l_quantity").cast("int") % 25 - 1)  # some are dated after their print
+    rows = v.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("claim_id"), day.alias("vintage"), printed.alias("published_at"))
+    return ev.vintage_freshness(rows, ["claim_id"], F.lit("2001-09-01").cast("date"), 90)
 
 
 SQL_STRENGTH = "st AS (SELECT source_id, CASE source_id WHEN 'src-p' THEN 1 WHEN 'src-f' THEN 2 ELSE 2 END AS authority, CASE source_id WHEN 'src-p' THEN 3 WHEN 'src-f' THEN 2 ELSE 1 END AS directness FROM (SELECT DISTINCT source_id FROM v_series)), r AS (SELECT v_series.*, authority, directness FROM v_series JOIN st USING (source_id))"

@@ -6,7 +6,7 @@ from datetime import date as D
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.numeric import rounded
+from tidemark.functions.numeric import rounded, settled_round
 from tidemark.operators import documents as dc, pit, screen as sc
 from tidemark.plans import views as v
 from tidemark.plans.point_in_time import ASOF, SQL_KNOWN
@@ -121,9 +121,9 @@ def owner_earnings_yield(spark, sf):
     return sc.owner_earnings_yield(_known(spark, sf)).withColumn("owner_earnings_yield", rounded(F.col("owner_earnings_yield")))
 
 
-@query("oe_summary", f"WITH {SQL_KNOWN}, {SQL_OE.format(t='known')} SELECT symbol, round(arg_max(oe, report_date) + 1e-6, 3) AS latest, round(avg(oe) + 1e-6, 3) AS mean, round(stddev_samp(oe) / CASE WHEN avg(oe) <> 0 THEN abs(avg(oe)) END, 6) AS cv FROM oe GROUP BY 1")
+@query("oe_summary", f"WITH {SQL_KNOWN}, {SQL_OE.format(t='known')} SELECT symbol, round(arg_max(oe, report_date)::DECIMAL(28, 8), 6)::DOUBLE AS latest, round(avg(oe)::DECIMAL(28, 8), 6)::DOUBLE AS mean, round(stddev_samp(oe) / CASE WHEN avg(oe) <> 0 THEN abs(avg(oe)) END, 6) AS cv FROM oe GROUP BY 1")
 def oe_summary(spark, sf):
-    return sc.oe_summary(_known(spark, sf)).select("symbol", rounded(F.col("latest") + 1e-6, 3).alias("latest"), rounded(F.col("mean") + 1e-6, 3).alias("mean"), rounded(F.col("cv")).alias("cv"))
+    return sc.oe_summary(_known(spark, sf)).select("symbol", settled_round(F.col("latest")).alias("latest"), settled_round(F.col("mean")).alias("mean"), rounded(F.col("cv")).alias("cv"))
 
 
 @query("valuation_bands", f"""WITH {SQL_KNOWN}, p AS (SELECT symbol, quantile_cont(pe, [0.1, 0.25, 0.5, 0.75, 0.9]) AS q, arg_max(pe, report_date) AS cur, date_diff('day', min(report_date), max(report_date)) / 365.25 AS years FROM known GROUP BY 1)
