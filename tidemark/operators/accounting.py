@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,17 +222,17 @@ def final_positions(positions: DataFrame, keys: list[str]) -> DataFrame:
     return positions.join(last, [*keys, "date"], "left_semi")
 
 
-def weights_to_returns(weights: DataFrame, returns: DataFrame) -> DataFrame:
+def weights_to_returns(weights: DataFrame, returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Gross portfolio return per date: weights of the last rebalance strictly before it times the day's returns.
 
-    Rebalance dates are few, so the date is resolved first and the weights meet by equality.
+    Rebalance dates are few, so the date is resolved first and the weights meet by equality. With `keys`, runs that both tables carry,
+    each run has its own rebalances and returns, all in one plan.
     """
-    rebalances = weights.select(F.col("date").alias("rebalance")).distinct()
-    days = returns.select("date").distinct()
-    at = asof_join(days, rebalances, [], "date", "rebalance", how="inner", strict=True)
-    w = weights.select(F.col("date").alias("rebalance"), "symbol", "weight")
-    return returns.join(at, "date").join(w, ["rebalance", "symbol"]).groupBy("date").agg(
+    keys = list(keys)
+    rebalances = weights.select(*keys, F.col("date").alias("rebalance")).distinct()
+    days = returns.select(*keys, "date").distinct()
+    at = asof_join(days, rebalances, keys, "date", "rebalance", how="inner", strict=True)
+    w = weights.select(*keys, F.col("date").alias("rebalance"), "symbol", "weight")
+    return returns.join(at, [*keys, "date"]).join(w, [*keys, "rebalance", "symbol"]).groupBy(*keys, "date").agg(
         F.sum(F.col("weight") * F.col("ret")).alias("ret")
     )
-
-

@@ -222,6 +222,48 @@ def shuffle_future(rows: DataFrame, cutoff, keys: Sequence[str], values: Sequenc
     return past.unionByName(moved)
 
 
+def reverse_future(rows: DataFrame, cutoff, values: Sequence[str], keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Each series' values after `cutoff` in reverse order of time; its dates, and all rows up to the cut, stay.
+
+    Like `shuffle_future` a permutation of the future, by a rule that needs no seed: a run that reads no future cannot tell.
+    """
+    later, back = Window.partitionBy(*keys).orderBy("date"), Window.partitionBy(*keys).orderBy(F.desc("date"))
+    future = rows.where(F.col("date") > F.lit(cutoff))
+    donors = future.select(*keys, F.row_number().over(back).alias("_k"), *values)
+    moved = future.drop(*values).withColumn("_k", F.row_number().over(later)).join(donors, [*keys, "_k"]).drop("_k")
+    return rows.where(F.col("date") <= F.lit(cutoff)).unionByName(moved)
+
+
+def parameter_runs(rows: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:
+    """Every row once per run: `runs` has one row (run_id, parameters) each, at most `limit`, and its columns travel with the rows.
+
+    Whatever follows groups by run_id too, so one plan builds the strategy of every run.
+    """
+    held = runs.limit(limit + 1).collect()  # bounded by the limit
+    if len(held) > limit:
+        raise ValueError(f"more than {limit} runs")
+    if len({r.run_id for r in held}) < len(held):
+        raise ValueError("run_id is repeated")
+    every = F.array(*[F.struct(*[F.lit(r[c]).cast(runs.schema[c].dataType).alias(c) for c in runs.columns]) for r in held])
+    return rows.withColumn("_run", F.explode(every)).select(*rows.columns, "_run.*") if held else rows.join(runs, F.lit(False))
+
+
+def run_curves(bars: DataFrame, weights: DataFrame, keys: Sequence[str] = ("run_id",), price: str = "close") -> DataFrame:
+    """Curve `keys, date, ret, nav` of weights over bars that carry the same runs; nav is the log of what one unit became."""
+    from tidemark.operators.accounting import weights_to_returns
+    from tidemark.operators.timeseries import simple_returns
+
+    returns = simple_returns(bars, price, (*keys, "symbol")).select(*keys, "date", "symbol", "ret")
+    held = weights_to_returns(weights, returns, keys)
+    return held.withColumn("nav", F.sum(F.log1p("ret")).over(Window.partitionBy(*keys).orderBy("date")))
+
+
+def shift_check(base: DataFrame, moved: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFrame:
+    """Sharpe of each run and of the same run with its weights a day early, which sees one day more: it should do no worse."""
+    per = base.groupBy(*keys).agg(sharpe(F.col("ret")).alias("base")).join(moved.groupBy(*keys).agg(sharpe(F.col("ret")).alias("moved")), list(keys))
+    return per.withColumn("passed", F.coalesce("moved", F.lit(0.0)) >= F.coalesce("base", F.lit(0.0)))
+
+
 def leakage_check(base: DataFrame, shuffled: DataFrame, cutoff, tolerance: float = 1e-6) -> DataFrame:
     """Greatest difference of two runs' curves up to `cutoff` and whether it is within tolerance."""
     b = base.where(F.col("date") <= F.lit(cutoff)).select("run_id", "date", F.col("nav").alias("_a"))
@@ -230,11 +272,11 @@ def leakage_check(base: DataFrame, shuffled: DataFrame, cutoff, tolerance: float
     return b.join(s, ["run_id", "date"], "full_outer").groupBy("run_id").agg(gap.alias("max_diff")).withColumn("passed", F.col("max_diff") < tolerance)
 
 
-def shift_dates_back(weights: DataFrame, calendar: DataFrame) -> DataFrame:
+def shift_dates_back(weights: DataFrame, calendar: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Weights moved to the previous trading day; a symbol landing twice on a day keeps the later weight."""
     prev = calendar.select("date", F.lag("date").over(Window.orderBy("date")).alias("_prev"))
     moved = weights.join(prev, "date").where(F.col("_prev").isNotNull())
-    return moved.groupBy(F.col("_prev").alias("date"), "symbol").agg(F.max_by("weight", "date").alias("weight"))
+    return moved.groupBy(*keys, F.col("_prev").alias("date"), "symbol").agg(F.max_by("weight", "date").alias("weight"))
 
 
 def static_universe(members: DataFrame, days: DataFrame) -> DataFrame:

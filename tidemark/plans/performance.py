@@ -169,12 +169,44 @@ def shuffle_future(spark, sf):
                    F.round(F.sum(F.when(F.col("date") <= F.lit(CUT), F.col("close"))), 2).alias("past"))
 
 
-@query("leakage_check", "SELECT split_part(symbol, '.', 2) AS run_id, 0.0 AS max_diff, true AS passed FROM v_bar GROUP BY 1")
+# Two strategies over the same bars, rebalanced at month ends: one buys what rose in the month, one what will rise in the next.
+CHANGE = D(1999, 6, 15)
+SQL_RUNS = f"""fut AS (SELECT date, symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date) AS k, count(*) OVER (PARTITION BY symbol) AS n FROM v_bar WHERE date > DATE '{CHANGE}'),
+    bb AS (SELECT 'base' AS variant, date, symbol, close FROM v_bar UNION ALL SELECT 'changed', date, symbol, close FROM v_bar WHERE date <= DATE '{CHANGE}' UNION ALL SELECT 'changed', f.date, f.symbol, g.close FROM fut f JOIN fut g ON g.symbol = f.symbol AND g.k = f.n + 1 - f.k),
+    ends AS (SELECT last_day(date) AS m, max(date) AS d FROM v_bar GROUP BY 1), mc AS (SELECT variant, symbol, d AS date, arg_max(close, bb.date) AS close FROM bb JOIN ends ON m = last_day(bb.date) GROUP BY 1, 2, 3),
+    sg AS (SELECT variant, symbol, date, close / lag(close) OVER w AS own, lead(close) OVER w / close AS peek FROM mc WINDOW w AS (PARTITION BY variant, symbol ORDER BY date)),
+    wt AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY variant, run_id, date) AS weight FROM (SELECT variant, 'honest' AS run_id, date, symbol FROM sg WHERE own > 1 UNION ALL SELECT variant, 'peeks', date, symbol FROM sg WHERE peek > 1)),
+    rr AS (SELECT variant, date, symbol, coalesce(close / lag(close) OVER (PARTITION BY variant, symbol ORDER BY date) - 1, 0) AS ret FROM bb)"""
+SQL_CURVE = """{to} AS (SELECT d.variant, d.run_id, d.date, sum(weight * ret) AS ret FROM (SELECT x.variant, x.run_id, x.date, y.date AS rb FROM (SELECT DISTINCT variant, run_id, rr.date FROM rr CROSS JOIN (VALUES ('honest'), ('peeks')) t(run_id)) x ASOF JOIN (SELECT DISTINCT variant, run_id, date FROM {of}) y ON x.variant = y.variant AND x.run_id = y.run_id AND x.date > y.date) d
+    JOIN rr ON rr.variant = d.variant AND rr.date = d.date JOIN {of} w ON w.variant = d.variant AND w.run_id = d.run_id AND w.date = d.rb AND w.symbol = rr.symbol GROUP BY 1, 2, 3)"""
+
+
+def _runs(spark, sf, changed: bool):
+    """Bars of both strategies, with the future reversed too or without, and their weights."""
+    from pyspark.sql import Window
+    bars = v.v_bar(spark, sf).select("date", "symbol", "close")
+    strategies = spark.createDataFrame([("honest", False), ("peeks", True)], "run_id string, peeks boolean")
+    every = bars.withColumn("variant", F.lit("base"))
+    if changed:
+        every = every.unionByName(mt.reverse_future(bars, CHANGE, ["close"]).withColumn("variant", F.lit("changed")))
+    every = mt.parameter_runs(every, strategies)
+    ends = bars.groupBy(F.last_day("date").alias("month")).agg(F.max("date").alias("end"))
+    keys = ["variant", "run_id"]
+    monthly = every.groupBy(*keys, "peeks", "symbol", F.last_day("date").alias("month")).agg(F.max_by("close", "date").alias("close")).join(ends, "month")
+    w = Window.partitionBy(*keys, "symbol").orderBy("end")
+    rise = F.when(F.col("peeks"), F.lead("close").over(w) / F.col("close")).otherwise(F.col("close") / F.lag("close").over(w))
+    bought = monthly.withColumn("rise", rise).where("rise > 1").select(*keys, F.col("end").alias("date"), "symbol")
+    sizes = bought.groupBy(*keys, "date").agg((1 / F.count(F.lit(1))).alias("weight"))
+    return every, bought.join(sizes, [*keys, "date"]), keys
+
+
+@query("leakage_check", f"WITH {SQL_RUNS}, {SQL_CURVE.format(to='pr', of='wt')}, cv AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY variant, run_id ORDER BY date) AS nav FROM pr), "
+       f"df AS (SELECT run_id, max(coalesce(abs(a.nav - b.nav), 'inf'::DOUBLE)) AS d FROM (SELECT * FROM cv WHERE variant = 'base' AND date <= DATE '{CHANGE}') a FULL JOIN (SELECT * FROM cv WHERE variant = 'changed' AND date <= DATE '{CHANGE}') b USING (run_id, date) GROUP BY 1) SELECT run_id, round(d, 6) AS max_diff, d < 1e-6 AS passed FROM df")
 def leakage_check(spark, sf):
-    bars = v.v_bar(spark, sf)
-    curve = lambda b: b.groupBy(F.substring_index("symbol", ".", -1).alias("run_id"), "date").agg(F.avg("close").alias("nav"))
-    out = mt.leakage_check(curve(bars), curve(mt.shuffle_future(bars, CUT, ["date", "symbol"], ["close"])), CUT)
-    return out.withColumn("max_diff", rounded(F.col("max_diff")))
+    bars, weights, keys = _runs(spark, sf, changed=True)
+    curves = mt.run_curves(bars, weights, keys).select(*keys, "date", "nav")
+    side = lambda x: curves.where(F.col("variant") == x).drop("variant")
+    return mt.leakage_check(side("base"), side("changed"), CHANGE).withColumn("max_diff", rounded(F.col("max_diff")))
 
 
 SQL_SHIFT = "cd AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM v_nav)), sh AS (SELECT prev AS date, symbol, close AS weight FROM v_bar JOIN cd USING (date) WHERE prev IS NOT NULL)"
@@ -186,14 +218,14 @@ def shift_dates_back(spark, sf):
     return mt.shift_dates_back(w, v.v_nav(spark, sf).select("date").distinct())
 
 
-@query("signal_shift_check", f"WITH {SQL_RET}, {SQL_SHIFT}, a AS (SELECT run_id, avg(ret) / stddev_samp(ret) * sqrt(252) AS base FROM rt GROUP BY 1), b AS (SELECT run_id, avg(r) / stddev_samp(r) * sqrt(252) AS moved FROM (SELECT run_id, ret * sign(lead(ret) OVER (PARTITION BY run_id ORDER BY date)) AS r FROM rt) GROUP BY 1) "
+@query("signal_shift_check", f"WITH {SQL_RUNS}, days AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM v_bar)), early AS (SELECT variant, run_id, prev AS date, symbol, weight FROM wt JOIN days USING (date) WHERE prev IS NOT NULL), {SQL_CURVE.format(to='pr', of='wt')}, {SQL_CURVE.format(to='pe', of='early')}, "
+       "a AS (SELECT run_id, avg(ret) / stddev_samp(ret) * sqrt(252) AS base FROM pr WHERE variant = 'base' GROUP BY 1), b AS (SELECT run_id, avg(ret) / stddev_samp(ret) * sqrt(252) AS moved FROM pe WHERE variant = 'base' GROUP BY 1) "
        "SELECT run_id, round(base, 6) AS base, round(moved, 6) AS moved, moved >= base AS passed FROM a JOIN b USING (run_id)")
 def signal_shift_check(spark, sf):
-    from pyspark.sql import Window
-    nxt = F.lead("ret").over(Window.partitionBy("run_id").orderBy("date"))
-    both = _ret(spark, sf).withColumn("r", F.col("ret") * F.signum(nxt))
-    out = both.groupBy("run_id").agg(mt.sharpe(F.col("ret")).alias("base"), mt.sharpe(F.col("r")).alias("moved"))
-    return out.select("run_id", rounded(F.col("base")).alias("base"), rounded(F.col("moved")).alias("moved"), (F.col("moved") >= F.col("base")).alias("passed"))
+    bars, weights, keys = _runs(spark, sf, changed=False)
+    early = mt.shift_dates_back(weights, v.v_bar(spark, sf).select("date").distinct(), keys)
+    out = mt.shift_check(mt.run_curves(bars, weights, keys), mt.run_curves(bars, early, keys))
+    return out.select("run_id", rounded(F.col("base")).alias("base"), rounded(F.col("moved")).alias("moved"), "passed")
 
 
 @query("static_universe", "SELECT DISTINCT index_name, symbol, d.date FROM v_member, (SELECT DISTINCT last_day(date)::DATE AS date FROM v_bar) d WHERE effective_from <= DATE '2001-06-30' AND (effective_to IS NULL OR effective_to > DATE '2001-06-30')")
