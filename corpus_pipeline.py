@@ -17,10 +17,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.7 or more. Labels of held-out ids are not learned from; rows without an id stay."""
+    """Documents that the classifier scores 0.7 or more. Labels of held-out ids are not learned from.
+
+    A score is its row's text's: of rows that share an id, or have none, only those go whose own text is rejected.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rejected = quality.quality_scores(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    rejected = quality.quality_scores(docs, labels, text_hash=True).where("predicted = 0").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    same = F.xxhash64("text").eqNullSafe(F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    return docs.select(*COLUMNS).join(rejected, same, "left_anti")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +42,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once, or up to three times as rows of their own."""
     mixed = _numbered(mixing.mix(docs).withColumnRenamed("id", "doc_id"), "copies").where("copies > 0")
-    mixed = mixed.select("key", "size", F.col("nth").alias("taken_nth"), "copies")
+    mixed = mixed.select("key", "size", "nth", "copies")
     size = F.coalesce(F.regexp_count("text", F.lit(mixing.WORD)), F.lit(0)).cast("long")
-    both = _numbered(docs.select(*COLUMNS).withColumn("size", size), F.xxhash64("text")).join(mixed, ["key", "size"])
-    both = both.where(F.abs(F.col("nth") - F.col("taken_nth")) < 1)  # no join key, so that the shuffle for the numbers serves the join
+    both = _numbered(docs.select(*COLUMNS).withColumn("size", size), F.xxhash64("text")).join(mixed, ["key", "size", "nth"])
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
 def _numbered(rows: DataFrame, order: str | Column) -> DataFrame:
-    """Rows of one id and size are alike to the mix; their numbers pair them one to one."""
-    keyed = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    """Rows of one id and size are alike to the mix; their numbers, a key of the join, pair them one to one."""
+    keyed = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")))
     return keyed.withColumn("nth", F.row_number().over(Window.partitionBy("key", "size").orderBy(order)))
 
 

@@ -136,7 +136,7 @@ def shingles(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     factors = np.array([pow(BASE, 3 * j + 1, 1 << 64) for j in range(k)], np.uint64)
     h = np.zeros(n, np.uint64)
-    for j, factor in enumerate(factors):
+    for j, factor in enumerate(factors[:n]):
         h[: n - j] += word[j:] * factor
     of = owner(firsts)
     place = np.arange(n) - firsts[:-1][of]

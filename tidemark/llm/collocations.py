@@ -5,8 +5,8 @@ texts adds up its own graph first: a path whose inner nodes have one way in, one
 carries one weight, so it is compacted and leaves the task as one row. Only edges are counted over all texts. A node's count is
 the flow out of it plus the pieces that end in it; the counts of two words and of one follow from the nodes in the same way.
 
-Before that, pieces are cut between two words that follow each other less than `least` times in all: no phrase that counts
-stands across such a place, nor does one of its parts. The cut only spares rows; a full bit table cuts less and changes no result.
+Before that, pieces are cut between two words that follow each other less than `least` times in all (pairs are counted where both
+words are said that often): no phrase that counts stands across such a place, nor does one of its parts. The cut only spares rows; a full bit table cuts less and changes no result.
 """
 
 from __future__ import annotations
@@ -61,14 +61,34 @@ def _lang_hash(langs: pa.Array) -> np.ndarray:
     return hashes[names.indices.to_numpy()]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and count of neighbouring words, added up per slice."""
+def _singles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash and count of words, added up per slice."""
     for batch in batches:
         langs = _lang_hash(batch.column(0))
         for texts in texts_of(batch.column(1)):
-            _, _, word, _, follows = _words(texts, langs[texts.lo : texts.hi])
-            pair, c = np.unique(_chain(word, 2)[follows[:-1]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(c)], ["pair", "c"])
+            word, c = np.unique(_words(texts, langs[texts.lo : texts.hi])[2], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(c)], ["key", "c"])
+
+
+def _pairs(table: np.ndarray):
+    """Hash and count of neighbouring words whose own bits are set, added up per slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = _lang_hash(batch.column(0))
+            for texts in texts_of(batch.column(1)):
+                _, _, word, _, follows = _words(texts, langs[texts.lo : texts.hi])
+                often = may_have(table, word)
+                pair, c = np.unique(_chain(word, 2)[follows[:-1] & often[:-1] & often[1:]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(c)], ["key", "c"])
+
+    return run
+
+
+def _often(counts: DataFrame, least: int) -> np.ndarray:
+    """Bits of the keys that are counted `least` times in all, in a table sized by their number."""
+    often = settle(counts.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key"))
+    return bit_table(often, 1 << max(10, min(TABLE_WORDS.bit_length() - 1, (often.count() // 4).bit_length())))
 
 
 def _phrases(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
@@ -153,9 +173,9 @@ def _exact(c: str | Column) -> Column:
 def phrase_counts(docs: DataFrame, least: int = 30, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Counts `lang, size, phrase, f` of phrases of one to four words with f >= least, and `lang, n`, all words of a language."""
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    often = settle(rows.mapInArrow(_pairs, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("pair"))
-    words = 1 << max(10, min(TABLE_WORDS.bit_length() - 1, (often.count() // 4).bit_length()))
-    graph = settle(rows.mapInArrow(_graph(bit_table(often, words)), "lang string, ends boolean, words string, c long"))
+    words = _often(rows.mapInArrow(_singles, "key long, c long"), least)
+    pairs = _often(rows.mapInArrow(_pairs(words), "key long, c long"), least)
+    graph = settle(rows.mapInArrow(_graph(pairs), "lang string, ends boolean, words string, c long"))
 
     said = F.split("words", " ")
     places = F.sequence(F.lit(1), F.size(said) - (LONGEST - 1))

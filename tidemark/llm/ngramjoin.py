@@ -5,10 +5,10 @@ the threshold t, so two linked sets share at least l of their first d + l shingl
 the first d + 2 as a key, C(d + 2, 2) selective keys; large (heavy) sets, and sets that can reach them, emit the first d + 1
 shingles, whose rows per key are the inverted lists. The size that divides them minimises the estimated keys and list entries.
 
-Equal sets are one class from the start. Candidates are then verified in two steps, so that a group of near copies is never
-listed as all its pairs: every class is tried against a few leaders of its lists and joined to those it links with; after that
-only classes of different components that still share a key are compared, and there all of them are. Signatures of parity bits
-rule pairs out before: they never show more difference than there is.
+Equal sets are one class from the start. Candidates are then verified in steps, so that a group of near copies is never listed as
+all its pairs: in rounds, every class is tried against a few leaders of its longest lists that are not yet in its component, until a
+round ties little together; after that classes of different components that still share a key are compared, and there all of them
+are. Signatures of parity bits rule pairs out inside the join: they never show more difference than there is.
 """
 
 from __future__ import annotations
@@ -26,9 +26,12 @@ from tidemark.llm.bytetext import mix, shingles, texts_of
 from tidemark.llm.graph import components
 from tidemark.session import settle
 
-ROWS = ["id", "kind", "n", "cls", "sig", "h", "c", "q"]
+ROWS = ["id", "th", "kind", "n", "cls", "sig", "h", "c", "q"]
+SENT = 100_000  # classes that a task remembers to have sent
 LEAST_WORDS = 8  # 64-bit words of a signature
-LEADERS = (0, -1, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D)  # a list's leaders: its least classes after these masks
+LISTS = 3  # lists that a class meets leaders of in a round: its longest
+ROUNDS = 6  # rounds of leaders at most
+LEADERS = 6  # leaders of a list in a round: its least classes after as many masks
 TRIES = 4  # leaders that a class is verified against, the nearest by signature
 KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
 ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are ordered by hash alone
@@ -76,13 +79,13 @@ def _signatures(h: np.ndarray, of: np.ndarray, n: np.ndarray) -> pa.Array:
 
 
 def _describe(k: int):
-    """Two kinds of rows. One per text: id, n, cls, sig. And per slice (kind 1): shingles h of three texts or more with their
+    """Two kinds of rows. One per text: id, th (its hash), n, cls, sig. And per slice (kind 1): shingles h of three texts or more with their
     counts c; under a null h, what the rarer lists hold, and their sum of squares q: with them, how long a list is for an average
     entry of those that the order puts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for texts in texts_of(batch.column(1)):
+            for texts in texts_of(batch.column(2)):
                 h, of, n = _sets(texts, k)
                 values, counts = np.unique(h, return_counts=True)
                 often = counts >= 3
@@ -90,7 +93,7 @@ def _describe(k: int):
                 none = pa.nulls(many, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(texts.lo, texts_n), pa.array(np.zeros(texts_n, np.int32)), pa.array(n.astype(np.int64)), pa.array(_class(h, of, n), mask=n == 0),
+                        batch.column(0).slice(texts.lo, texts_n), batch.column(1).slice(texts.lo, texts_n), pa.array(np.zeros(texts_n, np.int32)), pa.array(n.astype(np.int64)), pa.array(_class(h, of, n), mask=n == 0),
                         _signatures(h, of, n), *(pa.nulls(texts_n, pa.int64()) for _ in range(3)),
                     ],
                     ROWS,
@@ -98,7 +101,7 @@ def _describe(k: int):
                 hashes = pa.array(np.append(values[often].view(np.int64), 0), mask=np.append(np.zeros(many - 1, bool), True))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.nulls(many, batch.schema.field(0).type), pa.array(np.ones(many, np.int32)), none, none, pa.nulls(many, pa.list_(pa.int64())),
+                        pa.nulls(many, batch.schema.field(0).type), pa.nulls(many, pa.int64()), pa.array(np.ones(many, np.int32)), none, none, pa.nulls(many, pa.list_(pa.int64())),
                         hashes, pa.array(np.append(counts[often], rare.sum())), pa.array(np.append(np.zeros(many - 1, np.int64), rare @ rare)),
                     ],
                     ROWS,
@@ -170,11 +173,13 @@ def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarr
 
 
 def _members(k: int, wanted: np.ndarray):
-    """Shingle arrays of the classes whose bit is set, each class once per partition."""
+    """Shingle arrays of the classes whose bit is set, mostly once per partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
+            if len(sent) > SENT:
+                sent.clear()  # a class may then come again: its rows are made distinct behind
             for texts in texts_of(batch.column(0)):
                 h, of, n = _sets(texts, k)
                 cls = _class(h, of, n)
@@ -236,21 +241,28 @@ def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("ma") + F.size("mb") - both) * percent).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id, n_shingles, component_id` for every row: its set's size and the smallest id it reaches by links.
+def _leaders(lists: DataFrame, roots: DataFrame, number: int, percent: int, side: dict[str, DataFrame]) -> DataFrame:
+    """Pairs `a, b` of a class and a leader of one of its lists in another component: the nearest TRIES by signature of each class."""
+    placed = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    masks = [F.lit(int(m)) for m in np.random.default_rng(number).integers(-(1 << 62), 1 << 62, LEADERS)]
+    led = placed.groupBy("key").agg(*(F.min_by(F.struct("cls", "root", "n"), F.col("cls").bitwiseXOR(m)).alias(f"m{i}") for i, m in enumerate(masks)))
+    led = led.select("key", F.explode(F.array_distinct(F.array(*(f"m{i}" for i in range(LEADERS))))).alias("leader"))
+    pairs = placed.join(led, "key").where("root <> leader.root").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("leader.cls").alias("b"), F.col("leader.n").alias("nb"))
+    pairs = pairs.where(_near_in_size(percent)).distinct()
+    tried = pairs.join(side["a"], "a").join(side["b"], "b").where(_possible(percent)).select("a", "b", _apart("sa", "sb").alias("apart"))
+    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("nth") <= TRIES)
+    return settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    A set holds the distinct k-word shingles of the text, A-Z lower-cased; fewer than k words are one shingle; null or wordless
-    texts have the empty set, link with nothing and are their own component. Rows link when 100 |x & y| >= percent |x | y|
-    (percent over 50). Repeated ids and texts stay rows of their own; a null id is passed over when the smallest is taken.
-    Other columns are ignored. Classes are told apart by 64-bit hashes.
-    """
+
+def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows `id, th, n, cls` of every document (th hashes its text), and `cls, root` of every class: its component."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     text = source.select("text")
-    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, kind int, n long, cls long, sig array<long>, h long, c long, q long"
+    kinds = f"id {docs.schema[id_col].dataType.simpleString()}, th long, kind int, n long, cls long, sig array<long>, h long, c long, q long"
     first_pass = settle(source.mapInArrow(_describe(k), kinds))
-    described = first_pass.where("kind = 0").select("id", "n", "cls", "sig")
+    described = first_pass.where("kind = 0").select("id", "th", "n", "cls", "sig")
     classes = described.where("cls is not null").groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("sig").alias("sig"))
 
     often = first_pass.where("kind = 1").groupBy("h").agg(F.sum("c").alias("c"), F.sum("q").alias("q"))
@@ -266,47 +278,76 @@ def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str
 
     entries = text.mapInArrow(_keys(k, percent, boundary, hints), "key long, cls long, n long")
     shared = entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
-    met = text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), "key long, cls long, n long")
-    live = settle(met.distinct())
-
-    # Every class is tried against the nearest few leaders of its lists.
-    led = live.groupBy("key").agg(*(F.min(F.col("cls").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(LEADERS)))
-    led = led.select("key", F.explode(F.array_distinct(F.array(*(F.col(f"m{i}").bitwiseXOR(F.lit(m)) for i, m in enumerate(LEADERS))))).alias("b"))
-    sizes = classes.select(F.col("cls").alias("b"), F.col("n").alias("nb"))
-    leaders = live.join(led, "key").where("cls <> b").select(F.col("cls").alias("a"), F.col("n").alias("na"), "b").distinct()
-    leaders = leaders.join(sizes, "b").where(_near_in_size(percent))
+    met = text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), "key long, cls long, n long").distinct()
+    live = settle(met.join(met.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"))
+
     side = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
-    tried = leaders.join(side["a"], "a").join(side["b"], "b").where(_possible(percent)).select("a", "b", _apart("sa", "sb").alias("apart"))
-    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("nth") <= TRIES)
-    tried = settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = settle(components(_verified(tried, text, k, percent)))
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("many"), "key"))
+    lists = settle(live.withColumn("nth", nth).where(F.col("nth") <= LISTS).select("key", "cls", "n"))
+    roots = live.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
+    links, last = None, None
+    for number in range(ROUNDS):
+        found = _verified(_leaders(lists, roots.withColumnRenamed("node", "cls"), number, percent, side), text, k, percent)
+        found = settle(found)
+        many = found.count()
+        if many:
+            links = found if links is None else links.unionByName(found)
+            roots = settle(components(links))
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if not many or (last is not None and many * 8 > last * 7) or (last is not None and many * 20 < last):
+            break
+        last = many
+    roots = roots.withColumnRenamed("node", "cls")
 
     # What still meets across components: at least one of a pair is outside the component that most of its list belongs to.
-    placed = live.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-    placed = settle(placed.join(mixed.where("roots > 1"), "key").select("key", "cls", "n", "root", "main"))
-    x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main")
-    across = x.join(y, "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _near_in_size(percent))
-    across = across.select("a", "na", "b", "nb").distinct().join(side["a"], "a").join(side["b"], "b").where(_possible(percent))
+    placed = live.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    mixed = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
+    placed = settle(placed.join(mixed.where("parts > 1"), "key").join(classes.select("cls", "sig"), "cls").select("key", "cls", "n", "root", "main", "sig"))
+    x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
+    y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main", F.col("sig").alias("sb"))
+    apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
+    across = x.join(y, "key").where(apart & _possible(percent))
     across = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    second = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_verified(across, text, k, percent)))
+    ties = _verified(across, text, k, percent)
+    second = components(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(ties))
+    every = classes.select("cls").join(second.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    return described.drop("sig"), settle(every)
+
+
+def ngram_components(docs: DataFrame, k: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`id, n_shingles, component_id` for every row: its set's size and the smallest id it reaches by links.
 
-    ids = described.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
-    rooted = settle(ids.join(second.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
-    return described.drop("sig").join(named, "cls", "left").select(
+    A set holds the distinct k-word shingles of the text, A-Z lower-cased; fewer than k words are one shingle; null or wordless
+    texts have the empty set, link with nothing and are their own component. Rows link when 100 |x & y| >= percent |x | y|
+    (percent over 50). Repeated ids and texts stay rows of their own; a null id is passed over when the smallest is taken.
+    Other columns are ignored. Classes are told apart by 64-bit hashes.
+    """
+    described, rooted = _classed(docs, k, percent, id_col, text_col)
+    least = described.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")).join(rooted, "cls")
+    named = rooted.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cls", "component_id")
+    return described.join(named, "cls", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without their near copies: of each component the row with the smallest id stays, all columns kept.
+    """Documents without their near copies: of each component one row stays, all columns kept.
 
-    Rows without words, and rows with a null id, stay. Rows that share the kept id (repeated rows) collapse to one.
+    It is the row with the smallest id, nulls last, and then the smallest text hash; rows are told apart by id and text, so of two
+    different texts under one id, or without one, only that goes which has a near copy. Rows of equal id and text are one. Rows without
+    words all stay.
     """
-    named = ngram_components(docs.select(id_col, text_col), k, percent, id_col, text_col)
-    out = named.where((F.col("component_id") != F.col(id_col)) & (F.col("n_shingles") > 0)).select(id_col).distinct()
-    kept = docs.join(out, id_col, "left_anti")
-    nameless = kept.where(F.col(id_col).isNull())
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(nameless)
+    described, rooted = _classed(docs.select(id_col, text_col), k, percent, id_col, text_col)
+    rows = described.where("n > 0").groupBy("cls", "id", "th").agg(F.count("*").alias("copies")).join(rooted, "cls")
+    order = F.struct(F.col("id").isNull().alias("nameless"), "id", "th")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"))
+    judged = settle(rows.join(best, "root").select("id", "th", "copies", (order != F.col("best")).alias("goes")))
+    text_hash = docs.withColumn("_th", F.xxhash64(text_col))
+    same = text_hash["_th"].eqNullSafe(F.col("th")) & text_hash[id_col].eqNullSafe(F.col("_id"))
+    kept = text_hash.join(judged.where("goes").select(F.col("id").alias("_id"), "th").distinct(), same, "left_anti")
+    # Rows that stay and are there more than once: few, so only they are brought together.
+    repeated = judged.where("not goes and copies > 1").select(F.col("id").alias("_id"), "th").distinct()
+    here = kept["_th"].eqNullSafe(F.col("th")) & kept[id_col].eqNullSafe(F.col("_id"))
+    single = kept.join(repeated, here, "left_anti")
+    again = kept.join(repeated, here, "left_semi").dropDuplicates([id_col, "_th"])
+    return single.unionByName(again).drop("_th")

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytetext import BYTE_VALUE, Texts, span_hash, texts_of
 
-KNOWN_UNITS = 2_000_000  # units a worker keeps; then it starts anew
-KNOWN_PAIRS = 4_000_000
+KNOWN_UNITS = 600_000  # units a worker keeps; then it starts anew
+KNOWN_PAIRS = 1_000_000
 LIST_IDS = 1 << 18  # ids decoded at a time
 TEXT_BYTES = 1 << 20  # of text worked on at a time
 UNIT_BYTES = 1 << 17  # of units that are indexed at a time, unless one alone is longer

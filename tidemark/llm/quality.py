@@ -90,7 +90,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in texts_of(batch.column(1)):
             x = statistics(texts)
             lists = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.lo, len(x)), lists], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.lo, len(x)), lists, batch.column(2).slice(texts.lo, len(x))], ["id", "x", "text_hash"])
 
 
 class Model:
@@ -177,23 +177,24 @@ def is_held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id, held_out, score, predicted` per row; labels has `id_col, quality`.
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", text_hash: bool = False) -> DataFrame:
+    """`id, held_out, score, predicted` per row, and with `text_hash` its text's xxhash64; labels has `id_col, quality`.
 
     Labels of held-out ids (crc32 of the id as text, mod 4, is 2) are not read; several labels of one id count as their mean, null
     ones not at all. Null and empty texts are scored as texts without words. With no label to learn from every score is 1.
     Rows with a null id are scored and not held out. Repeated rows are scored each; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    table = settle(source.mapInArrow(_rows, f"id {kind}, x array<double>"))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    table = settle(source.mapInArrow(_rows, f"id {kind}, x array<double>, text_hash long"))
     known = labels.where(~is_held_out(id_col) & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(F.col("quality").cast("double")).alias("y"))
     model = fit(table, known)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.ones(batch.num_rows) if model is None else model.score(model.raw(batch.column(1), FOLDS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), batch.column(2)], ["id", "score", "text_hash"])
 
-    scored = table.mapInArrow(scores, f"id {kind}, score double")
-    return scored.select(F.col("id").alias(id_col), is_held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = table.mapInArrow(scores, f"id {kind}, score double, text_hash long")
+    columns = [F.col("id").alias(id_col), is_held_out("id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")]
+    return scored.select(*columns, *(["text_hash"] if text_hash else []))
