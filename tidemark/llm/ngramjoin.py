@@ -6,8 +6,7 @@ the first d + 2 as a key, C(d + 2, 2) selective keys; large (heavy) sets, and se
 shingles, whose rows per key are the inverted lists. The size that divides them minimises the estimated keys and list entries.
 
 Equal sets are one class from the start. Candidates are then verified in steps, so that a group of near copies is never listed as
-all its pairs: in rounds, every class is tried against a few leaders of its longest lists that are not yet in its component, until a
-round ties little together; after that classes of different components that still share a key are compared, and there all of them
+all its pairs: in rounds, every class is tried against a few leaders of some of its lists that are not yet in its component; after that classes of different components that still share a key are compared, and there all of them
 are. Signatures of parity bits rule pairs out inside the join: they never show more difference than there is.
 """
 
@@ -29,10 +28,10 @@ from tidemark.session import settle
 ROWS = ["id", "th", "kind", "n", "cls", "sig", "h", "c", "q"]
 SENT = 100_000  # classes that a task remembers to have sent
 LEAST_WORDS = 8  # 64-bit words of a signature
-LISTS = 3  # lists that a class meets leaders of in a round: its longest
-ROUNDS = 6  # rounds of leaders at most
+LISTS = 3  # lists that a class meets leaders of: those of its least keys, which near copies have in common
+ROUNDS = 2  # rounds of leaders at most
 LEADERS = 6  # leaders of a list in a round: its least classes after as many masks
-TRIES = 4  # leaders that a class is verified against, the nearest by signature
+TRIES = 2  # leaders that a class is verified against, the nearest by signature
 KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
 ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are ordered by hash alone
 
@@ -139,7 +138,7 @@ def _ranked(texts, k: int, hints: tuple[np.ndarray, np.ndarray]):
 
 
 def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarray], shared: np.ndarray | None = None):
-    """Rows (key, cls, n) of every set; with `shared`, only those whose key may be shared."""
+    """Rows (key, cls, n, led) of every set; with `shared`, only those whose key may be shared. `led` marks its LISTS least keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +164,13 @@ def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarr
                 if shared is not None:
                     hit = may_have(shared, key)
                     key, owner = key[hit], owner[hit]
+                led = np.zeros(len(key), bool)
+                if shared is not None:
+                    order = np.lexsort((key, owner))
+                    led[order] = np.arange(len(key)) - np.searchsorted(owner[order], owner[order]) < LISTS
                 for lo, hi in pairwise([*range(0, len(key), 1 << 16), len(key)]):
                     some = owner[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi].view(np.int64)), pa.array(cls[some]), pa.array(n[some])], ["key", "cls", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi].view(np.int64)), pa.array(cls[some]), pa.array(n[some]), pa.array(led[lo:hi])], ["key", "cls", "n", "led"])
 
     return run
 
@@ -221,6 +224,12 @@ def _apart(x: str, y: str) -> F.Column:
     return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
 
 
+def _half(sig: F.Column) -> F.Column:
+    """A signature of half the words."""
+    words = (F.size(sig) / 2).cast("int")
+    return F.zip_with(F.slice(sig, F.lit(1), words), F.slice(sig, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+
+
 def _near_in_size(percent: int) -> F.Column:
     return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
 
@@ -276,41 +285,36 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     sized = described.where("n > 0").groupBy((F.floor(F.col("n") / step) * step).alias("size")).count().collect()
     boundary = light_boundary({int(r.size): int(r["count"]) for r in sized}, percent, rare.q / max(rare.c, 1) if rare else 0)
 
-    entries = text.mapInArrow(_keys(k, percent, boundary, hints), "key long, cls long, n long")
+    kinds = "key long, cls long, n long, led boolean"
+    entries = text.mapInArrow(_keys(k, percent, boundary, hints), kinds)
     shared = entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
-    met = text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), "key long, cls long, n long").distinct()
-    live = settle(met.join(met.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"), "key"))
+    live = settle(text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), kinds).distinct())
 
+    classes = settle(classes.join(live.select("cls").distinct(), "cls", "left_semi"))
     side = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
-    nth = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("many"), "key"))
-    lists = settle(live.withColumn("nth", nth).where(F.col("nth") <= LISTS).select("key", "cls", "n"))
+    lists = live.where("led").select("key", "cls", "n")
     roots = live.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
-    links, last = None, None
+    links = None
     for number in range(ROUNDS):
         found = _verified(_leaders(lists, roots.withColumnRenamed("node", "cls"), number, percent, side), text, k, percent)
-        found = settle(found)
-        many = found.count()
-        if many:
-            links = found if links is None else links.unionByName(found)
-            roots = settle(components(links))
-            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if not many or (last is not None and many * 8 > last * 7) or (last is not None and many * 20 < last):
-            break
-        last = many
+        roots = settle(components(found if links is None else links.unionByName(found)))
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = roots.withColumnRenamed("node", "cls")
 
     # What still meets across components: at least one of a pair is outside the component that most of its list belongs to.
     placed = live.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     mixed = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
-    placed = settle(placed.join(mixed.where("parts > 1"), "key").join(classes.select("cls", "sig"), "cls").select("key", "cls", "n", "root", "main", "sig"))
+    rough = classes.select("cls", _half(_half(F.col("sig"))).alias("sig"))  # a quarter of a signature rules most out already
+    placed = settle(placed.join(mixed.where("parts > 1"), "key").join(rough, "cls").select("key", "cls", "n", "root", "main", "sig"))
     x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
     y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main", F.col("sig").alias("sb"))
     apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-    across = x.join(y, "key").where(apart & _possible(percent))
+    across = x.join(y, "key").where(apart & _possible(percent)).select("a", "na", "b", "nb").distinct()
+    across = across.join(side["a"], "a").join(side["b"], "b").where(_possible(percent))
     across = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ties = _verified(across, text, k, percent)
     second = components(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(ties))
-    every = classes.select("cls").join(second.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    every = described.where("cls is not null").select("cls").distinct().join(second.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return described.drop("sig"), settle(every)
 
 
