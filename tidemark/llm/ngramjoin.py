@@ -6,7 +6,7 @@ the first d + 2 as a key, C(d + 2, 2) selective keys; large (heavy) sets, and se
 shingles, whose rows per key are the inverted lists. The size that divides them minimises the estimated keys and list entries.
 
 Equal sets are one class from the start. Candidates are then verified in steps, so that a group of near copies is never listed as
-all its pairs: in rounds, every class is tried against a few leaders of some of its lists that are not yet in its component; after that classes of different components that still share a key are compared, and there all of them
+all its pairs: every class is tried against the nearest few leaders of its lists; after that classes of different components that still share a key are compared, and there all of them
 are. Signatures of parity bits rule pairs out inside the join: they never show more difference than there is.
 """
 
@@ -28,10 +28,9 @@ from tidemark.session import settle
 ROWS = ["id", "th", "kind", "n", "cls", "sig", "h", "c", "q"]
 SENT = 100_000  # classes that a task remembers to have sent
 LEAST_WORDS = 8  # 64-bit words of a signature
-LISTS = 3  # lists that a class meets leaders of: those of its least keys, which near copies have in common
-ROUNDS = 2  # rounds of leaders at most
-LEADERS = 6  # leaders of a list in a round: its least classes after as many masks
-TRIES = 2  # leaders that a class is verified against, the nearest by signature
+ROUNDS = 1  # rounds of leaders
+LEADERS = 4  # leaders of a list in a round: its least classes after as many masks
+TRIES = 4  # leaders that a class is verified against, the nearest by signature
 KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
 ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are ordered by hash alone
 
@@ -138,7 +137,7 @@ def _ranked(texts, k: int, hints: tuple[np.ndarray, np.ndarray]):
 
 
 def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarray], shared: np.ndarray | None = None):
-    """Rows (key, cls, n, led) of every set; with `shared`, only those whose key may be shared. `led` marks its LISTS least keys."""
+    """Rows (key, cls, n) of every set; with `shared`, only those whose key may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,13 +163,9 @@ def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarr
                 if shared is not None:
                     hit = may_have(shared, key)
                     key, owner = key[hit], owner[hit]
-                led = np.zeros(len(key), bool)
-                if shared is not None:
-                    order = np.lexsort((key, owner))
-                    led[order] = np.arange(len(key)) - np.searchsorted(owner[order], owner[order]) < LISTS
                 for lo, hi in pairwise([*range(0, len(key), 1 << 16), len(key)]):
                     some = owner[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi].view(np.int64)), pa.array(cls[some]), pa.array(n[some]), pa.array(led[lo:hi])], ["key", "cls", "n", "led"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi].view(np.int64)), pa.array(cls[some]), pa.array(n[some])], ["key", "cls", "n"])
 
     return run
 
@@ -285,18 +280,17 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     sized = described.where("n > 0").groupBy((F.floor(F.col("n") / step) * step).alias("size")).count().collect()
     boundary = light_boundary({int(r.size): int(r["count"]) for r in sized}, percent, rare.q / max(rare.c, 1) if rare else 0)
 
-    kinds = "key long, cls long, n long, led boolean"
+    kinds = "key long, cls long, n long"
     entries = text.mapInArrow(_keys(k, percent, boundary, hints), kinds)
     shared = entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
     live = settle(text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), kinds).distinct())
 
     classes = settle(classes.join(live.select("cls").distinct(), "cls", "left_semi"))
     side = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
-    lists = live.where("led").select("key", "cls", "n")
     roots = live.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
     links = None
     for number in range(ROUNDS):
-        found = _verified(_leaders(lists, roots.withColumnRenamed("node", "cls"), number, percent, side), text, k, percent)
+        found = _verified(_leaders(live, roots.withColumnRenamed("node", "cls"), number, percent, side), text, k, percent)
         roots = settle(components(found if links is None else links.unionByName(found)))
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = roots.withColumnRenamed("node", "cls")
