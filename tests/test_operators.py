@@ -283,6 +283,15 @@ def test_risk_over_a_carried_panel(spark, p, n):
     assert all(shares[f"s{i:02d}"] == pytest.approx((w[i] * marginal[i] / (w @ marginal), w @ marginal)) for i in range(p))
 
 
+def test_constraints_apply_by_priority(spark):
+    weights = spark.createDataFrame([("2020-01-01", s, w) for s, w in (("a", 0.6), ("b", 0.3), ("c", 0.1))], "date string, symbol string, weight double").withColumn("date", F.to_date("date"))
+    steps = [("max_gross", lambda w: wt.constraint_max_gross(w, limit=0.9)), ("max_positions", lambda w: wt.constraint_max_positions(w, n=2))]
+    one, other = ({r.symbol: r.weight for r in wt.apply_constraints(weights, order)[0].collect()} for order in (steps, steps[::-1]))
+    assert one == pytest.approx(other) and one["c"] == 0 and sum(one.values()) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        wt.apply_constraints(weights, [("another", steps[0][1])])
+
+
 def test_fewer_dates_than_symbols_pair_dates(spark):
     rows = spark.createDataFrame([(f"2020-01-0{d}", f"s{i}", float(i * d)) for d in (1, 2) for i in range(9)], "date string, symbol string, ret double").withColumn("date", F.to_date("date"))
     x = np.array([[i * d for i in range(9)] for d in (1, 2)], float)

@@ -156,9 +156,14 @@ PRIORITY = ("max_positions", "min_positions", "max_weight", "sector_neutral_to",
 
 
 def apply_constraints(weights: DataFrame, steps: Sequence[tuple[str, object]]) -> tuple[DataFrame, DataFrame]:
-    """Apply named constraint functions in order and scale each date back to one; also (date, constraint, status)."""
+    """Apply named constraint functions by PRIORITY and scale each date back to one; also (date, constraint, status).
+
+    The order in which they are given decides among equals only; a name that has no priority is an error.
+    """
+    if unknown := {name for name, _ in steps} - set(PRIORITY):
+        raise ValueError(f"constraints without a priority: {sorted(unknown)}")
     current, report = weights, None
-    for name, step in steps:
+    for name, step in sorted(steps, key=lambda x: PRIORITY.index(x[0])):
         done = step(current)
         statuses = done.groupBy("date").agg(F.max("status").alias("status")).select("date", F.lit(name).alias("constraint"), "status")
         report = statuses if report is None else report.unionByName(statuses)
