@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tidemark.functions.numeric import rounded
 from tidemark.operators import pit
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
+from tidemark.sources import declared as dl
 from tidemark.sources import readers as rd
 
 D = date
@@ -220,3 +222,35 @@ def intersect(spark, sf):
 def dedupe_keep_last(spark, sf):
     from tidemark.operators.joins import latest_by
     return latest_by(v.v_trade(spark, sf), ["exec_date", "symbol"], [F.col("notional"), F.col("shares")], ["notional"])
+
+
+# --- the seven sources, declared over the given tables ------------------------------------------
+
+SOURCE_VIEWS = {
+    "prices": v.v_bar, "fundamentals": v.v_fund, "fx": v.v_fx, "calendar": v.v_calendar, "sectors": v.v_sector,
+    "corporate_actions": v.v_payout, "constituents": v.v_member,
+}
+FETCH = {name: dl.source(name)(view) for name, view in SOURCE_VIEWS.items()}
+
+
+@query("source_contract", """WITH building AS (SELECT symbol FROM v_sector WHERE sector_l1 = 'BUILDING'),
+    asked AS (SELECT 'prices' AS source, CAST(date AS VARCHAR) || symbol AS key FROM v_bar WHERE symbol IN (FROM building) AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'
+      UNION ALL SELECT 'fundamentals', symbol || report_date || known_as_of || statement_kind FROM v_fund WHERE symbol IN (FROM building) AND report_date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'
+      UNION ALL SELECT 'fx', CAST(date AS VARCHAR) FROM v_fx WHERE date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'
+      UNION ALL SELECT 'calendar', CAST(date AS VARCHAR) FROM v_calendar WHERE exchange = 'HK' AND date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'
+      UNION ALL SELECT 'sectors', symbol FROM v_sector WHERE symbol IN (FROM building)
+      UNION ALL SELECT 'corporate_actions', symbol || ex_date || kind FROM v_payout WHERE symbol IN (FROM building) AND ex_date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'
+      UNION ALL SELECT 'constituents', symbol || effective_from FROM v_member WHERE index_name = 'N' AND effective_from <= DATE '1997-06-30' AND (effective_to IS NULL OR effective_to > DATE '1997-06-30')),
+    copies AS (SELECT source, key, count(*) AS n FROM asked GROUP BY 1, 2)
+    SELECT source, 'rows' AS rule, CAST(sum(n) AS BIGINT) AS n FROM copies GROUP BY 1
+    UNION ALL SELECT source, 'duplicate:key', CAST(sum(n) AS BIGINT) FROM copies WHERE n > 1 GROUP BY 1""")
+def source_contract(spark, sf):
+    wanted = v.v_sector(spark, sf).where("sector_l1 = 'BUILDING'")
+    dates = {"start": D(1995, 1, 1), "end": D(1998, 12, 31)}
+    listed = {"symbols": wanted}
+    asked = {
+        "prices": dates | listed, "fundamentals": dates | listed, "fx": dates | {"of": "CNY_HKD"}, "calendar": dates | {"of": "HK"},
+        "sectors": listed, "corporate_actions": dates | listed, "constituents": {"of": "N", "asof": D(1997, 6, 30)},
+    }
+    reports = [dl.audit(name, FETCH[name](spark, sf, **how)) for name, how in asked.items()]
+    return reduce(lambda a, b: a.unionByName(b), reports)

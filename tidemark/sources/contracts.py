@@ -26,7 +26,7 @@ class Contract:
     non_negative: tuple[str, ...] = ()
 
 
-def _schema(ddl: str) -> T.StructType:
+def schema_of(ddl: str) -> T.StructType:
     kinds = {"date": T.DateType(), "string": T.StringType(), "double": T.DoubleType(), "bigint": T.LongType(), "boolean": T.BooleanType()}
     fields = (item.split() for item in ddl.split(","))
     return T.StructType([T.StructField(name, kinds[kind]) for name, kind in fields])
@@ -34,7 +34,7 @@ def _schema(ddl: str) -> T.StructType:
 
 # Columns, keys and allowed values of the stored tables.
 PRICES = Contract(
-    _schema(
+    schema_of(
         "date date, symbol string, open double, high double, low double, close double, close_hfq double, "
         "total_return double, volume bigint, amount double, turnover double, is_suspended boolean, is_st boolean, "
         "limit_up double, limit_down double, hit_limit_up boolean, hit_limit_down boolean"
@@ -42,7 +42,7 @@ PRICES = Contract(
     ("date", "symbol"), ("date", "symbol"), patterns={"symbol": SYMBOL_PATTERN}, non_negative=("volume",),
 )
 FUNDAMENTALS_KEYS = Contract(
-    _schema(
+    schema_of(
         "symbol string, report_date date, publication_date date, known_as_of date, statement_kind string, "
         "revenue double, net_income double, roe double, pe double, pb double, dividend_yield double, market_cap double"
     ),
@@ -51,20 +51,20 @@ FUNDAMENTALS_KEYS = Contract(
     allowed={"statement_kind": ("preliminary", "audited", "restated")},
 )
 CALENDAR = Contract(
-    _schema("exchange string, date date, is_trading_day boolean"), ("exchange", "date"),
+    schema_of("exchange string, date date, is_trading_day boolean"), ("exchange", "date"),
     ("exchange", "date", "is_trading_day"), allowed={"exchange": ("SH", "SZ", "HK")},
 )
 CORPORATE_ACTIONS = Contract(
-    _schema("symbol string, ex_date date, kind string, params_json string"), ("symbol", "ex_date", "kind"),
+    schema_of("symbol string, ex_date date, kind string, params_json string"), ("symbol", "ex_date", "kind"),
     ("symbol", "ex_date", "kind", "params_json"),
     allowed={"kind": ("cash_dividend", "stock_dividend", "rights_issue", "split", "reverse_split", "delisting")},
 )
 SIGNALS = Contract(
-    _schema("date date, symbol string, signal double"), ("date", "symbol"), ("date", "symbol"),
+    schema_of("date date, symbol string, signal double"), ("date", "symbol"), ("date", "symbol"),
     patterns={"symbol": STRICT_SYMBOL_PATTERN},
 )
 WEIGHTS = Contract(
-    _schema("date date, symbol string, weight double"), ("date", "symbol"), ("date", "symbol", "weight"),
+    schema_of("date date, symbol string, weight double"), ("date", "symbol"), ("date", "symbol", "weight"),
     patterns={"symbol": STRICT_SYMBOL_PATTERN},
 )
 
