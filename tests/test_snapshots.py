@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.sources import snapshots as sn
+from tidemark.sources.watchlists import write_watchlist
 from tidemark.streaming import incremental as inc
 
 SCHEMA = "k int, year int, v int"
@@ -92,3 +93,17 @@ def test_late_rows_and_restatements(spark, tmp_path):
     missed = sn.read(spark, late)
     assert sorted((r.seq, r.watermark is None) for r in missed.collect()) == [(4, True), (5, False)]
     assert sorted((str(r.date), r.n_late) for r in inc.late_counts(missed).collect()) == [("2020-01-01", 1), ("None", 1)]
+
+
+def test_a_stored_watchlist_is_replaced_only_by_force(spark, tmp_path):
+    root, schema = f"{tmp_path}/w", "watchlist_name string, snapshot_date date, symbol string, price double"
+    day = lambda d: date(2020, 1, d)
+    make = lambda *r: spark.createDataFrame(list(r), schema)
+    assert write_watchlist(spark, root, make(("a", day(1), "X", 1.0), ("a", day(1), "Y", 2.0))) == 1
+    assert write_watchlist(spark, root, make(("b", day(1), "X", 1.0), ("a", day(2), "X", 1.5))) == 2
+    with pytest.raises(ValueError, match="a of 2020-01-01"):
+        write_watchlist(spark, root, make(("a", day(1), "X", 9.0), ("c", day(1), "X", 1.0)))
+    assert sn.read(spark, root).count() == 4
+    write_watchlist(spark, root, make(("a", day(1), "X", 9.0)), force=True)
+    got = sorted((r.watchlist_name, r.snapshot_date.day, r.symbol, r.price) for r in sn.read(spark, root).collect())
+    assert got == [("a", 1, "X", 9.0), ("a", 2, "X", 1.5), ("b", 1, "X", 1.0)]

@@ -147,8 +147,14 @@ def avg_dividend_yield(income: DataFrame, curve: DataFrame, keys: Sequence[str])
     return nav.join(paid, list(keys), "left").select(*keys, F.when(ok, F.col("_paid") / F.col("_nav") / (F.col("_n") / YEAR)).otherwise(0.0).alias("dividend_yield"))
 
 
-def metrics_bundle(curve: DataFrame, keys: Sequence[str], benchmark: DataFrame | None = None, trades: DataFrame | None = None) -> DataFrame:
-    """Return, risk, benchmark-relative and activity metrics of every run, one row each."""
+def metrics_bundle(
+    curve: DataFrame, keys: Sequence[str], benchmark: DataFrame | None = None, trades: DataFrame | None = None,
+    positions: DataFrame | None = None, income: DataFrame | None = None,
+) -> DataFrame:
+    """Return, risk, benchmark-relative, activity and income metrics of every run, one row each.
+
+    A part whose table is not given is left out. A run without positions holds 0 of them, one without income yields 0.
+    """
     rets = log_curve(curve, keys)
     r = F.col("ret")
     out = rets.groupBy(*keys).agg(
@@ -161,6 +167,10 @@ def metrics_bundle(curve: DataFrame, keys: Sequence[str], benchmark: DataFrame |
         out = out.join(relative_metrics(aligned, keys), list(keys), "left").join(nw, list(keys), "left")
     if trades is not None:
         out = out.join(annualized_turnover(trades, curve, keys), list(keys), "left").join(avg_holding_period(trades, keys), list(keys), "left")
+    if positions is not None:
+        out = out.join(avg_positions(positions, keys), list(keys), "left").fillna(0.0, ["avg_positions"])
+    if income is not None:
+        out = out.join(avg_dividend_yield(income, curve, keys), list(keys), "left")
     return out
 
 

@@ -265,8 +265,9 @@ def snapshot_diff(before: DataFrame, after: DataFrame, metrics: Sequence[str]) -
 def watchlist_snapshot(
     lists: DataFrame, bars: DataFrame, facts: DataFrame, sectors: DataFrame, asof: date
 ) -> DataFrame:
-    """Metrics of every listed symbol at a date; `lists` has (watchlist_name, symbol)."""
-    price = bars.where(F.col("date") <= F.lit(asof)).groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
+    """Metrics of every listed symbol at a date; `lists` has (watchlist_name, symbol), `bars` the back-adjusted close_hfq, which
+    is the price."""
+    price = bars.where(F.col("date") <= F.lit(asof)).groupBy("symbol").agg(F.max_by("close_hfq", "date").alias("price"))
     newest = latest_by(
         fundamentals_asof(facts, asof), ["symbol"], [F.col("report_date")],
         ["pe", "pb", "dividend_yield", "roe", "market_cap"],

@@ -125,12 +125,17 @@ def avg_dividend_yield(spark, sf):
     return mt.avg_dividend_yield(income, v.v_nav(spark, sf), KEYS).withColumn("dividend_yield", rounded(F.col("dividend_yield"), 5))
 
 
-@query("metrics_bundle", f"WITH {SQL_NW}, {SQL_TR}, {SQL_HP}, m AS (SELECT run_id, {CAGR} AS cagr, stddev_samp(ret) * sqrt(252) AS vol, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe FROM rt GROUP BY 1), h AS (SELECT run_id, avg(d) FILTER (d >= 0) AS hd FROM hp GROUP BY 1) "
-       "SELECT run_id, round(cagr, 6) AS cagr, round(vol, 6) AS annualized_vol, round(sharpe, 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(cagr / abs(mdd), 6) AS calmar, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(hd, 6) AS holding_period FROM m JOIN wd USING (run_id) JOIN nw USING (run_id) JOIN h USING (run_id)")
+@query("metrics_bundle", f"WITH {SQL_NW}, {SQL_TR}, {SQL_HP}, m AS (SELECT run_id, {CAGR} AS cagr, stddev_samp(ret) * sqrt(252) AS vol, avg(ret) / stddev_samp(ret) * sqrt(252) AS sharpe FROM rt GROUP BY 1), h AS (SELECT run_id, avg(d) FILTER (d >= 0) AS hd FROM hp GROUP BY 1), "
+       "ap AS (SELECT run_id, avg(n) AS np FROM (SELECT run_id, exec_date, count(symbol) AS n FROM tr GROUP BY 1, 2) GROUP BY 1), dv AS (SELECT run_id, avg(nav) AS a, count(*) AS c FROM v_nav GROUP BY 1), di AS (SELECT run_id, sum(notional * 0.01) AS s FROM tr GROUP BY 1) "
+       "SELECT run_id, round(cagr, 6) AS cagr, round(vol, 6) AS annualized_vol, round(sharpe, 6) AS sharpe, round(mdd, 6) AS max_drawdown, round(cagr / abs(mdd), 6) AS calmar, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(hd, 6) AS holding_period, round(np, 6) AS avg_positions, round(s / a / (c / 252), 5) AS dividend_yield FROM m JOIN wd USING (run_id) JOIN nw USING (run_id) JOIN h USING (run_id) JOIN ap USING (run_id) JOIN dv USING (run_id) JOIN di USING (run_id)")
 def metrics_bundle(spark, sf):
     nav = v.v_nav(spark, sf)
-    out = mt.metrics_bundle(nav, KEYS, nav.groupBy("date").agg(F.sum("nav").alias("nav")), _run_trades(spark, sf))
-    return out.select("run_id", *[rounded(F.col(c)).alias(c) for c in ("cagr", "annualized_vol", "sharpe", "max_drawdown", "calmar", "alpha", "beta", "holding_period")])
+    trades = _run_trades(spark, sf)
+    income = trades.select("run_id", (F.col("notional") * 0.01).alias("dividend_income"))
+    positions = trades.withColumnRenamed("exec_date", "date")
+    out = mt.metrics_bundle(nav, KEYS, nav.groupBy("date").agg(F.sum("nav").alias("nav")), trades, positions, income)
+    out = out.withColumn("dividend_yield", rounded(F.col("dividend_yield"), 5))
+    return out.select("run_id", *[rounded(F.col(c)).alias(c) for c in ("cagr", "annualized_vol", "sharpe", "max_drawdown", "calmar", "alpha", "beta", "holding_period", "avg_positions")], "dividend_yield")
 
 
 SQL_WF = """dy AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM v_nav)),

@@ -7,7 +7,7 @@ from datetime import date as D
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import rounded, settled_round
-from tidemark.operators import documents as dc, pit, screen as sc
+from tidemark.operators import documents as dc, pit, screen as sc, timeseries as ts
 from tidemark.plans import views as v
 from tidemark.plans.point_in_time import ASOF, SQL_KNOWN
 from tidemark.plans.registry import query
@@ -145,13 +145,21 @@ def fundamentals_defaults(spark, sf):
     return out.select("fact_id", "known_as_of", "statement_kind", rounded(F.col("roic")).alias("roic"))
 
 
-@query("watchlist_snapshot", f"""WITH {SQL_NEWEST}, l AS (SELECT DISTINCT index_name AS watchlist_name, symbol FROM v_member)
-    SELECT l.*, p.price, n.pe, n.dividend_yield, sector_l1, {T0} AS snapshot_date FROM l LEFT JOIN (SELECT symbol, arg_max(close, date) AS price FROM v_bar WHERE date <= {T0} GROUP BY 1) p USING (symbol)
+SQL_LAST_HFQ = f"""pf AS (SELECT a.symbol, a.ex_date, (p.close - a.amount) / p.close AS f FROM v_payout a ASOF JOIN v_bar p ON a.symbol = p.symbol AND a.ex_date > p.date WHERE p.close > 0),
+    lb AS (SELECT symbol, max(date) AS date, arg_max(close, date) AS close FROM v_bar WHERE date <= {T0} GROUP BY 1),
+    lp AS (SELECT lb.symbol, round(any_value(lb.close) * coalesce(product(f), 1), 6) AS price FROM lb LEFT JOIN pf ON pf.symbol = lb.symbol AND pf.ex_date > lb.date GROUP BY 1)"""
+
+
+@query("watchlist_snapshot", f"""WITH {SQL_NEWEST}, {SQL_LAST_HFQ}, l AS (SELECT DISTINCT index_name AS watchlist_name, symbol FROM v_member)
+    SELECT l.*, p.price, n.pe, n.dividend_yield, sector_l1, {T0} AS snapshot_date FROM l LEFT JOIN lp p USING (symbol)
     LEFT JOIN newest n USING (symbol) LEFT JOIN v_sector USING (symbol)""")
 def watchlist_snapshot(spark, sf):
     lists = v.v_member(spark, sf).select(F.col("index_name").alias("watchlist_name"), "symbol").distinct()
-    out = sc.watchlist_snapshot(lists, v.v_bar(spark, sf), v.v_fund(spark, sf), v.v_sector(spark, sf), ASOF)
-    return out.select("watchlist_name", "symbol", "price", "pe", "dividend_yield", "sector_l1", "snapshot_date")
+    bars = v.v_bar(spark, sf).select("date", "symbol", "close")
+    actions = v.v_payout(spark, sf).select("symbol", "ex_date", "kind", "amount", F.lit(None).cast("double").alias("ratio"))
+    adjusted = ts.adjust_prices(bars, ts.action_factors(actions, bars))
+    out = sc.watchlist_snapshot(lists, adjusted, v.v_fund(spark, sf), v.v_sector(spark, sf), ASOF)
+    return out.select("watchlist_name", "symbol", rounded(F.col("price")).alias("price"), "pe", "dividend_yield", "sector_l1", "snapshot_date")
 
 
 @query("snapshot_dates", "SELECT DISTINCT index_name AS watchlist_name, effective_from AS snapshot_date FROM v_member")
