@@ -311,3 +311,13 @@ def config_hash(config: dict) -> str:
     return hashlib.sha256(json.dumps(config, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
 
 
+def config_hash_of(settings: dict[str, Column]) -> Column:
+    """`config_hash` of each row's settings: keys in order, null where a value is unknown.
+
+    It equals the driver's hash for whole numbers, truth values, dates and ASCII text; floating numbers and other text are spelled
+    differently by the two.
+    """
+    ordered = F.struct(*[settings[name].alias(name) for name in sorted(settings)])
+    return F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256)
+
+

@@ -259,7 +259,9 @@ def survivorship_percentile(spark, sf):
     return mt.survivorship_percentile(sharpes, whole)
 
 
-@query("config_hash", "SELECT run_id, sha256('{\"lots\":100,\"run\":\"' || run_id || '\"}') AS config_sha256 FROM v_nav GROUP BY 1")
+@query("config_hash", """SELECT run_id, sha256('{"days":' || count(*) || ',"end":"' || max(date) || '","run":"' || run_id || '","start":"' || min(date) || '"}') AS config_sha256
+    FROM v_nav GROUP BY 1""")
 def config_hash(spark, sf):
-    runs = v.v_nav(spark, sf).select("run_id").distinct()
-    return runs.select("run_id", F.sha2(F.to_json(F.struct(F.lit(100).alias("lots"), F.col("run_id").alias("run"))), 256).alias("config_sha256"))
+    runs = v.v_nav(spark, sf).groupBy("run_id").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("days"))
+    settings = {"run": F.col("run_id"), "start": F.col("start"), "end": F.col("end"), "days": F.col("days")}
+    return runs.select("run_id", mt.config_hash_of(settings).alias("config_sha256"))
