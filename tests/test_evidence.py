@@ -68,3 +68,15 @@ def test_periods_of_every_frequency(spark):
     series = spark.createDataFrame([("a", "1999Q3"), ("a", "2000Q2"), ("b", "1999-11"), ("b", "2000-02"), ("c", "1999"), ("c", "1999Q1")], "k string, period string")
     assert sorted(tuple(r) for r in ev.series_continuity(series, ["k"]).collect()) == [("a", "1999Q4"), ("a", "2000Q1"), ("b", "1999-12"), ("b", "2000-01")]
     assert sorted(tuple(r) for r in ev.series_frequency(series, ["k"], "Q").collect()) == [("a", "Q", None), ("b", "M", "frequency"), ("c", None, "mixed")]
+
+
+def test_exchange_dates_in_any_session_zone(spark):
+    rows = [("2024-01-10T15:59:59Z", "SH"), ("2024-01-10T16:00:00Z", "HK"), ("2024-01-10T23:00:00Z", "XX"), (None, "SZ"), ("2024-01-10T16:30:00Z", None)]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for session_zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", session_zone)
+            df = spark.createDataFrame(rows, "t string, venue string").withColumn("day", ev.exchange_date(F.col("t").cast("timestamp"), F.col("venue")))
+            assert [None if r.day is None else r.day.day for r in df.collect()] == [10, 11, None, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

@@ -38,6 +38,20 @@ def event_merge(events: DataFrame, keys: Sequence[str], provenance: Sequence[str
     return entries.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*provenance))).alias("provenance"))
 
 
+# The time zone of every venue.
+VENUE_ZONES = {"SH": "Asia/Shanghai", "SZ": "Asia/Shanghai", "HK": "Asia/Hong_Kong"}
+
+
+def exchange_date(instant: Column, venue: Column) -> Column:
+    """The date of an instant on the clock of its venue; null for an unknown venue or instant.
+
+    A notice of the evening before in UTC is one of the next day on the exchange: `event_window_filter` takes these dates.
+    """
+    utc = F.to_utc_timestamp(instant, F.current_timezone())
+    zone = F.element_at(F.create_map(*[F.lit(x) for pair in VENUE_ZONES.items() for x in pair]), venue)
+    return F.to_date(F.from_utc_timestamp(utc, zone))
+
+
 def event_window_filter(events: DataFrame, start: date, asof: date) -> DataFrame:
     """Events with no known date after `asof`, that happened and were published in the window unless the case is
     still open. An unknown date rules nothing out."""

@@ -121,6 +121,13 @@ def event_window_filter(spark, sf):
     return ev.event_window_filter(v.v_event(spark, sf), D(2024, 1, 10), D(2024, 1, 25)).select("record_id", "status")
 
 
+@query("event_exchange_dates", f"SELECT event_id AS record_id, {v._sql_symbol('user_id')} AS symbol, CAST(CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS DATE) AS publication_date FROM events")
+def event_exchange_dates(spark, sf):
+    symbol = v.symbol_of(F.col("user_id"))
+    day = ev.exchange_date(F.col("ts").cast("timestamp"), F.substring_index(symbol, ".", -1))
+    return v.table(spark, sf, "events").select(F.col("event_id").alias("record_id"), symbol.alias("symbol"), day.alias("publication_date"))
+
+
 @query("event_rules", "SELECT record_id, category, status FROM v_event WHERE (category, status) NOT IN (SELECT (event_type, 'open') FROM events WHERE event_type IN ('click', 'view')) AND NOT (status = 'closed' AND category <> 'error')")
 def event_rules(spark, sf):
     e = v.v_event(spark, sf)
