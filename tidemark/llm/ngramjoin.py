@@ -6,8 +6,8 @@ the first d + 2 as a key, C(d + 2, 2) selective keys; large (heavy) sets, and se
 shingles, whose rows per key are the inverted lists. The size that divides them minimises the estimated keys and list entries.
 
 Equal sets are one class from the start. Candidates are then verified in steps, so that a group of near copies is never listed as
-all its pairs: every class is tried against the nearest few leaders of its lists; after that classes of different components that still share a key are compared, and there all of them
-are. Signatures of parity bits rule pairs out inside the join: they never show more difference than there is.
+all its pairs: in rounds every class is tried against the nearest few leaders of its lists, members from the middle of a group that
+link with many; after that classes of different components that still share a key are compared, and there all of them are. Signatures of parity bits rule pairs out inside the join: they never show more difference than there is.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from tidemark.session import settle
 ROWS = ["id", "th", "kind", "n", "cls", "sig", "h", "c", "q"]
 SENT = 100_000  # classes that a task remembers to have sent
 LEAST_WORDS = 8  # 64-bit words of a signature
-ROUNDS = 1  # rounds of leaders
-LEADERS = 4  # leaders of a list in a round: its least classes after as many masks
-TRIES = 4  # leaders that a class is verified against, the nearest by signature
+PARTS = (1, 8)  # rounds of leaders: into how many parts each cuts a list
+NEAR = 6  # leaders of a class whose signatures are compared with its own, those that lead it in most lists
+TRIES = 2  # leaders that a class is verified against, the nearest by signature
 KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
 ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are ordered by hash alone
 
@@ -238,26 +238,43 @@ def _verified(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFr
     """Those of the pairs `a, b` that are linked, by exact intersection."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
     members = text.mapInArrow(_members(k, bit_table(ends)), "cls long, members array<long>").join(ends, "cls", "left_semi").dropDuplicates(["cls"])
-    members = settle(members)
     left = members.select(F.col("cls").alias("a"), F.col("members").alias("ma"))
     right = members.select(F.col("cls").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
     return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("ma") + F.size("mb") - both) * percent).select("a", "b")
 
 
-def _leaders(lists: DataFrame, roots: DataFrame, number: int, percent: int, side: dict[str, DataFrame]) -> DataFrame:
-    """Pairs `a, b` of a class and a leader of one of its lists in another component: the nearest TRIES by signature of each class."""
-    placed = lists.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    masks = [F.lit(int(m)) for m in np.random.default_rng(number).integers(-(1 << 62), 1 << 62, LEADERS)]
-    led = placed.groupBy("key").agg(*(F.min_by(F.struct("cls", "root", "n"), F.col("cls").bitwiseXOR(m)).alias(f"m{i}") for i, m in enumerate(masks)))
-    led = led.select("key", F.explode(F.array_distinct(F.array(*(f"m{i}" for i in range(LEADERS))))).alias("leader"))
-    pairs = placed.join(led, "key").where("root <> leader.root").select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("leader.cls").alias("b"), F.col("leader.n").alias("nb"))
-    pairs = pairs.where(_near_in_size(percent)).distinct()
+def _leaders(lists: DataFrame, known: DataFrame, number: int, percent: int, side: dict[str, DataFrame]) -> DataFrame:
+    """Pairs `a, b` of a class and a leader of one of its lists, in another component: of the NEAR leaders that lead it in most of
+    its lists, the nearest TRIES by signature.
+
+    A list is led by its classes of highest degree, one from each part that a hash cuts it into. The degree, the lengths of a class's lists together,
+    is high in the middle of a group of near copies. After the first round only classes outside a list's main component look for leaders, inside it.
+    """
+    placed = lists.join(known, "cls")
+    if number:
+        placed = placed.join(_main(placed), "key")
+    part = F.pmod(F.xxhash64("cls", F.lit(number)), F.lit(PARTS[number]))
+    best = F.max_by(F.struct("cls", "root", "n"), F.struct(F.col("degree"), F.xxhash64("cls", F.lit(-1 - number))))
+    led = (placed.where("root = main") if number else placed).groupBy("key", part.alias("part")).agg(best.alias("leader")).drop("part")
+    met = (placed.where("root <> main") if number else placed).join(led, "key").where("root <> leader.root")
+    met = met.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("leader.cls").alias("b"), F.col("leader.n").alias("nb")).where(_near_in_size(percent))
+    pairs = _nearest(met.groupBy("a", "b").agg(F.count("*").alias("keys")), F.desc("keys"), NEAR)
     tried = pairs.join(side["a"], "a").join(side["b"], "b").where(_possible(percent)).select("a", "b", _apart("sa", "sb").alias("apart"))
-    tried = tried.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))).where(F.col("nth") <= TRIES)
+    tried = _nearest(tried, F.asc("apart"), TRIES)
     return settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
+def _main(placed: DataFrame) -> DataFrame:
+    """`key, main`: the component that most of a list belongs to, for the lists of several components."""
+    mixed = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
+    return mixed.where("parts > 1").drop("parts")
+
+
+def _nearest(pairs: DataFrame, order: F.Column, most: int) -> DataFrame:
+    return pairs.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(order, "b"))).where(F.col("nth") <= most).drop("nth")
+
+
 def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows `id, th, n, cls` of every document (th hashes its text), and `cls, root` of every class: its component."""
     if not 50 < percent <= 100:
@@ -286,28 +303,28 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     live = settle(text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), kinds).distinct())
 
     classes = settle(classes.join(live.select("cls").distinct(), "cls", "left_semi"))
-    side = {x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab"}
-    roots = live.select(F.col("cls").alias("node"), F.col("cls").alias("root")).limit(0)
-    links = None
-    for number in range(ROUNDS):
-        found = _verified(_leaders(live, roots.withColumnRenamed("node", "cls"), number, percent, side), text, k, percent)
-        roots = settle(components(found if links is None else links.unionByName(found)))
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = roots.withColumnRenamed("node", "cls")
+    side = {x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"}
+    lengths = live.groupBy("key").agg(F.count("*").alias("degree"))
+    degrees = settle(live.join(lengths, "key").groupBy("cls").agg(F.sum("degree").alias("degree")))
+    known, links = degrees.withColumn("root", F.col("cls")), None
+    for number in range(len(PARTS)):
+        found = _verified(_leaders(live, known, number, percent, side), text, k, percent)
+        roots = settle(components(found if links is None else links.unionByName(found))).withColumnRenamed("node", "cls")
+        links = roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))
+        known = degrees.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
     # What still meets across components: at least one of a pair is outside the component that most of its list belongs to.
-    placed = live.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    mixed = placed.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts"))
+    placed = live.join(known.drop("degree"), "cls")
     rough = classes.select("cls", _half(_half(F.col("sig"))).alias("sig"))  # a quarter of a signature rules most out already
-    placed = settle(placed.join(mixed.where("parts > 1"), "key").join(rough, "cls").select("key", "cls", "n", "root", "main", "sig"))
+    placed = settle(placed.join(_main(placed), "key").join(rough, "cls").select("key", "cls", "n", "root", "main", "sig"))
     x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
     y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main", F.col("sig").alias("sb"))
     apart = (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b")))
-    across = x.join(y, "key").where(apart & _possible(percent)).select("a", "na", "b", "nb").distinct()
+    across = x.join(y, "key").where(apart & _possible(percent)).select("a", "b").distinct()
     across = across.join(side["a"], "a").join(side["b"], "b").where(_possible(percent))
     across = settle(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ties = _verified(across, text, k, percent)
-    second = components(roots.select(F.col("cls").alias("a"), F.col("root").alias("b")).unionByName(ties))
+    second = components(links.unionByName(ties))
     every = described.where("cls is not null").select("cls").distinct().join(second.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     return described.drop("sig"), settle(every)
 
