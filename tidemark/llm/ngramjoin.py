@@ -28,7 +28,7 @@ from tidemark.session import settle
 ROWS = ["id", "th", "kind", "n", "cls", "sig", "h", "c", "q"]
 SENT = 100_000  # classes that a task remembers to have sent
 LEAST_WORDS = 8  # 64-bit words of a signature
-PARTS = (1, 8)  # rounds of leaders: into how many parts each cuts a list
+PARTS = (1,)  # rounds of leaders: into how many parts each cuts a list; more rounds suit groups without a middle
 NEAR = 6  # leaders of a class whose signatures are compared with its own, those that lead it in most lists
 TRIES = 2  # leaders that a class is verified against, the nearest by signature
 KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
