@@ -6,7 +6,7 @@ searching or cleaning a corpus needs no shuffle and no group can outgrow its doc
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -300,14 +300,37 @@ def depth_reports(reports: DataFrame, asof: date, depth: str = DEPTH_KEYWORDS) -
     return reports.where(named & (F.col("date") <= F.lit(asof))).orderBy(F.desc("date"), "title")
 
 
+# File-name forms of brokers whose names are Chinese.
+BROKER_SLUGS = {
+    "中金公司": "zhongjin", "中国国际金融": "zhongjin", "中信证券": "zhongxin", "中信建投": "zhongxinjt", "中信建投证券": "zhongxinjt",
+    "华泰证券": "huatai", "华创证券": "huachuang", "华西证券": "huaxi", "国盛证券": "guosheng", "天风证券": "tianfeng",
+    "东吴证券": "dongwu", "东北证券": "dongbei", "东兴证券": "dongxing", "中泰证券": "zhongtai", "国金证券": "guojin",
+    "招商证券": "zhaoshang", "国信证券": "guoxin", "国海证券": "guohai", "国元证券": "guoyuan", "国联证券": "guolian",
+    "国投证券": "guotou", "光大证券": "guangda", "海通证券": "haitong", "方正证券": "fangzheng", "长江证券": "changjiang",
+    "广发证券": "guangfa", "申万宏源": "shenwanhy", "开源证券": "kaiyuan", "民生证券": "minsheng", "兴业证券": "xingye",
+    "西南证券": "xinan", "西部证券": "xibu", "山西证券": "shanxi", "上海证券": "shanghai", "财通证券": "caitong",
+    "财信证券": "caixin", "平安证券": "pingan", "信达证券": "xinda", "浙商证券": "zheshang", "银河证券": "yinhe",
+    "中国银河": "yinhe", "中银证券": "zhongyin", "中原证券": "zhongyuan",
+}
+
+
+def broker_slug(broker: Column, slugs: Mapping[str, str] = BROKER_SLUGS) -> Column:
+    """The broker in a file name: its listed form, else its ASCII letters and digits in lower case, else `unknown` (also for NULL).
+
+    A Chinese name outside `slugs` has no letters left and is `unknown`: pass a wider table for more of them.
+    """
+    name = F.trim(F.coalesce(broker, F.lit("")))
+    listed = F.create_map(*(F.lit(x) for pair in slugs.items() for x in pair)) if slugs else F.lit(None).cast("map<string,string>")
+    plain = F.regexp_replace(F.lower(name), "[^a-z0-9]", "")
+    return F.coalesce(F.try_element_at(listed, name), F.nullif(plain, F.lit("")), F.lit("unknown"))
+
+
 def report_filename(broker: Column, title: Column, day: Column, limit: int = 80) -> Column:
     """`<broker>-<title>-YYYYMMDD.md` with unsafe characters and blanks folded into single dashes."""
     safe = F.regexp_replace(F.regexp_replace(title, r'[\\/:*?"<>|\s]+', "-"), "-+", "-")
     safe = F.regexp_replace(F.substring(F.trim(safe, F.lit("-")), 1, limit), "-+$", "")
-    slug = F.regexp_replace(F.lower(broker), "[^a-z0-9]", "")
     name = F.when(safe == "", F.lit("untitled")).otherwise(safe)
-    owner = F.when(slug == "", F.lit("unknown")).otherwise(slug)
-    return F.concat(F.concat_ws("-", owner, name, F.date_format(day, "yyyyMMdd")), F.lit(".md"))
+    return F.concat(F.concat_ws("-", broker_slug(broker), name, F.date_format(day, "yyyyMMdd")), F.lit(".md"))
 
 
 # Page phrases by class, tried in this order.

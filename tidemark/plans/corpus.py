@@ -116,10 +116,12 @@ def depth_reports(spark, sf):
     return dc.depth_reports(reports, D(1999, 6, 30), "修订|更正").select("announcement_id", "title", "date")
 
 
-@query("report_filename", """SELECT p_partkey, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || '-' || regexp_replace(p_name, '\\s+', '-', 'g') || '-' || strftime(DATE '2020-01-01' + p_size, '%Y%m%d') || '.md' AS filename FROM part""")
+@query("report_filename", """SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'zhongxinjt' WHEN 1 THEN 'haitong' WHEN 2 THEN 'unknown' WHEN 3 THEN 'unknown' ELSE regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') END
+      || '-' || regexp_replace(p_name, '\\s+', '-', 'g') || '-' || strftime(DATE '2020-01-01' + p_size, '%Y%m%d') || '.md' AS filename FROM part""")
 def report_filename(spark, sf):
-    day = F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size"))
-    return v.table(spark, sf, "part").select("p_partkey", dc.report_filename(F.col("p_brand"), F.col("p_name"), day).alias("filename"))
+    day, nth = F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")), F.col("p_partkey") % 7
+    broker = F.when(nth == 0, "中信建投证券").when(nth == 1, " 海通证券 ").when(nth == 2, "某券商").when(nth > 3, F.col("p_brand"))
+    return v.table(spark, sf, "part").select("p_partkey", dc.report_filename(broker, F.col("p_name"), day).alias("filename"))
 
 
 @query("classify_pages", """SELECT page_id, CASE WHEN page_id % 50 = 7 THEN 'broken_link' WHEN page_id % 50 = 8 THEN 'anti_bot' WHEN regexp_matches(html, '(?i)verify you are human|security check|captcha|安全检测') THEN 'anti_bot'
