@@ -6,7 +6,7 @@ searching or cleaning a corpus needs no shuffle and no group can outgrow its doc
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -390,7 +390,15 @@ def carry_forward(df: DataFrame, keys: Sequence[str], chunk: str, order: str, va
 YEAR_BOUNDS = (1990, 2035)
 YEAR_RANGE = r"(?<!\d)((?:19|20)\d{2})\s*/\s*(\d{2})(?!\d)"
 YEAR_PLAIN = r"(?<!\d)(19\d{2}|20\d{2})(?!\d)"
-ENDED_ON = r"(?:year|period) ended (\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) (?:19|20)\d{2})"
+MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
+DAY_MONTH = rf"(?i)(?:year|period)\s+ended\s+(\d{{1,2}}\s+(?:{MONTHS})\s+(?:19|20)\d{{2}})"
+MONTH_DAY = rf"(?i)(?:year|period)\s+ended\s+((?:{MONTHS})\s+\d{{1,2}},?\s+(?:19|20)\d{{2}})"
+CHINESE_DAY = r"截至\s*((?:19|20)\d{2}\s*年\s*\d{1,2}\s*月\s*\d{1,2})\s*日"
+SEVERAL_YEARS = rf"(?i)years\s+ended\s+((?:{MONTHS})\s+\d{{1,2}}),?\s+((?:19|20)\d{{2}}(?:(?:\s*,\s*(?:and\s+)?|\s+(?:and|&)\s+)(?:19|20)\d{{2}})+)\s*$"
+YEAR_BELOW = rf"(?i)(?:as\s+of|years?\s+ended)\s+((?:{MONTHS})\s+\d{{1,2}}),?\s*$"
+COVER_YEAR = r"(?i)\b(?:(?:19|20)\d{2}\s+annual\s+report|annual\s+report\s+(?:19|20)\d{2})\b"
+STATEMENT = "(?i)audited|consolidated financial statements|consolidated statement of financial position|consolidated balance sheet|綜合財務報表|综合财务报表|綜合財務狀況表|综合财务状况表|經審核財務報表|经审核财务报表"
+OTHER_CONTEXT = "(?i)forecast|projection|budget|pro forma|comparative|预测|預測|预算|預算"
 
 
 def fiscal_year_extract(title: Column) -> Column:
@@ -407,18 +415,42 @@ def fiscal_year_extract(title: Column) -> Column:
 COVER_PAGES = 10
 
 
-def report_period_end(df: DataFrame, cover_pages: int = COVER_PAGES, marker: str = "(?i)audited", column: str = "text") -> DataFrame:
-    """Period end of extracted text: the only date of the cover, its first pages (parted by form feeds), that also stands at or within three lines
-    after an audited-statement marker; none or several give NULL."""
-    lines = F.col("_lines")
+def _period_ends(lines: Column, here: Callable[[Column], Column] | None = None) -> Column:
+    """Distinct dates that lines name as a period's end, but for lines of another context; `here` says by its index whether a line counts.
 
-    def dates(part: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(F.array_join(part, "\n"), F.lit(ENDED_ON), F.lit(1)))
+    Of several years after one day, in the line or in the two lines below a day without one, the newest counts.
+    """
 
-    near = F.filter(
-        lines, lambda x, i: F.exists(F.slice(lines, F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4))), lambda y: y.rlike(marker))
-        & ~x.rlike("(?i)forecast|comparative"),
-    )
-    both = F.array_intersect(dates(F.slice(F.split(F.col(column), "\f"), 1, cover_pages)), dates(near))
-    only = F.when(F.size("_both") == 1, F.try_to_date(F.col("_both")[0], "d MMMM yyyy"))
-    return df.withColumn("_lines", lines_of(F.col(column))).withColumn("_both", both).withColumn("period_end", only).drop("_lines", "_both")
+    def newest(day: Column, years: Column) -> Column:
+        return F.concat_ws(" ", day, F.array_max(F.regexp_extract_all(years, F.lit(YEAR_PLAIN), F.lit(1))))
+
+    def month_first(found: Column) -> Column:
+        return F.transform(found, lambda d: F.try_to_date(F.initcap(F.regexp_replace(d, r"[,\s]+", " ")), "MMMM d yyyy"))
+
+    def named(line: Column, i: Column) -> Column:
+        listed, alone = F.regexp_extract(line, SEVERAL_YEARS, 1), F.regexp_extract(line, YEAR_BELOW, 1)
+        below = F.array_join(F.slice(lines, i + 2, 2), " ")
+        day_first = F.transform(F.regexp_extract_all(line, F.lit(DAY_MONTH), F.lit(1)), lambda d: F.try_to_date(F.initcap(F.regexp_replace(d, r"\s+", " ")), "d MMMM yyyy"))
+        chinese = F.transform(F.regexp_extract_all(line, F.lit(CHINESE_DAY), F.lit(1)), lambda d: F.try_to_date(F.regexp_replace(d, r"\D+", "-"), "yyyy-M-d"))
+        single = F.concat(day_first, month_first(F.regexp_extract_all(line, F.lit(MONTH_DAY), F.lit(1))), chinese, month_first(F.array(newest(alone, below))))
+        found = F.when(listed != "", month_first(F.array(newest(listed, F.regexp_extract(line, SEVERAL_YEARS, 2))))).otherwise(single)
+        counts = line.rlike("(?i)ended|as\\s+of|截至") & ~line.rlike(OTHER_CONTEXT)
+        return F.when(counts if here is None else counts & here(i), found).otherwise(F.array().cast("array<date>"))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(lines, named)), lambda d: d.isNotNull()))
+
+
+def report_period_end(df: DataFrame, cover_pages: int = COVER_PAGES, marker: str = STATEMENT, column: str = "text") -> DataFrame:
+    """Period end of extracted text: the only date of the cover, its first pages (parted by form feeds), that also stands at or within three
+    lines after a statement's marker. Failing that, the only date of the statements in the one year that the cover names for its report.
+    None or several, or no text, give NULL.
+    """
+    cover = F.array_join(F.slice(F.split(F.col(column), "\f"), 1, cover_pages), "\n")
+    lines = F.col("_lines")
+    marked = _period_ends(lines, lambda i: F.exists(F.slice(lines, F.greatest(i - 2, F.lit(1)), F.least(i + 1, F.lit(4))), lambda y: y.rlike(marker)))
+    found = df.withColumn("_cover", cover).withColumn("_lines", lines_of(F.col(column))).withColumn("_marked", marked)
+    found = found.withColumn("_head", lines_of(F.col("_cover"))).withColumn("_both", F.array_intersect(_period_ends(F.col("_head")), F.col("_marked")))
+    years = F.array_distinct(F.transform(F.regexp_extract_all("_cover", F.lit(COVER_YEAR), F.lit(0)), lambda y: F.regexp_extract(y, YEAR_PLAIN, 1).cast("int")))
+    found = found.withColumn("_years", years).withColumn("_of_year", F.filter("_marked", lambda d: F.year(d) == F.try_element_at("_years", F.lit(1))))
+    only = F.when(F.size("_both") == 1, F.try_element_at("_both", F.lit(1))).when((F.size("_years") == 1) & (F.size("_of_year") == 1), F.try_element_at("_of_year", F.lit(1)))
+    return found.withColumn("period_end", only).drop("_cover", "_lines", "_marked", "_head", "_both", "_years", "_of_year")

@@ -148,12 +148,22 @@ def fiscal_year_extract(spark, sf):
     return c.select("announcement_id", dc.fiscal_year_extract(title).alias("fiscal_year"))
 
 
-@query("report_period_end", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN make_date(2010 + doc_id % 13, 12, 31) END AS period_end FROM documents")
+@query("report_period_end", """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN make_date(2010 + doc_id % 13, 12, 31) WHEN 1 THEN make_date(2010 + doc_id % 13, 3, 31) WHEN 2 THEN make_date(2010 + doc_id % 13, 6, 30)
+    WHEN 3 THEN make_date(2010 + doc_id % 13, 12, 31) WHEN 4 THEN make_date(2010 + doc_id % 13, 12, 31) END AS period_end FROM documents""")
 def report_period_end(spark, sf):
     d = F.col("doc_id")
-    y = (2010 + d % 13).cast("string")
-    head = F.concat(F.lit("Annual report\nFor the year ended 31 December "), y, F.lit("\n\f" * 10))
-    tail = F.when(d % 3 == 0, F.concat(F.lit("\nAudited statements\n\nfor the year ended 31 December "), y)).when(
-        d % 3 == 1, F.lit("\nAudited statements\nfor the year ended 30 June 2001")).otherwise(F.lit(""))
-    text = F.concat(head, F.col("text"), tail)
+    y, before = (2010 + d % 13).cast("string"), (2009 + d % 13).cast("string")
+    # By turns: a day first, a month first, Chinese, several years with the years below, a year on the cover alone; another date, another context, no statement.
+    forms = (
+        (("Annual report\nFor the year ended 31 December ", y), ("Audited statements\n\nfor the year ended 31 December ", y)),
+        (("Year ended March 31, ", y), ("Consolidated balance sheets\nfor the YEAR ENDED MARCH 31 ", y)),
+        (("截至 ", y, " 年 6 月 30 日止年度"), ("综合财务报表\n截至", y, "年6月30日")),
+        (("for the years ended December 31, ", before, " and ", y), ("Audited statements\nAs of December 31,\n", before, " ", y)),
+        ((y, " Annual Report"), ("Audited statements\nyear ended 31 December ", y)),
+        (("For the year ended 31 December ", y), ("Audited statements\nfor the year ended 30 June 2001",)),
+        (("For the year ended 31 December ", y), ("Audited statements\nforecast for the year ended 31 December ", y)),
+        (("For the year ended 31 December ", y), ("\n",)),
+    )
+    head, tail = (F.array(*(F.concat(*(F.lit(x) for x in form[i])) for form in forms))[d % 8] for i in (0, 1))
+    text = F.concat(head, F.lit("\n\f" * 10), F.col("text"), F.lit("\n"), tail)
     return dc.report_period_end(v.table(spark, sf, "documents").select("doc_id", text.alias("text"))).select("doc_id", "period_end")
