@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from datetime import date
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,8 +60,6 @@ def hac_lag(n: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def normal_two_sided(t: pd.Series) -> pd.Series:
-    import math
-
     return t.map(lambda x: None if pd.isna(x) else math.erfc(abs(x) / math.sqrt(2)))
 
 
@@ -219,14 +219,18 @@ def premium_zscore_signal(premium: DataFrame, rows: int = 60) -> DataFrame:
 
 
 def _scale_chain(pdf: pd.DataFrame, leg: float, max_gross: float) -> Iterator:
-    """Cumulative gross scaling per date from counts of open pairs by entry date (one calendar of rows)."""
-    chain, before = {}, 1.0
+    """Cumulative gross scaling per date, as its logarithm, from counts of open pairs by entry date (one calendar of rows).
+
+    The scaling since the start falls below the smallest double within a few hundred weeks of many pairs; its logarithm does
+    not, and a weight needs the scaling since its entry alone.
+    """
+    chain, before = {}, 0.0
     for day, grp in pdf.groupby("friday", sort=True):
         entered = grp["entry"].map(lambda e, b=before: chain.get(e, b) if e != day else b)
-        gross = 2 * leg * float((grp["n"] * before / entered.where(entered > 0, before)).sum())
+        gross = 2 * leg * float((grp["n"] * np.exp(before - entered)).sum())
         scale = max_gross / gross if gross > max_gross else 1.0
         chain[day] = before
-        before *= scale
+        before += math.log(scale)
         yield day, chain[day], scale
 
 
@@ -252,11 +256,11 @@ def pair_state(z: DataFrame, entry: float = 2.0, exit_: float = 0.5, leg: float
     counts = rows.groupBy("friday", "entry").agg(F.count(F.lit(1)).alias("n"))
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(_scale_chain(pdf, leg, max_gross)), columns=["friday", "before", "scale"])
+        return pd.DataFrame(list(_scale_chain(pdf, leg, max_gross)), columns=["friday", "log_before", "scale"])
 
-    scales = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(chain, "friday date, before double, scale double")
-    at_entry = scales.select(F.col("friday").alias("entry"), F.col("before").alias("_b0"))
-    weight = F.lit(leg) * F.col("before") / F.col("_b0") * F.col("scale")
+    scales = counts.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(chain, "friday date, log_before double, scale double")
+    at_entry = scales.select(F.col("friday").alias("entry"), F.col("log_before").alias("_b0"))
+    weight = F.lit(leg) * F.exp(F.col("log_before") - F.col("_b0")) * F.col("scale")
     legs = rows.join(scales, "friday").join(at_entry, "entry").withColumn("_w", weight)
     both = F.explode(F.array(
         F.struct(F.col("symbol_a").alias("symbol"), F.col("_w").alias("weight")),
