@@ -113,6 +113,7 @@ def dividend_grade(actions: DataFrame, asof: date, window_years: int = 10) -> Da
     """
     first_day = F.lit(date(asof.year - window_years + 1, 1, 1))
     yearly = annual_dividends(actions.where(F.col("ex_date").between(first_day, F.lit(asof))))
+    yearly = yearly.withColumn("amount", F.round("amount", 9))  # equal years stay equal in whatever order their payments were added
     w = Window.partitionBy("symbol").orderBy("year")
     newest = Window.partitionBy("symbol").orderBy(F.desc("year"))
     y = F.col("year")

@@ -87,7 +87,7 @@ def dividend_growth_cagr(spark, sf):
     return sc.dividend_growth_cagr(_payouts(spark, sf), ASOF, 5).withColumn("dividend_growth", rounded(F.col("dividend_growth")))
 
 
-@query("dividend_grade", """WITH y AS (SELECT symbol, year(ex_date) AS y, sum(amount) AS a FROM v_payout WHERE ex_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' GROUP BY 1, 2),
+@query("dividend_grade", """WITH y AS (SELECT symbol, year(ex_date) AS y, round(sum(amount), 9) AS a FROM v_payout WHERE ex_date BETWEEN DATE '1992-01-01' AND DATE '2001-12-31' GROUP BY 1, 2),
     d AS (SELECT *, a - lag(a) OVER (PARTITION BY symbol ORDER BY y) AS diff, row_number() OVER (PARTITION BY symbol ORDER BY y DESC) AS r FROM y),
     g AS (SELECT symbol, count(*) AS n, coalesce(bool_or(r <= 4 AND diff < 0), false) AS cut, coalesce(bool_or(diff < 0), false) AS any_cut, arg_min(a, y) AS a0, arg_max(a, y) AS a1 FROM d GROUP BY 1)
     SELECT symbol, n AS paid_years, cut AS recent_cut, CASE WHEN n < 3 THEN 'F' WHEN n <= 4 THEN 'E' WHEN n <= 6 THEN 'D' WHEN n >= 10 AND NOT any_cut THEN CASE WHEN pow(a1 / a0, 1.0 / 9) - 1 >= 0.08 THEN 'A' ELSE 'B' END ELSE CASE WHEN cut THEN 'D' ELSE 'C' END END AS grade FROM g""")
