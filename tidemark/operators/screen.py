@@ -66,7 +66,8 @@ def trailing(facts: DataFrame, asof: date, years: int, day: str = "report_date")
 
 
 def trailing_mean(facts: DataFrame, asof: date, column: str, years: int, out: str) -> DataFrame:
-    return trailing(facts, asof, years).groupBy("symbol").agg(F.avg(column).alias(out))
+    # The order of a float sum shows in its last digits; cut, equal means compare alike in any order.
+    return trailing(facts, asof, years).groupBy("symbol").agg(F.round(F.avg(column), 12).alias(out))
 
 
 def growth(first: Column, last: Column, years: Column, n: Column) -> Column:

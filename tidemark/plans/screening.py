@@ -30,7 +30,7 @@ def screen_predicates(spark, sf):
     return sc.screen_predicates(base, CONDITIONS).select("fact_id", "symbol", "pe", "pb", "roe")
 
 
-@query("run_screen", f"""WITH {SQL_NEWEST}, avg3 AS (SELECT symbol, avg(roe) AS roe_3y_avg FROM known WHERE report_date BETWEEN DATE '1996-06-30' AND {T0} GROUP BY 1),
+@query("run_screen", f"""WITH {SQL_NEWEST}, avg3 AS (SELECT symbol, round(avg(roe), 12) AS roe_3y_avg FROM known WHERE report_date BETWEEN DATE '1996-06-30' AND {T0} GROUP BY 1),
     members AS (SELECT DISTINCT symbol FROM v_member WHERE index_name = 'N' AND effective_from <= {T0} AND (effective_to IS NULL OR effective_to > {T0}))
     SELECT n.symbol, n.report_date, n.fact_id, n.pe, n.roe, sector_l1, round(roe_3y_avg, 6) AS roe_3y_avg FROM newest n LEFT JOIN v_sector USING (symbol) LEFT JOIN avg3 USING (symbol)
     WHERE n.symbol IN (SELECT symbol FROM members) AND {SQL_PASS} AND coalesce(roe_3y_avg > 0.05, false)""")
