@@ -22,7 +22,7 @@ def parse_symbol(spark, sf):
       CASE WHEN side = 'sell' AND shares = 3 THEN NULL ELSE price END AS weight FROM v_trade),
     d AS (SELECT count(*) AS n FROM t GROUP BY date, symbol HAVING count(*) > 1)
     SELECT * FROM (SELECT 'null:weight' AS rule, count(*) FILTER (weight IS NULL) AS n FROM t UNION ALL
-      SELECT 'pattern:symbol', count(*) FILTER (symbol = 'bad') FROM t UNION ALL SELECT 'duplicate:key', coalesce(sum(n), 0)::BIGINT FROM d) WHERE n > 0""")
+      SELECT 'pattern:symbol', count(*) FILTER (NOT regexp_matches(symbol, '^[0-9]{4,6}[.](SH|SZ|HK)$')) FROM t UNION ALL SELECT 'duplicate:key', coalesce(sum(n), 0)::BIGINT FROM d) WHERE n > 0""")
 def enforce_contract(spark, sf):
     t = v.v_trade(spark, sf).select(
         F.col("exec_date").alias("date"), F.when(F.col("shares") == 7, F.lit("bad")).otherwise(F.col("symbol")).alias("symbol"),
