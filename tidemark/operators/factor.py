@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.joins import latest_by
-from tidemark.operators.pit import latest_non_null, month_ends_between, version_order
+from tidemark.operators.pit import latest_non_null, month_ends_between, version_order, version_ranges
 from tidemark.session import settle
 from tidemark.operators.ranking import position, rank_average, with_group_stats
 
@@ -31,6 +31,7 @@ def composite_rank(facts: DataFrame, by: Sequence[str]) -> DataFrame:
     rows = facts.withColumns({"_ey": inverse("pe"), "_by": inverse("pb"), "_dy": F.col("dividend_yield")}).dropna(
         subset=["_ey", "_by", "_dy"]
     )
+    rows = settle(rows.select(*by, "symbol", "_ey", "_by", "_dy"))  # ranked three times, made once
     for c in ("_ey", "_by", "_dy"):
         rows = rank_average(rows, by, c, f"{c}_rank")
     mean = (F.col("_ey_rank") + F.col("_by_rank") + F.col("_dy_rank")) / 3
@@ -173,19 +174,34 @@ def factor_study(
 def known_at_month_ends(facts: DataFrame, start: date, end: date, columns: Sequence[str]) -> DataFrame:
     """Per (date, symbol) the last known value of each column at every month end of a span.
 
-    A column is carried until a newer report of the symbol is known: (report, version) order decides.
+    A column is carried until a newer report of the symbol is known: (report, version) order decides. A version lists its
+    month ends only until a newer report is known for good with a value in every column, so a symbol lists each month end
+    about once, not once per report. The facts are dealt by symbol once; the listed rows are not shuffled.
     """
-    from tidemark.operators.pit import fundamentals_asof_month_ends
-
-    known = fundamentals_asof_month_ends(facts, start, end).withColumnRenamed("asof", "date")
-    return latest_non_null(known, ["date", "symbol"], [F.col("report_date"), *version_order(facts)], columns)
+    order = [F.col("report_date"), *version_order(facts)]
+    needed = ["symbol", "report_date", "publication_date", "known_as_of", "statement_kind", *columns]
+    rows = facts.select(*needed, *(["fact_id"] if "fact_id" in facts.columns else [])).repartition("symbol")
+    ranges = version_ranges(rows)
+    lasting = F.col("valid_to").isNull()
+    for c in columns:
+        lasting = lasting & F.col(c).isNotNull()
+    newer = Window.partitionBy("symbol").orderBy(F.unix_date("report_date")).rangeBetween(1, Window.unboundedFollowing)
+    until = F.least("valid_to", F.min(F.when(lasting, F.col("valid_from"))).over(newer))
+    listed = ranges.withColumn("_until", until).withColumn("_lo", F.greatest(F.col("valid_from"), F.lit(start)))
+    listed = listed.withColumn("_hi", F.least(F.date_sub("_until", 1), F.lit(end))).where(F.col("_lo") <= F.col("_hi"))
+    known = listed.withColumn("date", F.explode(month_ends_between(F.col("_lo"), F.col("_hi"))))
+    return latest_non_null(known, ["date", "symbol"], order, columns)
 
 
 def value_signal(facts: DataFrame, universe: DataFrame, start: date, end: date) -> DataFrame:
-    """Composite value rank of the index members (`universe` has date, symbol) at month ends."""
-    known = known_at_month_ends(facts, start, end, ["pe", "pb", "dividend_yield"])
-    members = known.join(universe.select("date", "symbol").distinct(), ["date", "symbol"], "left_semi")
-    return composite_rank(members, ["date"])
+    """Composite value rank of the index members (`universe` has date, symbol) at month ends.
+
+    Facts of symbols that are never members fall out before they are laid out over the months.
+    """
+    members = settle(universe.select("date", "symbol").distinct())
+    held = facts.join(members.select("symbol").distinct(), "symbol", "left_semi")
+    known = known_at_month_ends(held, start, end, ["pe", "pb", "dividend_yield"])
+    return composite_rank(known.join(members, ["date", "symbol"], "left_semi"), ["date"])
 
 
 def dividend_continuity(actions: DataFrame, start: date, end: date, days: int = 1095, least: int = 3) -> DataFrame:
@@ -202,8 +218,9 @@ def dividend_continuity(actions: DataFrame, start: date, end: date, days: int =
 
 
 def dividend_yield_signal(facts: DataFrame, actions: DataFrame, start: date, end: date) -> DataFrame:
-    payers = dividend_continuity(actions, start, end).select(F.col("as_of").alias("date"), "symbol")
-    known = known_at_month_ends(facts, start, end, ["dividend_yield"]).where(F.col("dividend_yield").isNotNull())
+    payers = settle(dividend_continuity(actions, start, end).select(F.col("as_of").alias("date"), "symbol"))
+    paid = facts.join(payers.select("symbol").distinct(), "symbol", "left_semi")
+    known = known_at_month_ends(paid, start, end, ["dividend_yield"]).where(F.col("dividend_yield").isNotNull())
     return known.join(payers, ["date", "symbol"], "left_semi").select("date", "symbol", F.col("dividend_yield").alias("signal"))
 
 
