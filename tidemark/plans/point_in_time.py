@@ -75,8 +75,8 @@ def universe_over_time(spark, sf):
     ON m.effective_from <= f.date AND (m.effective_to IS NULL OR m.effective_to > f.date) GROUP BY 1, 2""")
 def interval_join_days(spark, sf):
     days = v.v_fx(spark, sf).select("date")
-    out = joins.interval_join(days, v.v_member(spark, sf), [], "date", "effective_from", "effective_to")
-    return out.groupBy("date", "index_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("symbols"))
+    out = joins.active_counts(days, v.v_member(spark, sf), ["index_name"], "symbol", "date", "effective_from", "effective_to")
+    return out.withColumnRenamed("members", "symbols")
 
 
 @query("membership_history", """WITH s AS (SELECT DISTINCT l_returnflag AS index_name, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, symbol
