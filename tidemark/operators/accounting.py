@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import asof_join, asof_with_first_fallback
+from tidemark.session import settle
 
 # Rates per venue group (commission, floor, stamp on buys, stamp on sells, transfer, exchange fee).
 COST_RATES = {
@@ -225,14 +226,20 @@ def final_positions(positions: DataFrame, keys: list[str]) -> DataFrame:
 def weights_to_returns(weights: DataFrame, returns: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Gross portfolio return per date: weights of the last rebalance strictly before it times the day's returns.
 
-    Rebalance dates are few, so the date is resolved first and the weights meet by equality. With `keys`, runs that both tables carry,
-    each run has its own rebalances and returns, all in one plan.
+    Rebalance dates are few, so the date is resolved first and the weights meet by equality. With `keys`, each run has its own
+    rebalances, all in one plan. Returns may carry only some of the keys, or none: runs that share them meet the same rows, which
+    are not copied per run, and a run keeps the sums of its own rebalances.
     """
     keys = list(keys)
-    rebalances = weights.select(*keys, F.col("date").alias("rebalance")).distinct()
-    days = returns.select(*keys, "date").distinct()
+    shared = [k for k in keys if k in returns.columns]
+    rebalances = settle(weights.select(*keys, F.col("date").alias("rebalance")).distinct())
+    days = settle(returns.select(*shared, "date").distinct())
+    if shared != keys:
+        runs = rebalances.select(*keys).distinct()
+        days = days.join(runs, shared) if shared else days.crossJoin(runs)
     at = asof_join(days, rebalances, keys, "date", "rebalance", how="inner", strict=True)
+    at = settle(at.select(*keys, "date", "rebalance"))  # one row per run and day
     w = weights.select(*keys, F.col("date").alias("rebalance"), "symbol", "weight")
-    return returns.join(at, [*keys, "date"]).join(w, [*keys, "rebalance", "symbol"]).groupBy(*keys, "date").agg(
-        F.sum(F.col("weight") * F.col("ret")).alias("ret")
-    )
+    met = returns.join(F.broadcast(at.select(*shared, "date", "rebalance").distinct()), [*shared, "date"])
+    sums = met.join(w, [*shared, "rebalance", "symbol"]).groupBy(*keys, "date", "rebalance").agg(F.sum(F.col("weight") * F.col("ret")).alias("ret"))
+    return sums.join(at, [*keys, "date", "rebalance"], "left_semi").select(*keys, "date", "ret")

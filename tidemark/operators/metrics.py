@@ -237,11 +237,12 @@ def reverse_future(rows: DataFrame, cutoff, values: Sequence[str], keys: Sequenc
 
     Like `shuffle_future` a permutation of the future, by a rule that needs no seed: a run that reads no future cannot tell.
     """
-    later, back = Window.partitionBy(*keys).orderBy("date"), Window.partitionBy(*keys).orderBy(F.desc("date"))
-    future = rows.where(F.col("date") > F.lit(cutoff))
-    donors = future.select(*keys, F.row_number().over(back).alias("_k"), *values)
-    moved = future.drop(*values).withColumn("_k", F.row_number().over(later)).join(donors, [*keys, "_k"]).drop("_k")
-    return rows.where(F.col("date") <= F.lit(cutoff)).unionByName(moved)
+    names = ["date", *values]
+    future = rows.where(F.col("date") > F.lit(cutoff)).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("_f"))
+    last = F.size("_f") - 1  # at most one calendar
+    moved = F.transform("_f", lambda x, i: F.struct(x["date"].alias("date"), *[F.get("_f", last - i)[c].alias(c) for c in values]))
+    reversed_ = future.select(*keys, F.inline(moved))
+    return rows.where(F.col("date") <= F.lit(cutoff)).unionByName(reversed_)
 
 
 def parameter_runs(rows: DataFrame, runs: DataFrame, limit: int = 100) -> DataFrame:
@@ -259,11 +260,15 @@ def parameter_runs(rows: DataFrame, runs: DataFrame, limit: int = 100) -> DataFr
 
 
 def run_curves(bars: DataFrame, weights: DataFrame, keys: Sequence[str] = ("run_id",), price: str = "close") -> DataFrame:
-    """Curve `keys, date, ret, nav` of weights over bars that carry the same runs; nav is the log of what one unit became."""
+    """Curve `keys, date, ret, nav` of weights over bars; nav is the log of what one unit became.
+
+    Bars carry the keys in which they differ; runs over the same bars share their returns. A curve up to a date reads no later bar.
+    """
     from tidemark.operators.accounting import weights_to_returns
     from tidemark.operators.timeseries import simple_returns
 
-    returns = simple_returns(bars, price, (*keys, "symbol")).select(*keys, "date", "symbol", "ret")
+    shared = [k for k in keys if k in bars.columns]
+    returns = simple_returns(bars, price, (*shared, "symbol")).select(*shared, "date", "symbol", "ret")
     held = weights_to_returns(weights, returns, keys)
     return held.withColumn("nav", F.sum(F.log1p("ret")).over(Window.partitionBy(*keys).orderBy("date")))
 

@@ -10,6 +10,7 @@ from tidemark.functions.numeric import rounded
 from tidemark.operators import metrics as mt
 from tidemark.plans import views as v
 from tidemark.plans.registry import query
+from tidemark.session import settle
 
 KEYS = ["run_id"]
 SQL_RET = """rt AS (SELECT run_id, date, nav, ln(nav / lag(nav) OVER (PARTITION BY run_id ORDER BY date)) AS ret FROM v_nav),
@@ -187,29 +188,33 @@ SQL_CURVE = """{to} AS (SELECT d.variant, d.run_id, d.date, sum(weight * ret) AS
 
 
 def _runs(spark, sf, changed: bool):
-    """Bars of both strategies, with the future reversed too or without, and their weights."""
+    """Bars, and the weights that both strategies draw from them, with the future reversed too or without.
+
+    The bars carry no run: the strategies share them, and reversing the future keeps all bars up to the cut.
+    """
     from pyspark.sql import Window
-    bars = v.v_bar(spark, sf).select("date", "symbol", "close")
+    bars = settle(v.v_bar(spark, sf).select("date", "symbol", "close").repartition("symbol"))  # many steps read them
     strategies = spark.createDataFrame([("honest", False), ("peeks", True)], "run_id string, peeks boolean")
     every = bars.withColumn("variant", F.lit("base"))
     if changed:
         every = every.unionByName(mt.reverse_future(bars, CHANGE, ["close"]).withColumn("variant", F.lit("changed")))
-    every = mt.parameter_runs(every, strategies)
     ends = bars.groupBy(F.last_day("date").alias("month")).agg(F.max("date").alias("end"))
     keys = ["variant", "run_id"]
-    monthly = every.groupBy(*keys, "peeks", "symbol", F.last_day("date").alias("month")).agg(F.max_by("close", "date").alias("close")).join(ends, "month")
-    w = Window.partitionBy(*keys, "symbol").orderBy("end")
-    rise = F.when(F.col("peeks"), F.lead("close").over(w) / F.col("close")).otherwise(F.col("close") / F.lag("close").over(w))
-    bought = monthly.withColumn("rise", rise).where("rise > 1").select(*keys, F.col("end").alias("date"), "symbol")
+    monthly = every.groupBy("variant", "symbol", F.last_day("date").alias("month")).agg(F.max_by("close", "date").alias("close")).join(F.broadcast(ends), "month")
+    w = Window.partitionBy("variant", "symbol").orderBy("end")
+    monthly = monthly.withColumns({"own": F.col("close") / F.lag("close").over(w), "peek": F.lead("close").over(w) / F.col("close")})
+    rise = F.when(F.col("peeks"), F.col("peek")).otherwise(F.col("own"))
+    bought = settle(mt.parameter_runs(monthly, strategies).where(rise > 1).select(*keys, F.col("end").alias("date"), "symbol"))
     sizes = bought.groupBy(*keys, "date").agg((1 / F.count(F.lit(1))).alias("weight"))
-    return every, bought.join(sizes, [*keys, "date"]), keys
+    return bars, bought.join(F.broadcast(sizes), [*keys, "date"]), keys
 
 
 @query("leakage_check", f"WITH {SQL_RUNS}, {SQL_CURVE.format(to='pr', of='wt')}, cv AS (SELECT *, sum(ln(1 + ret)) OVER (PARTITION BY variant, run_id ORDER BY date) AS nav FROM pr), "
        f"df AS (SELECT run_id, max(coalesce(abs(a.nav - b.nav), 'inf'::DOUBLE)) AS d FROM (SELECT * FROM cv WHERE variant = 'base' AND date <= DATE '{CHANGE}') a FULL JOIN (SELECT * FROM cv WHERE variant = 'changed' AND date <= DATE '{CHANGE}') b USING (run_id, date) GROUP BY 1) SELECT run_id, round(d, 6) AS max_diff, d < 1e-6 AS passed FROM df")
 def leakage_check(spark, sf):
     bars, weights, keys = _runs(spark, sf, changed=True)
-    curves = mt.run_curves(bars, weights, keys).select(*keys, "date", "nav")
+    upto = F.col("date") <= F.lit(CHANGE)  # all that is compared; no curve reads ahead of itself
+    curves = settle(mt.run_curves(bars.where(upto), weights.where(upto), keys).select(*keys, "date", "nav"))
     side = lambda x: curves.where(F.col("variant") == x).drop("variant")
     return mt.leakage_check(side("base"), side("changed"), CHANGE).withColumn("max_diff", rounded(F.col("max_diff")))
 
@@ -228,8 +233,10 @@ def shift_dates_back(spark, sf):
        "SELECT run_id, round(base, 6) AS base, round(moved, 6) AS moved, moved >= base AS passed FROM a JOIN b USING (run_id)")
 def signal_shift_check(spark, sf):
     bars, weights, keys = _runs(spark, sf, changed=False)
-    early = mt.shift_dates_back(weights, v.v_bar(spark, sf).select("date").distinct(), keys)
-    out = mt.shift_check(mt.run_curves(bars, weights, keys), mt.run_curves(bars, early, keys))
+    early = mt.shift_dates_back(weights, bars.select("date").distinct(), keys)
+    both = weights.withColumn("moved", F.lit(False)).unionByName(early.withColumn("moved", F.lit(True)))
+    curves = settle(mt.run_curves(bars, both, [*keys, "moved"]))
+    out = mt.shift_check(curves.where("not moved"), curves.where("moved"))
     return out.select("run_id", rounded(F.col("base")).alias("base"), rounded(F.col("moved")).alias("moved"), "passed")
 
 
