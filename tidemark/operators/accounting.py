@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.joins import asof_join, asof_with_first_fallback
+from tidemark.operators.joins import asof_join, asof_on_axis, asof_with_first_fallback
 from tidemark.session import settle
 
 # Rates per venue group (commission, floor, stamp on buys, stamp on sells, transfer, exchange fee).
@@ -179,12 +179,10 @@ def apply_split_to_holdings(holdings: DataFrame, actions: DataFrame) -> DataFram
 def dividend_cash(holdings: DataFrame, actions: DataFrame, keys: list[str]) -> DataFrame:
     """Cash paid on each ex-date on the shares held strictly before it."""
     cash = actions.where(F.col("kind") == "cash_dividend").groupBy("symbol", "ex_date").agg(F.sum("amount").alias("amount"))
-    others = [k for k in keys if k != "symbol"]
-    if others:
-        owners = holdings.select(*keys).distinct()
-        cash = cash.join(owners, "symbol")
-    held = holdings.select(*keys, F.col("date").alias("_held_on"), "shares")
-    out = asof_join(cash, held, keys, "ex_date", "_held_on", how="inner", strict=True)
+    held = settle(holdings.select(*keys, F.col("date").alias("_held_on"), "shares"))  # read for its owners too
+    if any(k != "symbol" for k in keys):
+        cash = cash.join(held.select(*keys).distinct(), "symbol")
+    out = asof_on_axis(cash, held, keys, "ex_date", "_held_on", how="inner", strict=True)
     return out.where(F.col("shares") > 0).withColumn("cash", F.col("shares") * F.col("amount")).drop("_held_on")
 
 

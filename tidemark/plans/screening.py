@@ -11,6 +11,7 @@ from tidemark.operators import documents as dc, pit, screen as sc, timeseries as
 from tidemark.plans import views as v
 from tidemark.plans.point_in_time import ASOF, SQL_KNOWN
 from tidemark.plans.registry import query
+from tidemark.session import settle
 
 SQL_NEWEST = SQL_KNOWN + """, newest AS (SELECT * EXCLUDE (rn2) FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY report_date DESC, known_as_of DESC, fact_id DESC) AS rn2 FROM known) WHERE rn2 = 1)"""
 T0 = "DATE '1999-06-30'"
@@ -155,7 +156,7 @@ SQL_LAST_HFQ = f"""pf AS (SELECT a.symbol, a.ex_date, (p.close - a.amount) / p.c
     LEFT JOIN newest n USING (symbol) LEFT JOIN v_sector USING (symbol)""")
 def watchlist_snapshot(spark, sf):
     lists = v.v_member(spark, sf).select(F.col("index_name").alias("watchlist_name"), "symbol").distinct()
-    bars = v.v_bar(spark, sf).select("date", "symbol", "close")
+    bars = settle(v.v_bar(spark, sf).select("date", "symbol", "close"))  # priced and adjusted
     actions = v.v_payout(spark, sf).select("symbol", "ex_date", "kind", "amount", F.lit(None).cast("double").alias("ratio"))
     adjusted = ts.adjust_prices(bars, ts.action_factors(actions, bars))
     out = sc.watchlist_snapshot(lists, adjusted, v.v_fund(spark, sf), v.v_sector(spark, sf), ASOF)
