@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.operators.joins import latest_by
 from tidemark.operators.pit import latest_non_null, month_ends_between, version_order, version_ranges
 from tidemark.session import settle
-from tidemark.operators.ranking import position, rank_average, with_group_stats
+from tidemark.operators.ranking import position, rank_averages, with_group_stats
 
 
 def demean_by_group(signals: DataFrame, sectors: DataFrame) -> DataFrame:
@@ -32,8 +32,7 @@ def composite_rank(facts: DataFrame, by: Sequence[str]) -> DataFrame:
         subset=["_ey", "_by", "_dy"]
     )
     rows = settle(rows.select(*by, "symbol", "_ey", "_by", "_dy"))  # ranked three times, made once
-    for c in ("_ey", "_by", "_dy"):
-        rows = rank_average(rows, by, c, f"{c}_rank")
+    rows = rank_averages(rows, by, {c: f"{c}_rank" for c in ("_ey", "_by", "_dy")})
     mean = (F.col("_ey_rank") + F.col("_by_rank") + F.col("_dy_rank")) / 3
     return rows.select(*by, "symbol", mean.alias("signal"))
 
@@ -50,7 +49,7 @@ def ic_by_date(signals: DataFrame, forward: DataFrame) -> DataFrame:
     """Spearman correlation per (date, horizon) of signal and forward return over known pairs."""
     by = ["date", "horizon"]
     pairs = settle(signals.where(F.col("signal").isNotNull()).join(forward, ["date", "symbol"]))
-    ranked = rank_average(rank_average(pairs, by, "signal", "_rs"), by, "fwd", "_rf")
+    ranked = rank_averages(pairs, by, {"signal": "_rs", "fwd": "_rf"})
     ic = F.corr("_rs", "_rf")
     return ranked.groupBy(*by).agg(F.when((F.count(F.lit(1)) >= 2) & ~F.isnan(ic), ic).alias("ic"))
 
@@ -153,19 +152,23 @@ def curve_summary(curve: DataFrame, keys: Sequence[str]) -> DataFrame:
     return stats.join(drawdown(curve, keys).select(*keys, "max_drawdown"), list(keys))
 
 
+STUDY = ("ic_by_horizon", "ic_summary", "ic_decay", "quantile_returns", "quantile_summary")
+
+
 def factor_study(
-    signals: DataFrame, forward: DataFrame, horizons: Sequence[int], sectors: DataFrame | None = None, q: int = 5
+    signals: DataFrame, forward: DataFrame, horizons: Sequence[int], sectors: DataFrame | None = None, q: int = 5, parts: Sequence[str] = STUDY
 ) -> dict[str, DataFrame]:
-    """Lazy parts of a study over all dates and horizons: IC table, summary, decay, buckets, curves."""
+    """Parts of a study over all dates and horizons: IC table, summary, decay, buckets, curves. What no asked part needs is not made."""
     used = demean_by_group(signals, sectors).select("date", "symbol", "signal") if sectors is not None else signals
-    ic = settle(ic_by_date(used, forward))
-    summary = ic_summary(ic)
-    buckets = settle(quantile_returns(used, forward, q, max(horizons)))
-    curve = quantile_curve(buckets)
-    return {
-        "ic_by_horizon": ic, "ic_summary": summary, "ic_decay": summary.select("horizon", "mean_ic"),
-        "quantile_returns": long_short(buckets, q), "quantile_summary": curve_summary(curve, ["quantile"]),
-    }
+    out = {}
+    if any(p.startswith("ic_") for p in parts):
+        ic = settle(ic_by_date(used, forward))
+        summary = ic_summary(ic)
+        out |= {"ic_by_horizon": ic, "ic_summary": summary, "ic_decay": summary.select("horizon", "mean_ic")}
+    if any(p.startswith("quantile_") for p in parts):
+        buckets = settle(quantile_returns(used, forward, q, max(horizons)))
+        out |= {"quantile_returns": long_short(buckets, q), "quantile_summary": curve_summary(quantile_curve(buckets), ["quantile"])}
+    return {p: out[p] for p in parts}
 
 
 # --- strategy signals -------------------------------------------------------------------------

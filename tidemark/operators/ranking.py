@@ -5,6 +5,9 @@ into ordered ranges of equal depth by `repartitionByRange`, which samples the da
 crowded values spread as evenly as any others. Each range is ordered on its own, and only the totals of the
 ranges (one row per group and range) are accumulated per group. The dealt rows feed both steps, so they are
 settled in the checkpoint folder; that also fixes which range is which.
+
+Where no group passes `WINDOW_ROWS` rows, average-tie ranks come from one plain window instead: a bounded sort per task, and one
+shuffle for all ranks of a table.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
+WINDOW_ROWS = 1_000_000  # rows of a group that one task may order
+
 
 def ranged(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """`df` settled in ranges of equal depth over (by, order); `_part` numbers them in that order."""
@@ -40,10 +45,26 @@ def counts_before(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def rank_average(df: DataFrame, by: Sequence[str], value: str, name: str = "rank") -> DataFrame:
     """Average-tie rank of `value` (ascending) within `by`; rows with NULL value get NULL."""
-    ranks = counts_before(df.where(F.col(value).isNotNull()), by, value).select(
-        *by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)
-    )
-    return df.join(ranks, [*by, value], "left")
+    return rank_averages(df, by, {value: name})
+
+
+def rank_averages(df: DataFrame, by: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """Average-tie ranks of several columns (column: name of its rank) within `by`; NULL has none, nor has a row without its group."""
+    if (df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= WINDOW_ROWS:
+        grouped = F.lit(True)
+        for c in by:
+            grouped = grouped & F.col(c).isNotNull()
+        for value, name in names.items():
+            w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(value))
+            # The frame ends at the last equal value, so the count is the greatest place of a tie and the rank the least.
+            df = df.withColumn(name, F.when(grouped & F.col(value).isNotNull(), (F.rank().over(w) + F.count(value).over(w)) / 2))
+        return df
+    for value, name in names.items():
+        ranks = counts_before(df.where(F.col(value).isNotNull()), by, value).select(
+            *by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name)
+        )
+        df = df.join(ranks, [*by, value], "left")
+    return df
 
 
 def position(
