@@ -105,6 +105,24 @@ def universe_over_time(members: DataFrame, start: date, end: date) -> DataFrame:
     return members.where(lo <= hi).withColumn("date", F.explode(month_ends_between(lo, hi)))
 
 
+def members_per_month(members: DataFrame, start: date, end: date, by: Sequence[str] = ("index_name", "symbol")) -> DataFrame:
+    """`date, *by, n`: how many intervals of each group hold each month end of a span; month ends that none holds have no row.
+
+    An interval is a range of months, and a group counts a whole year in one row of twelve counters: an interval is copied per year, not
+    per month end, and what a task holds are groups and years instead of every group's month ends.
+    """
+    lo = F.greatest(F.col("effective_from"), F.lit(start))
+    hi = F.least(F.coalesce(F.date_sub("effective_to", 1), F.lit(end)), F.lit(end))
+    unfinished = F.when(hi < F.last_day(hi), 1).otherwise(0)  # its last month ends behind it
+    held = members.where(F.col("effective_from").isNotNull() & (lo <= hi))
+    spans = held.select(*by, month_index(lo).alias("_first"), (month_index(hi) - unfinished).alias("_last")).where("_first <= _last")
+    years = spans.withColumn("_year", F.explode(F.sequence(F.floor(F.col("_first") / 12), F.floor(F.col("_last") / 12))))
+    inside = [(F.col("_year") * 12 + m).between(F.col("_first"), F.col("_last")) for m in range(12)]
+    counts = years.groupBy(*by, "_year").agg(*[F.count(F.when(known, 1)).alias(f"_n{m}") for m, known in enumerate(inside)])
+    months = [F.struct(F.last_day(F.make_date(F.col("_year").cast("int"), F.lit(m + 1), F.lit(1))).alias("date"), F.col(f"_n{m}").alias("n")) for m in range(12)]
+    return counts.select(*by, F.inline(F.array(*months))).where("n > 0").select("date", *by, "n")
+
+
 def membership_history(snapshots: DataFrame) -> DataFrame:
     """Validity intervals from dated snapshots: a member stays until the first snapshot without it.
 
@@ -173,6 +191,6 @@ def latest_document(filings: DataFrame, kind: str, order: Column) -> DataFrame:
 __all__ = [
     "LeakageError", "ah_premium", "asof_join", "check_date_range", "equal_weight_snapshot", "first_by",
     "fundamentals_asof", "fundamentals_asof_many", "fundamentals_asof_month_ends", "latest_document",
-    "latest_non_null", "membership_history", "month_index", "pair_closes", "pit_constituents",
+    "latest_non_null", "members_per_month", "membership_history", "month_index", "pair_closes", "pit_constituents",
     "uncovered_requests", "universe_over_time", "version_ranges",
 ]

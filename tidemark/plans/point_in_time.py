@@ -67,8 +67,7 @@ def pit_constituents(spark, sf):
 @query("universe_over_time", f"""WITH {SQL_MONTHS} SELECT d AS date, index_name, symbol, count(*) AS n FROM months JOIN v_member
     ON effective_from <= d AND (effective_to IS NULL OR effective_to > d) GROUP BY 1, 2, 3""")
 def universe_over_time(spark, sf):
-    out = pit.universe_over_time(v.v_member(spark, sf), START, END)
-    return out.groupBy("date", "index_name", "symbol").agg(F.count(F.lit(1)).alias("n"))
+    return pit.members_per_month(v.v_member(spark, sf), START, END)
 
 
 @query("interval_join_days", """SELECT f.date, m.index_name, count(*) AS n, count(DISTINCT m.symbol) AS symbols FROM v_fx f JOIN v_member m
