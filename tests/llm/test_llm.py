@@ -370,6 +370,15 @@ def test_ngram_boundary_and_edges(spark):
     assert ngramjoin.ngram_components(odd).count() == odd.count()
 
 
+def test_ngram_lists_hold_each_set_of_classes_once(spark, monkeypatch):
+    texts, seen, plain = edited_copies(3, [60, 200, 900], 7), [], ngramjoin._leaders
+    monkeypatch.setattr(ngramjoin, "_leaders", lambda lists, *rest: seen.append(lists) or plain(lists, *rest))
+    got = sorted(tuple(r) for r in ngramjoin.ngram_components(docs(spark, texts)).collect())
+    assert got == components_by_pairs(texts, 4, 85)
+    lists = [tuple(sorted(r.c)) for r in seen[0].groupBy("key").agg(F.collect_set("cls").alias("c")).collect()]
+    assert lists and len(set(lists)) == len(lists) and min(map(len, lists)) > 1
+
+
 def test_ngram_query_on_documents(spark):
     rows = table(spark, "documents").orderBy("doc_id").collect()
     want = components_by_pairs([r.text for r in rows], 4, 85)

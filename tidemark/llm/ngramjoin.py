@@ -5,7 +5,7 @@ the threshold t, so two linked sets share at least l of their first d + l shingl
 the first d + 2 as a key, C(d + 2, 2) selective keys; large (heavy) sets, and sets that can reach them, emit the first d + 1
 shingles, whose rows per key are the inverted lists. The size that divides them minimises the estimated keys and list entries.
 
-Equal sets are one class from the start. Candidates are then verified in steps, so that a group of near copies is never listed as
+Equal sets are one class from the start, and keys that the same classes share are one list. Candidates are then verified in steps, so that a group of near copies is never listed as
 all its pairs: in rounds every class is tried against the nearest few leaders of its lists, members from the middle of a group that
 link with many; after that classes of different components that still share a key are compared, and there all of them are. Signatures of parity bits rule pairs out inside the join: they never show more difference than there is.
 """
@@ -28,11 +28,12 @@ from tidemark.session import settle
 ROWS = ["id", "th", "kind", "n", "cls", "sig", "h", "c", "q"]
 SENT = 100_000  # classes that a task remembers to have sent
 LEAST_WORDS = 8  # 64-bit words of a signature
-PARTS = (1,)  # rounds of leaders: into how many parts each cuts a list; more rounds suit groups without a middle
-NEAR = 6  # leaders of a class whose signatures are compared with its own, those that lead it in most lists
-TRIES = 2  # leaders that a class is verified against, the nearest by signature
+PARTS = (2,)  # rounds of leaders: into how many parts each cuts a list, so how many lead it; more suit groups without a middle
+NEAR = 8  # leaders of a class whose signatures are compared with its own, those that lead it in most lists
+TRIES = 4  # leaders that a class is verified against, the nearest by signature
 KEY_WORDS = 1 << 20  # 64-bit words of the bit table of shared keys: 8 MB
-ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are ordered by hash alone
+ORDER_HINTS = 50_000  # frequent shingles told apart in the global order; the rest are common (found twice in a share of the texts) or not
+COMMON_SHARE = 16  # one text of so many is asked for common shingles; that only shapes the order, which may be any
 
 
 def needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -108,22 +109,34 @@ def _describe(k: int):
     return run
 
 
-def _ranked(texts, k: int, hints: tuple[np.ndarray, np.ndarray]):
+def _shingles(k: int):
+    """Every shingle of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in texts_of(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(_sets(texts, k)[0].view(np.int64))], ["h"])
+
+    return run
+
+
+def _ranked(texts, k: int, hints: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """Sets in the global order: shingle, text, place in its set; and set sizes and classes."""
     h, of, n = _sets(texts, k)
     cls = _class(h, of, n)
-    hashes, counts = hints
+    hashes, counts, common = hints
+    weight = may_have(common, h).astype(np.int64)
     flags = np.zeros(1 << 20, bool)
     flags[hashes & np.uint64((1 << 20) - 1)] = True
     maybe = np.flatnonzero(flags[h & np.uint64((1 << 20) - 1)])
     if len(maybe):
         at = np.minimum(np.searchsorted(hashes, h[maybe]), len(hashes) - 1)
         known = hashes[at] == h[maybe]
-        maybe, at = maybe[known], at[known]
-    # The others keep their order by hash; behind them come the frequent ones of each set, by count and hash.
-    frequent = np.zeros(len(h), bool)
-    frequent[maybe] = True
-    behind = maybe[np.lexsort((h[maybe], counts[at], of[maybe]))] if len(maybe) else maybe
+        weight[maybe[known]] = counts[at[known]]
+    # The others keep their order by hash; behind them come the common and the frequent ones of each set, by count and hash.
+    frequent = weight > 0
+    behind = np.flatnonzero(frequent)
+    behind = behind[np.lexsort((h[behind], weight[behind], of[behind]))]
     rest = np.flatnonzero(~frequent)
     first = np.cumsum(n) - n
     plain = np.bincount(of[rest], minlength=len(n))
@@ -136,7 +149,7 @@ def _ranked(texts, k: int, hints: tuple[np.ndarray, np.ndarray]):
     return ordered, of, np.arange(len(h)) - first[of], n, cls
 
 
-def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarray], shared: np.ndarray | None = None):
+def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarray, np.ndarray], shared: np.ndarray | None = None):
     """Rows (key, cls, n) of every set; with `shared`, only those whose key may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +183,25 @@ def _keys(k: int, percent: int, boundary: int, hints: tuple[np.ndarray, np.ndarr
     return run
 
 
+def _having(wanted: np.ndarray):
+    """Rows whose key may be among the wanted ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(may_have(wanted, batch.column(0).to_numpy())))
+
+    return run
+
+
+def _lists(live: DataFrame) -> DataFrame:
+    """`key, cls, n, entries, copies`: keys that the same classes share are one list under the smallest of them, `copies` tells for how many
+    it stands, `entries` how many classes it holds. Lists of one class go. Lists are told apart by length, smallest class and the bits of all."""
+    own = live.groupBy("key").agg(F.count("*").alias("entries"), F.min("cls").alias("lo"), F.bit_xor("cls").alias("bits")).where("entries > 1")
+    kept = settle(own.groupBy("entries", "lo", "bits").agg(F.min("key").alias("key"), F.count("*").alias("copies")).drop("lo", "bits"))
+    some = live.mapInArrow(_having(bit_table(kept.select("key"), KEY_WORDS)), "key long, cls long, n long")
+    return settle(some.join(kept, "key"))
+
+
 def _members(k: int, wanted: np.ndarray):
     """Shingle arrays of the classes whose bit is set, mostly once per partition."""
 
@@ -219,10 +251,14 @@ def _apart(x: str, y: str) -> F.Column:
     return F.aggregate(F.zip_with(folded(x), folded(y), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, c: s + c)
 
 
-def _half(sig: F.Column) -> F.Column:
-    """A signature of half the words."""
-    words = (F.size(sig) / 2).cast("int")
-    return F.zip_with(F.slice(sig, F.lit(1), words), F.slice(sig, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+def _rough(sig: F.Column) -> F.Column:
+    """A signature folded to a quarter of its words, but to no fewer than the least."""
+
+    def half(x: F.Column) -> F.Column:
+        words = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), words), F.slice(x, words + 1, words), lambda a, b: a.bitwiseXOR(b))
+
+    return F.when(F.size(sig) >= 4 * LEAST_WORDS, half(half(sig))).when(F.size(sig) > LEAST_WORDS, half(sig)).otherwise(sig)
 
 
 def _near_in_size(percent: int) -> F.Column:
@@ -258,8 +294,8 @@ def _leaders(lists: DataFrame, known: DataFrame, number: int, percent: int, side
     best = F.max_by(F.struct("cls", "root", "n"), F.struct(F.col("degree"), F.xxhash64("cls", F.lit(-1 - number))))
     led = (placed.where("root = main") if number else placed).groupBy("key", part.alias("part")).agg(best.alias("leader")).drop("part")
     met = (placed.where("root <> main") if number else placed).join(led, "key").where("root <> leader.root")
-    met = met.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("leader.cls").alias("b"), F.col("leader.n").alias("nb")).where(_near_in_size(percent))
-    pairs = _nearest(met.groupBy("a", "b").agg(F.count("*").alias("keys")), F.desc("keys"), NEAR)
+    met = met.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("leader.cls").alias("b"), F.col("leader.n").alias("nb"), "copies").where(_near_in_size(percent))
+    pairs = _nearest(met.groupBy("a", "b").agg(F.sum("copies").alias("keys")), F.desc("keys"), NEAR)
     tried = pairs.join(side["a"], "a").join(side["b"], "b").where(_possible(percent)).select("a", "b", _apart("sa", "sb").alias("apart"))
     tried = _nearest(tried, F.asc("apart"), TRIES)
     return settle(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -291,7 +327,9 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     rare = often.where("h is null").first()
     hint = np.array([r.h for r in hinted], np.int64).view(np.uint64), np.array([r.c for r in hinted], np.int64)
     by_hash = np.argsort(hint[0])
-    hints = hint[0][by_hash], hint[1][by_hash]
+    share = text.where(F.pmod(F.xxhash64("text"), F.lit(COMMON_SHARE)) == 0).mapInArrow(_shingles(k), "h long")
+    common = bit_table(share.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), KEY_WORDS)
+    hints = hint[0][by_hash], hint[1][by_hash], common
     # A size class spans 1/64 of its power of two, so the histogram stays small at any length.
     step = F.expr("cast(pow(2, greatest(0, floor(log2(n)) - 6)) as long)")
     sized = described.where("n > 0").groupBy((F.floor(F.col("n") / step) * step).alias("size")).count().collect()
@@ -302,20 +340,21 @@ def _classed(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     shared = entries.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("key")
     live = settle(text.mapInArrow(_keys(k, percent, boundary, hints, bit_table(shared, KEY_WORDS)), kinds).distinct())
 
-    classes = settle(classes.join(live.select("cls").distinct(), "cls", "left_semi"))
+    lists = _lists(live)
+
+    classes = settle(classes.join(lists.select("cls").distinct(), "cls", "left_semi"))
     side = {x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "ab"}
-    lengths = live.groupBy("key").agg(F.count("*").alias("degree"))
-    degrees = settle(live.join(lengths, "key").groupBy("cls").agg(F.sum("degree").alias("degree")))
+    degrees = settle(lists.groupBy("cls").agg(F.sum(F.col("entries") * F.col("copies")).alias("degree")))
     known, links = degrees.withColumn("root", F.col("cls")), None
     for number in range(len(PARTS)):
-        found = _verified(_leaders(live, known, number, percent, side), text, k, percent)
+        found = _verified(_leaders(lists, known, number, percent, side), text, k, percent)
         roots = settle(components(found if links is None else links.unionByName(found))).withColumnRenamed("node", "cls")
         links = roots.select(F.col("cls").alias("a"), F.col("root").alias("b"))
         known = degrees.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
 
     # What still meets across components: at least one of a pair is outside the component that most of its list belongs to.
-    placed = live.join(known.drop("degree"), "cls")
-    rough = classes.select("cls", _half(_half(F.col("sig"))).alias("sig"))  # a quarter of a signature rules most out already
+    placed = lists.join(known.drop("degree"), "cls")
+    rough = classes.select("cls", _rough(F.col("sig")).alias("sig"))  # this much of a signature rules most out already
     placed = settle(placed.join(_main(placed), "key").join(rough, "cls").select("key", "cls", "n", "root", "main", "sig"))
     x = placed.where("root <> main").select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("sig").alias("sa"))
     y = placed.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), "main", F.col("sig").alias("sb"))
